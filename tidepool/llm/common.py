@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import sys
 import tempfile
 import uuid
@@ -9,12 +10,14 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Characters of text that one step in a worker handles at a time.
 SLICE_CHARS = 4_000_000
 
+WORD = re.compile(r"\w+")
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -27,7 +30,8 @@ def shared_dir(spark: SparkSession, label: str) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = f"file://{tempfile.gettempdir()}/tidepool"
-    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}")
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
 
 
 def stash(df: DataFrame, label: str) -> DataFrame:
@@ -77,6 +81,12 @@ def map_arrow(df: DataFrame, fn: Callable, schema: str) -> DataFrame:
     return df.mapInArrow(fn, schema)
 
 
+def salted_join(left: DataFrame, right: DataFrame, keys: list[str], spread: Column, how: str = "left", salts: int = 32) -> DataFrame:
+    """left joined with right, whose keys are unique: right is copied `salts` times, so that a hot key's rows of left are dealt over as many places."""
+    right = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return left.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int")).join(right, [*keys, "_salt"], how).drop("_salt")
+
+
 def n_scan_partitions(df: DataFrame) -> int:
     return max(1, df.rdd.getNumPartitions())
 
@@ -89,7 +99,3 @@ def words_of(text: str) -> list[str]:
     """Words for comparing documents: runs of letters, digits and _ in lower case."""
     return WORD.findall(text.lower())
 
-
-import re  # noqa: E402
-
-WORD = re.compile(r"\w+")
