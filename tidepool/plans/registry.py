@@ -1,17 +1,545 @@
-"""Queries by name, with the SQL that says the same."""
+"""Queries by name over the test tables, with the SQL that says the same.
+
+Orders stand for snapshots, documents for files, line items for blob locations, suppliers for packfiles, parts and
+customers for catalog rows, events for I/O and the event bus, conversations for objects of ordered chunks.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
-from pyspark.sql import DataFrame, SparkSession
+from tidepool.functions import paths, scalars
+from tidepool.operators import catalog, content, locate, telemetry, tree
+from tidepool.streaming import events as streams
 
 Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+NOW = datetime(1998, 8, 2, 12)
+
+
+def query(sql: str = "") -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+def table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+# -- locate and retention --------------------------------------------------------------------------------------------
+
+
+def items(spark: SparkSession, d: str) -> DataFrame:
+    o = table(spark, d, "orders")
+    empty = F.array().cast("array<string>")
+    return o.select(F.col("o_orderkey").cast("string").alias("item_id"), F.col("o_orderdate").alias("ts"), F.col("o_custkey").cast("string").alias("name"), F.col("o_orderstatus").alias("category"), F.lit("prod").alias("environment"), F.lit("").alias("perimeter"), F.col("o_orderpriority").alias("job"), F.lit("").alias("dataset"), F.array("o_orderstatus", "o_orderpriority").alias("tags"), F.array("o_orderpriority").alias("types"), F.array("o_orderstatus").alias("origins"), F.array(F.lit("/"), F.concat(F.lit("/"), "o_orderstatus")).alias("roots"), empty.alias("data_classes"))
+
+
+@query("SELECT CAST(o_orderkey AS VARCHAR) AS item_id, o_orderdate AS ts FROM orders WHERE o_orderdate <= TIMESTAMP '1998-01-01' AND o_orderdate >= TIMESTAMP '1997-01-01'")
+def locate_before_since(spark, d):
+    f = locate.Filters(before=datetime(1998, 1, 1), since=datetime(1997, 1, 1))
+    return locate.matching(items(spark, d), f).select("item_id", "ts")
+
+
+@query("SELECT CAST(o_orderkey AS VARCHAR) AS item_id FROM orders WHERE CAST(o_orderkey AS VARCHAR) LIKE '12%' OR CAST(o_orderkey AS VARCHAR) LIKE '7%'")
+def locate_id_prefix(spark, d):
+    return locate.matching(items(spark, d), locate.Filters(ids=["12", "7"])).select("item_id")
+
+
+@query("SELECT CAST(o_orderkey AS VARCHAR) AS item_id FROM orders WHERE o_orderstatus = 'F' AND o_orderpriority = '1-URGENT'")
+def locate_tags_all(spark, d):
+    return locate.matching(items(spark, d), locate.Filters(tags=["F", "1-URGENT", ""])).select("item_id")
+
+
+@query("SELECT CAST(o_orderkey AS VARCHAR) AS item_id FROM orders WHERE o_orderstatus NOT IN ('F') AND o_orderpriority <> '1-URGENT'")
+def locate_tags_none(spark, d):
+    return locate.matching(items(spark, d), locate.Filters(ignore_tags=["F", "1-URGENT"])).select("item_id")
+
+
+@query("SELECT CAST(o_orderkey AS VARCHAR) AS item_id FROM orders WHERE o_orderpriority IN ('1-URGENT', '2-HIGH') AND o_orderstatus IN ('F', 'O')")
+def locate_types_origins_any(spark, d):
+    return locate.matching(items(spark, d), locate.Filters(types=["1-URGENT", "2-HIGH"], origins=["F", "O"])).select("item_id")
+
+
+@query("SELECT CAST(o_orderkey AS VARCHAR) AS item_id FROM orders WHERE o_orderstatus = 'P'")
+def locate_roots_all(spark, d):
+    return locate.matching(items(spark, d), locate.Filters(roots=["/", "/P"])).select("item_id")
+
+
+@query("SELECT CAST(o_orderkey AS VARCHAR) AS item_id FROM orders WHERE o_orderstatus = 'O' AND o_orderpriority = '5-LOW' AND o_custkey = 7")
+def locate_scalars(spark, d):
+    return locate.matching(items(spark, d), locate.Filters(category="O", job="5-LOW", name="7", environment="prod")).select("item_id")
+
+
+@query("SELECT CAST(o_orderkey AS VARCHAR) AS item_id, o_orderdate AS ts FROM orders WHERE o_orderstatus = 'F' ORDER BY o_orderdate DESC, CAST(o_orderkey AS VARCHAR) LIMIT 1")
+def locate_latest(spark, d):
+    return locate.matching(items(spark, d), locate.Filters(category="F", latest=True)).select("item_id", "ts")
+
+
+_KEYS = {"minute": "strftime(ts, '%Y-%m-%d-%H:%M')", "hour": "strftime(ts, '%Y-%m-%d-%H')", "day": "strftime(ts, '%Y-%m-%d')", "week": "strftime(ts, '%G-W%V')", "month": "strftime(ts, '%Y-%m')", "year": "strftime(ts, '%Y')"}
+
+
+def _key(period: str) -> str:
+    return _KEYS.get(period, "strftime(ts, '%G-W%V') || '-' || lower(dayname(ts))")
+
+
+def _retention_sql(rules: list[tuple[str, int, int]], group: str = "''", source: str = "orders") -> str:
+    """The policy in SQL: a branch for each rule, then the best verdict of each item."""
+    base = f"SELECT CAST(o_orderkey AS VARCHAR) AS item_id, o_orderdate AS ts, {group} AS grp FROM {source}"
+    parts = []
+    for i, (period, keep, cap) in enumerate(sorted(rules, key=lambda r: locate.PERIODS.index(r[0]))):
+        inside = f"{_key(period)} IN ({', '.join(repr(k) for k in locate.last_keys(period, NOW, keep))})" if keep else f"lower(dayname(ts)) = '{period}'" if period in locate.WEEKDAYS else "true"
+        parts.append(f"SELECT item_id, grp, {i} AS ord, '{period}' AS rule, {_key(period)} AS bucket, {cap} AS cap, row_number() OVER (PARTITION BY grp, {_key(period)} ORDER BY ts DESC, item_id) AS rank FROM i WHERE {inside}")
+    return f"""WITH i AS ({base}), r AS ({" UNION ALL ".join(parts)}), v AS (SELECT *, CASE WHEN cap = 0 OR rank <= cap THEN 0 ELSE 1 END AS gone FROM r),
+    b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY gone, rank, ord, grp) AS n FROM v) WHERE n = 1)
+    SELECT x.item_id, CASE WHEN gone = 0 THEN 'keep' ELSE 'delete' END AS action, coalesce(rule, '') AS rule, coalesce(bucket, '') AS bucket, CAST(coalesce(rank, 0) AS INTEGER) AS rank, CAST(coalesce(cap, 0) AS INTEGER) AS cap,
+           CASE WHEN gone IS NULL THEN 'outside retention windows' WHEN gone = 0 THEN 'within bucket' ELSE 'exceeds per-bucket cap' END AS note
+    FROM (SELECT DISTINCT item_id FROM i) x LEFT JOIN b USING (item_id)"""
+
+
+def _policy(name: str, rules: list[tuple[str, int, int]], group: str | None = None, sql_group: str = "''") -> None:
+    def run(spark, d):
+        return locate.retain(items(spark, d), rules, NOW, group)
+
+    run.__name__ = name
+    query(_retention_sql(rules, sql_group))(run)
+
+
+for _p in locate.PERIODS:
+    _policy(f"retention_{_p}_cap", [(_p, 0, 2)], "category", "o_orderstatus")
+    _policy(f"retention_{_p}_keep", [(_p, 60, 0)])
+_policy("retention_day_keep_cap", [("day", 90, 1)])
+_policy("retention_many_rules", [("day", 30, 2), ("monday", 0, 1), ("week", 26, 3), ("month", 12, 1), ("year", 0, 1)])
+_policy("retention_group_by_tag", [("month", 0, 1), ("week", 20, 2)], "tag", "unnest([o_orderstatus, o_orderpriority])")
+_policy("retention_group_by_job", [("month", 24, 2)], "job", "o_orderpriority")
+_policy("retention_group_unknown", [("year", 0, 3)], "color")
+
+
+@query("SELECT CAST(o_orderkey AS VARCHAR) AS item_id, 'keep' AS action, 'matched filters' AS note FROM orders WHERE o_orderstatus = 'P'")
+def retention_no_rules(spark, d):
+    return locate.retain(items(spark, d).where("category = 'P'"), [], NOW).select("item_id", "action", "note")
+
+
+@query("SELECT CAST(o_orderkey AS VARCHAR) AS item_id, CAST(row_number() OVER (ORDER BY o_orderdate DESC, CAST(o_orderkey AS VARCHAR)) AS INTEGER) AS n FROM orders QUALIFY n <= 50")
+def sort_headers(spark, d):
+    keys = locate.sort_keys("-Timestamp,Identifier")
+    top = locate.sort_by(items(spark, d), keys, {"Timestamp": "ts", "Identifier": "item_id"}, "item_id").limit(50)
+    return top.select("item_id", F.row_number().over(Window.orderBy(F.col("ts").desc(), "item_id")).alias("n"))
+
+
+# -- files -----------------------------------------------------------------------------------------------------------
+
+
+def files(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as files in folders of language and source; every 97th is a link."""
+    t = table(spark, d, "documents")
+    link = F.col("doc_id") % 97 == 0
+    name = F.concat(F.col("doc_id").cast("string"), F.when(F.col("doc_id") % 3 == 0, ".md").otherwise(".txt"))
+    parent = F.concat(F.lit("/"), "lang", F.lit("/"), "source")
+    return t.select(
+        "doc_id", F.concat(parent, F.lit("/"), name).alias("path"), parent.alias("parent"), name.alias("name"), F.when(link, "symlink").otherwise("regular").alias("kind"), F.when(link, 0).otherwise(F.octet_length("text")).cast("long").alias("size"), F.col("doc_id").alias("mtime"), F.lit(0.0).alias("entropy"),
+        F.when(link, "application/x-not-regular-file").when(F.col("doc_id") % 3 == 0, "text/markdown").when(F.col("doc_id") % 7 == 0, "image/png").otherwise("text/plain").alias("content_type"), F.when(link, 0).otherwise(1).alias("n_chunks"), F.when(link, F.lit("../src0")).otherwise(F.lit("")).alias("target"), "text",
+    )
+
+
+def tree_entries(spark: SparkSession, d: str) -> DataFrame:
+    """Files and the directories above them."""
+    f = files(spark, d).drop("text", "doc_id")
+    dirs = f.select(F.explode(F.array_append(paths.ancestors(F.col("parent")), F.col("parent"))).alias("path")).distinct()
+    none = lambda kind: F.lit(None).cast(kind)
+    dirs = dirs.select("path", F.when(F.col("path") == "/", "").otherwise(paths.dirname(F.col("path"))).alias("parent"), paths.basename(F.col("path")).alias("name"), F.lit("directory").alias("kind"), F.lit(0).cast("long").alias("size"), none("bigint").alias("mtime"), none("double").alias("entropy"), F.lit("").alias("content_type"), F.lit(0).alias("n_chunks"), F.lit("").alias("target"))
+    return f.unionByName(dirs)
+
+
+_FILES = """f AS (SELECT doc_id, '/' || lang || '/' || source AS parent, doc_id || CASE WHEN doc_id % 3 = 0 THEN '.md' ELSE '.txt' END AS name, doc_id % 97 = 0 AS link, CASE WHEN doc_id % 97 = 0 THEN 0 ELSE strlen(text) END AS size,
+ CASE WHEN doc_id % 97 = 0 THEN 'application/x-not-regular-file' WHEN doc_id % 3 = 0 THEN 'text/markdown' WHEN doc_id % 7 = 0 THEN 'image/png' ELSE 'text/plain' END AS content_type, text FROM documents), g AS (SELECT *, parent || '/' || name AS path FROM f)"""
+
+
+@query(f"WITH {_FILES} SELECT path FROM g WHERE parent = '/en/src0'")
+def vfs_children(spark, d):
+    return tree.children(tree_entries(spark, d), "/en/src0").select("path")
+
+
+@query(f"WITH {_FILES}, a AS (SELECT path FROM g UNION SELECT parent FROM g UNION SELECT '/' || split_part(parent, '/', 2) FROM g UNION SELECT '/') SELECT path, row_number() OVER (ORDER BY string_split(CASE WHEN path = '/' THEN '' ELSE path END, '/')) AS n FROM a WHERE path = '/en' OR starts_with(path, '/en/')")
+def vfs_walk_order(spark, d):
+    rows = tree.walk(tree_entries(spark, d), "/en")
+    all_ = tree_entries(spark, d)
+    w = Window.orderBy(paths.walk_order(F.col("path")))
+    return all_.join(rows.select("path"), "path", "left_semi").select("path", F.row_number().over(w).cast("long").alias("n"))
+
+
+@query(f"WITH {_FILES}, a AS (SELECT path FROM g UNION SELECT parent FROM g UNION SELECT '/' || split_part(parent, '/', 2) FROM g UNION SELECT '/') SELECT path, CAST(CASE WHEN path = '/' THEN 0 ELSE length(path) - length(replace(path, '/', '')) END AS INTEGER) AS depth FROM a")
+def vfs_depth(spark, d):
+    return tree.by_depth(tree_entries(spark, d)).select("path", paths.depth(F.col("path")).alias("depth"))
+
+
+@query(f"WITH {_FILES} SELECT parent AS path FROM g UNION SELECT '/' || split_part(parent, '/', 2) FROM g UNION SELECT '/'")
+def vfs_missing_ancestors(spark, d):
+    return tree.missing_ancestors(files(spark, d))
+
+
+@query(f"WITH {_FILES} SELECT g.path AS link, '/' || split_part(parent, '/', 2) || '/src0' AS path FROM g WHERE link")
+def vfs_links(spark, d):
+    return tree.resolve_links(tree_entries(spark, d)).select("link", "path")
+
+
+@query(f"WITH {_FILES} SELECT count(*) AS n FROM g, (SELECT 1)")
+def vfs_not_below_links(spark, d):
+    return tree.not_below_links(tree_entries(spark, d)).where("kind <> 'directory'").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {_FILES} SELECT path FROM g WHERE starts_with(path, '/de/src1/')")
+def search_prefix(spark, d):
+    return tree.search(tree_entries(spark, d), prefix="/de/src1").select("path")
+
+
+@query(f"WITH {_FILES} SELECT path FROM g WHERE regexp_matches(name, '^1[0-9]\\.[^/]*$') OR regexp_matches(name, '1[0-9].*')")
+def search_name(spark, d):
+    return tree.search(tree_entries(spark, d), name="1[0-9].*").select("path")
+
+
+@query(f"WITH {_FILES} SELECT path FROM g WHERE regexp_matches(name, '^[^/]*7\\.txt$')")
+def search_glob(spark, d):
+    return tree.search(tree_entries(spark, d), name="*7.txt", exact_mime=True).select("path")
+
+
+@query(f"WITH {_FILES} SELECT path FROM g WHERE split_part(content_type, '/', 1) IN ('image')")
+def search_mime_major(spark, d):
+    return tree.search(tree_entries(spark, d), mimes=["image/gif"]).select("path")
+
+
+@query(f"WITH {_FILES} SELECT path FROM g WHERE content_type = 'text/markdown'")
+def search_mime_exact(spark, d):
+    return tree.search(tree_entries(spark, d), mimes=["text/markdown"], exact_mime=True).select("path")
+
+
+@query(f"WITH {_FILES} SELECT path FROM g ORDER BY string_split(path, '/') LIMIT 25 OFFSET 10")
+def search_page(spark, d):
+    return tree.search(tree_entries(spark, d), offset=10, limit=25).select("path")
+
+
+@query(f"WITH {_FILES} SELECT path, CASE WHEN starts_with(path, '/en/src1/') THEN false WHEN regexp_matches(name, '[.]md$') THEN true WHEN starts_with(path, '/fr/') THEN true ELSE false END AS excluded FROM g")
+def exclude_last_match(spark, d):
+    rules = tree.load_rules("# rules\n/fr/\n*.md\n!/en/src1/\n")
+    return files(spark, d).select("path", tree.excluded(F.col("path"), F.lit(False), rules).alias("excluded"))
+
+
+@query(f"""WITH {_FILES} SELECT parent AS directory, sum((NOT link)::INT)::BIGINT AS files, sum(link::INT)::BIGINT AS symlinks, count(*) AS children, sum(size)::BIGINT AS size, min(CASE WHEN NOT link THEN size END)::BIGINT AS min_size, max(CASE WHEN NOT link THEN size END)::BIGINT AS max_size,
+sum((content_type LIKE 'text/%')::INT)::BIGINT AS mime_text, sum((content_type LIKE 'image/%')::INT)::BIGINT AS mime_image, sum((content_type LIKE 'app%')::INT)::BIGINT AS mime_other, (CASE WHEN sum((NOT link)::INT) > 0 THEN sum(size) // sum((NOT link)::INT) ELSE 0 END)::BIGINT AS avg_size FROM g GROUP BY parent""")
+def dir_summary(spark, d):
+    s = tree.with_averages(tree.directory_summary(files(spark, d)))
+    return s.select(F.col("parent").alias("directory"), "files", "symlinks", "children", "size", "min_size", "max_size", "mime_text", "mime_image", "mime_other", "avg_size")
+
+
+@query(f"""WITH {_FILES}, up AS (SELECT '/' AS directory, size, link FROM g UNION ALL SELECT '/' || split_part(parent, '/', 2), size, link FROM g) SELECT directory, sum((NOT link)::INT)::BIGINT AS files, sum(link::INT)::BIGINT AS symlinks, sum(size)::BIGINT AS size FROM up GROUP BY directory""")
+def dir_below_rollup(spark, d):
+    return tree.below(tree.directory_summary(files(spark, d))).select("directory", "files", "symlinks", "size")
+
+
+@query(f"WITH {_FILES} SELECT parent, list_reduce(list(size::BIGINT ORDER BY path), lambda a, x: CASE WHEN a = 0 OR x < a THEN x ELSE a END, 0::BIGINT) AS least FROM g GROUP BY parent")
+def dir_min_fold(spark, d):
+    rows = files(spark, d).groupBy("parent").agg(F.array_sort(F.collect_list(F.struct("path", "size"))).alias("s"))
+    return rows.select("parent", tree.folded_min(F.col("s.size")).alias("least"))
+
+
+@query(f"WITH {_FILES} SELECT sum((NOT link)::INT)::BIGINT AS files, (SELECT count(*) FROM (SELECT parent FROM g UNION SELECT '/' || split_part(parent, '/', 2) FROM g UNION SELECT '/')) AS directories, sum(link::INT)::BIGINT AS links, sum(size)::BIGINT AS size FROM g")
+def scan_stats(spark, d):
+    return tree.scan_stats(tree_entries(spark, d))
+
+
+@query("SELECT '/en' AS prefix")
+def common_prefix(spark, d):
+    return tree.common_prefix(files(spark, d).where("parent LIKE '/en/%'"))
+
+
+@query(f"WITH {_FILES} SELECT DISTINCT 'fs' AS origin, parent AS root FROM g")
+def shadowed_roots(spark, d):
+    e = tree_entries(spark, d).where("kind = 'directory'").select(F.lit("fs").alias("origin"), F.col("path").alias("root"))
+    return tree.shadowed_roots(e).where("root LIKE '/%/%'")
+
+
+@query("SELECT p_partkey, p_partkey % 5 <> 0 AND p_size <> 7 AS cached FROM part")
+def incremental_changed(spark, d):
+    p = table(spark, d, "part")
+    info = lambda df: df.select("p_partkey", F.concat(F.lit("/"), "p_partkey").alias("path"), "gone", F.col("p_name").alias("name"), "size", F.lit(0).alias("mode"), *(F.lit(0).alias(c) for c in tree.FILEINFO if c not in ("name", "size", "mode")))
+    now = info(p.withColumns({"size": F.col("p_size"), "gone": F.lit(False)}))
+    before = info(p.withColumns({"size": F.when(F.col("p_size") == 7, 8).otherwise(F.col("p_size")), "gone": F.col("p_partkey") % 5 == 0})).where("NOT gone")
+    return tree.unchanged(now, before).select("p_partkey", "cached")
+
+
+@query(f"WITH {_FILES} SELECT 0 AS stage, count(*) AS n FROM g WHERE doc_id % 11 = 0 UNION ALL SELECT 1, count(*) FROM g WHERE doc_id % 13 = 0 UNION ALL SELECT 2, count(*) FROM g")
+def sync_union(spark, d):
+    f = files(spark, d)
+    return tree.replay(f, f.where("doc_id % 13 = 0").select("path"), f.where("doc_id % 11 = 0").select("path")).groupBy("stage").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {_FILES} SELECT substr(path, 4) AS path FROM g WHERE starts_with(path, '/es/')")
+def export_subtree(spark, d):
+    return tree.exported(tree_entries(spark, d).where("kind <> 'directory'"), "/es").select("path")
+
+
+# -- content ---------------------------------------------------------------------------------------------------------
+
+
+@query("SELECT doc_id, sha256(text) AS mac, strlen(text)::BIGINT AS size FROM documents")
+def content_mac(spark, d):
+    return table(spark, d, "documents").select("doc_id", scalars.mac(F.encode("text", "UTF-8")).alias("mac"), F.octet_length("text").cast("long").alias("size"))
+
+
+@query("SELECT sha256(text) AS mac, count(*) AS copies, min(doc_id) AS first_id, max(strlen(text))::BIGINT AS length, (max(strlen(text)) * (count(*) - 1))::BIGINT AS saved FROM documents GROUP BY 1")
+def dedup_groups(spark, d):
+    return content.duplicate_groups(content_mac(spark, d).select(F.col("doc_id").alias("id"), "mac", F.col("size").alias("length")))
+
+
+@query("SELECT DISTINCT sha256(text) AS mac FROM documents WHERE doc_id % 2 = 1 AND sha256(text) NOT IN (SELECT sha256(text) FROM documents WHERE doc_id % 2 = 0)")
+def new_blobs_anti(spark, d):
+    rows = content_mac(spark, d).select("doc_id", "mac", F.lit(9).alias("type"))
+    return catalog.new_blobs(rows.where("doc_id % 2 = 1"), rows.where("doc_id % 2 = 0")).select("mac")
+
+
+@query("SELECT doc_id, round(coalesce(e, 0), 6) AS entropy FROM (SELECT doc_id FROM documents) LEFT JOIN (SELECT doc_id, -sum(p * log2(p)) AS e FROM (SELECT doc_id, count(*) / sum(count(*)) OVER (PARTITION BY doc_id) AS p FROM (SELECT doc_id, unnest(regexp_extract_all(hex(encode(text)), '..')) AS b FROM documents) GROUP BY doc_id, b) GROUP BY doc_id) USING (doc_id)")
+def byte_entropy(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.round(content.byte_entropy(F.encode("text", "UTF-8")), 6).alias("entropy"))
+
+
+@query("SELECT conv_id AS object, sum(strlen(text))::BIGINT AS size, count(*) AS n_chunks, round(sum(turn::DOUBLE * strlen(text)) / sum(strlen(text)), 6) AS entropy FROM conversations GROUP BY conv_id")
+def object_totals(spark, d):
+    rows = table(spark, d, "conversations").select(F.col("conv_id").alias("object"), F.octet_length("text").cast("long").alias("length"), F.col("turn").cast("double").alias("entropy"))
+    return content.object_totals(rows).withColumn("entropy", F.round("entropy", 6))
+
+
+@query("SELECT object, sha256(string_agg(text, '' ORDER BY turn, text)) AS mac FROM (SELECT conv_id AS object, turn, text FROM conversations) GROUP BY object")
+def object_reassemble(spark, d):
+    rows = table(spark, d, "conversations").select(F.col("conv_id").alias("object"), F.col("turn").alias("ordinal"), F.col("text").alias("data"))
+    return content.reassembled(rows).select("object", scalars.mac(F.encode("data", "UTF-8")).alias("mac"))
+
+
+@query("SELECT doc_id, i::INT AS ordinal, (i * 500)::BIGINT AS \"offset\", sha256(substr(text, (i * 500 + 1)::BIGINT, 500)) AS mac FROM (SELECT doc_id, text, unnest(range(0, (length(text) + 499) // 500)) AS i FROM documents)")
+def fixed_chunks(spark, d):
+    rows = content.fixed_chunks(table(spark, d, "documents").select("doc_id", F.col("text").alias("data")), 500)
+    return rows.select("doc_id", "ordinal", "offset", scalars.mac(F.encode("chunk", "UTF-8")).alias("mac"))
+
+
+@query("SELECT doc_id, strlen(text)::BIGINT AS size FROM documents WHERE strlen(text) > 0")
+def content_chunks_size(spark, d):
+    rows = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.encode("text", "UTF-8").alias("content"))
+    return content.content_chunks(rows, 256, 1024, 4096).groupBy(F.col("id").alias("doc_id")).agg(F.sum("length").alias("size"))
+
+
+def blobs(spark: SparkSession, d: str) -> DataFrame:
+    li = table(spark, d, "lineitem")
+    return li.select(F.col("l_suppkey").alias("packfile"), (F.col("l_orderkey") * 100 + F.col("l_linenumber")).alias("seq"), F.col("l_quantity").cast("long").alias("length"))
+
+
+_PACK = "p AS (SELECT l_suppkey AS packfile, l_orderkey * 100 + l_linenumber AS seq, l_quantity::BIGINT AS length FROM lineitem), o AS (SELECT *, (coalesce(sum(length) OVER (PARTITION BY packfile ORDER BY seq, length ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS \"offset\" FROM p)"
+
+
+@query(f"WITH {_PACK} SELECT packfile, seq, length, \"offset\" FROM o")
+def pack_offsets(spark, d):
+    return content.pack_offsets(blobs(spark, d))
+
+
+@query(f"WITH {_PACK}, q AS (SELECT packfile, \"offset\", length FROM o WHERE seq % 3 <> 0), e AS (SELECT *, CASE WHEN lag(\"offset\" + length) OVER w = \"offset\" THEN 0 ELSE 1 END AS new FROM q WINDOW w AS (PARTITION BY packfile ORDER BY \"offset\", length)), r AS (SELECT *, sum(new) OVER (PARTITION BY packfile ORDER BY \"offset\", length ROWS UNBOUNDED PRECEDING) AS run FROM e) SELECT packfile, min(\"offset\") AS \"offset\", (max(\"offset\" + length) - min(\"offset\"))::BIGINT AS length, count(*) AS blobs FROM r GROUP BY packfile, run")
+def range_runs(spark, d):
+    return content.runs(content.pack_offsets(blobs(spark, d)).where("seq % 3 <> 0").select("packfile", "offset", "length"))
+
+
+@query()
+def read_plan(spark, d):
+    return content.read_plan(content.pack_offsets(blobs(spark, d)).where("seq % 3 <> 0"), 200)
+
+
+@query()
+def pack_bins(spark, d):
+    return content.pack_bins(blobs(spark, d).withColumnRenamed("packfile", "channel"), 1000)
+
+
+@query("SELECT doc_id AS object, CASE WHEN doc_id % 17 = 0 THEN 'chunk missing' WHEN doc_id % 19 = 0 THEN 'chunk corrupted' ELSE 'ok' END AS status FROM documents")
+def check_full(spark, d):
+    t = table(spark, d, "documents")
+    whole = F.concat(F.encode(F.col("doc_id").cast("string"), "UTF-8"), F.encode("text", "UTF-8"))
+    refs = t.select(F.col("doc_id").alias("object"), F.lit(0).alias("ordinal"), F.sha2(whole, 256).alias("mac"))
+    changed = F.when(F.col("doc_id") % 19 == 0, F.concat(whole, F.lit(b"!"))).otherwise(whole)
+    return content.check_chunks(refs, t.where("doc_id % 17 <> 0").select(F.sha2(whole, 256).alias("mac"), changed.alias("data"))).select("object", "status")
+
+
+@query("SELECT conv_id AS object, CASE WHEN conv_id % 5 = 0 THEN 'object missing' WHEN max((turn = 3)::INT) = 1 THEN 'object corrupted' ELSE 'ok' END AS status FROM conversations GROUP BY conv_id")
+def check_objects(spark, d):
+    c = table(spark, d, "conversations")
+    checked = c.where("conv_id % 5 <> 0").select(F.col("conv_id").alias("object"), F.when(F.col("turn") == 3, "chunk corrupted").otherwise("ok").alias("status"))
+    return content.check_objects(c.select(F.col("conv_id").alias("object")).distinct(), checked).select("object", "status")
+
+
+# -- catalog ---------------------------------------------------------------------------------------------------------
+
+
+def log(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(deltas, packfiles, coloured): line items in suppliers, every seventh of which is unknown and every fifth coloured."""
+    li = table(spark, d, "lineitem")
+    deltas = li.select(F.when(F.col("l_linenumber") == 1, 5).otherwise(9).alias("type"), F.concat_ws("-", "l_orderkey", "l_linenumber").alias("mac"), F.col("l_suppkey").alias("packfile"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("offset"), F.col("l_quantity").cast("long").alias("length"))
+    s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("packfile"))
+    packs = s.where("packfile % 7 <> 0")
+    coloured = s.where("packfile % 5 = 0").select(F.lit(4).alias("type"), F.col("packfile").cast("string").alias("mac")).unionByName(table(spark, d, "orders").where("o_orderstatus = 'P'").select(F.lit(5).alias("type"), F.concat(F.col("o_orderkey").cast("string"), F.lit("-1")).alias("mac")))
+    return deltas, packs, coloured
+
+
+_LIVE = "dl AS (SELECT CASE WHEN l_linenumber = 1 THEN 5 ELSE 9 END AS type, l_orderkey || '-' || l_linenumber AS mac, l_suppkey AS packfile, l_orderkey * 10 + l_linenumber AS \"offset\", l_quantity::BIGINT AS length FROM lineitem)"
+
+
+@query(f"WITH {_LIVE} SELECT type, mac, packfile FROM dl WHERE packfile IN (SELECT s_suppkey FROM supplier) AND packfile % 7 <> 0 AND packfile % 5 <> 0")
+def blob_exists_live(spark, d):
+    return catalog.live_deltas(*log(spark, d)).select("type", "mac", "packfile")
+
+
+@query(f"WITH {_LIVE}, a AS (SELECT DISTINCT type, mac FROM dl WHERE length > 45) SELECT a.type, a.mac, min(x.packfile) AS packfile FROM a LEFT JOIN (SELECT * FROM dl WHERE packfile IN (SELECT s_suppkey FROM supplier) AND packfile % 7 <> 0 AND packfile % 5 <> 0) x ON a.type = x.type AND a.mac = x.mac GROUP BY 1, 2")
+def blob_locations(spark, d):
+    deltas, packs, coloured = log(spark, d)
+    return catalog.locate_blobs(deltas.where("length > 45").select("type", "mac").distinct(), deltas, packs, coloured).select("type", "mac", "packfile")
+
+
+@query(f"WITH {_LIVE} SELECT mac FROM dl WHERE type = 5 AND packfile IN (SELECT s_suppkey FROM supplier) AND packfile % 7 <> 0 AND mac NOT IN (SELECT o_orderkey || '-1' FROM orders WHERE o_orderstatus = 'P')")
+def list_snapshots_live(spark, d):
+    return catalog.live_snapshots(*log(spark, d)).select("mac")
+
+
+@query(f"WITH {_LIVE} SELECT mac, packfile FROM dl WHERE packfile % 7 = 0 OR packfile NOT IN (SELECT s_suppkey FROM supplier)")
+def orphan_deltas(spark, d):
+    deltas, packs, _ = log(spark, d)
+    return catalog.orphans(deltas, packs).select("mac", "packfile")
+
+
+@query("SELECT o_custkey AS key, max(o_orderdate) AS created_at, max_by(o_orderkey, {'a': o_orderdate, 'b': o_orderkey}) AS value FROM orders GROUP BY o_custkey")
+def config_lww(spark, d):
+    return catalog.newest_settings(table(spark, d, "orders").select(F.col("o_custkey").alias("key"), F.col("o_orderdate").alias("created_at"), F.col("o_orderkey").alias("value")))
+
+
+@query("SELECT o_custkey AS serial FROM orders ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 1")
+def latest_serial(spark, d):
+    return catalog.latest_serial(table(spark, d, "orders").select(F.col("o_orderkey").alias("state_id"), F.col("o_orderdate").alias("ts"), F.col("o_custkey").alias("serial")))
+
+
+@query("SELECT c_custkey AS state_id, 'missing' AS side FROM customer WHERE c_custkey % 3 = 0 AND c_custkey % 2 <> 0 UNION ALL SELECT c_custkey, 'outdated' FROM customer WHERE c_custkey % 2 = 0 AND c_custkey % 3 <> 0")
+def state_diff(spark, d):
+    c = table(spark, d, "customer").select(F.col("c_custkey").alias("state_id"))
+    return catalog.state_diff(c.where("state_id % 2 = 0"), c.where("state_id % 3 = 0"))
+
+
+@query("WITH RECURSIVE t AS (SELECT c_custkey AS state_id, 0::BIGINT AS level FROM customer WHERE c_custkey // 2 = c_custkey OR c_custkey // 2 NOT IN (SELECT c_custkey FROM customer) UNION ALL SELECT c.c_custkey, t.level + 1 FROM customer c JOIN t ON c.c_custkey // 2 = t.state_id WHERE c.c_custkey <> t.state_id) SELECT state_id, level FROM t")
+def state_topo_order(spark, d):
+    c = table(spark, d, "customer").select(F.col("c_custkey").alias("state_id"), F.expr("c_custkey div 2").alias("parent"))
+    return catalog.generations(c.withColumn("parent", F.when(F.col("parent") != F.col("state_id"), F.col("parent"))))
+
+
+@query("SELECT p_partkey AS mac FROM part WHERE p_partkey % 10 <> 0")
+def state_merge(spark, d):
+    p = table(spark, d, "part").select(F.col("p_partkey").alias("mac"))
+    return catalog.merged(p.where("mac % 2 = 0"), p.where("mac % 2 = 1 OR mac % 4 = 0"), ["mac"], p.where("mac % 10 = 0"))
+
+
+@query("SELECT s_suppkey AS packfile, count(l_suppkey) AS blobs, coalesce(sum(l_quantity::BIGINT), 0)::BIGINT AS bytes FROM supplier LEFT JOIN lineitem ON l_suppkey = s_suppkey AND l_linenumber <= 2 GROUP BY 1")
+def packfile_refcount(spark, d):
+    deltas, _, _ = log(spark, d)
+    s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("packfile"))
+    reach = deltas.where("mac LIKE '%-1' OR mac LIKE '%-2'").select("type", "mac").distinct()
+    return catalog.used_packfiles(s, deltas, reach)
+
+
+@query("SELECT event_id, ts <= TIMESTAMP '2024-01-15 00:00:00' - INTERVAL 10 MINUTES AS stale FROM events")
+def stale_locks(spark, d):
+    return catalog.stale_locks(table(spark, d, "events").select("event_id", "ts"), datetime(2024, 1, 15)).select("event_id", "stale")
+
+
+# -- telemetry and events --------------------------------------------------------------------------------------------
+
+
+def spans(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "events")
+    return e.select(F.col("event_type").alias("scope"), F.col("event_id").alias("seq"), F.floor(F.col("value") * 1000).cast("long").alias("bytes"), (F.pmod(F.col("event_id"), F.lit(40)) * 1_000_000).alias("dt_ns"), F.col("ts").alias("at"))
+
+
+@query("SELECT event_type AS scope, count(*) AS n, round(min(value), 6) AS least, round(max(value), 6) AS most, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, round(quantile_cont(value, 0.99), 6) AS p99 FROM events GROUP BY 1")
+def io_percentiles(spark, d):
+    s = telemetry.throughput_stats(table(spark, d, "events").select(F.col("event_type").alias("scope"), F.col("value").alias("throughput")))
+    return s.select("scope", "n", *(F.round(c, 6).alias(c) for c in ("least", "most", "p50", "p95", "p99")))
+
+
+@query("WITH s AS (SELECT event_type AS scope, floor(value * 1000)::BIGINT AS bytes, (event_id % 40) * 1000000 AS dt, ts FROM events) SELECT scope, sum(bytes)::BIGINT AS bytes, coalesce(sum(dt), 0)::BIGINT AS active_ns, epoch_us(max(ts)) - epoch_us(min(ts)) AS wall_us FROM s WHERE bytes <> 0 GROUP BY scope")
+def io_totals(spark, d):
+    return telemetry.totals(spans(spark, d).withColumn("at", F.col("at").cast("timestamp")))
+
+
+@query()
+def io_sample_buckets(spark, d):
+    return telemetry.samples(spans(spark, d))
+
+
+@query()
+def token_bucket_delay(spark, d):
+    e = table(spark, d, "events")
+    return telemetry.token_bucket(e.select(F.col("event_type").alias("scope"), F.col("event_id").alias("seq"), F.unix_timestamp(F.col("ts").cast("timestamp")).alias("at_s"), F.col("value").alias("n")), 0.5, 100.0)
+
+
+@query("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+def event_counts_1h(spark, d):
+    return streams.counts(table(spark, d, "events")).select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n")
+
+
+@query("WITH e AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 30 MINUTES THEN 0 ELSE 1 END AS new FROM events), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM e) SELECT user_id, min(ts) AS start, count(*) AS n FROM s GROUP BY user_id, k")
+def event_sessions(spark, d):
+    return streams.sessions(table(spark, d, "events")).select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), "n")
+
+
+# -- scalars ---------------------------------------------------------------------------------------------------------
+
+
+@query("SELECT p_partkey, ((p_size << 16) | ((p_partkey % 256) << 8) | (p_partkey % 100))::BIGINT AS packed, p_size || '.' || (p_partkey % 256) || '.' || (p_partkey % 100) AS text FROM part")
+def version_pack(spark, d):
+    v = scalars.version_pack(F.col("p_size").cast("long"), F.col("p_partkey") % 256, F.col("p_partkey") % 100)
+    return table(spark, d, "part").select("p_partkey", v.alias("packed"), scalars.version_format(v).alias("text"))
+
+
+@query("SELECT page_id, regexp_extract(url, '^([a-z]+):', 1) AS protocol, regexp_replace(url, '^[a-z]+://', '') AS rest FROM pages")
+def location_parse(spark, d):
+    return table(spark, d, "pages").select("page_id", scalars.location_protocol(F.col("url")).alias("protocol"), scalars.location_rest(F.col("url")).alias("rest"))
+
+
+@query("SELECT p_partkey, '/a/c' || p_partkey AS path, '/a' AS parent, 'c' || p_partkey AS name FROM part")
+def path_clean(spark, d):
+    p = paths.clean(F.concat(F.lit("//a/./b/../c"), "p_partkey", F.lit("/x/..//")))
+    return table(spark, d, "part").select("p_partkey", p.alias("path"), paths.dirname(p).alias("parent"), paths.basename(p).alias("name"))
+
+
+@query("SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'directory' WHEN 1 THEN 'symlink' WHEN 2 THEN 'socket' ELSE 'regular' END AS kind FROM part")
+def file_kinds(spark, d):
+    k = F.col("p_partkey") % 4
+    mode = F.when(k == 0, scalars.MODE_DIRECTORY | 0o755).when(k == 1, scalars.MODE_SYMLINK).when(k == 2, scalars.MODE_SOCKET).otherwise(0o644).cast("long")
+    return table(spark, d, "part").select("p_partkey", scalars.file_kind(mode).alias("kind"))
+
+
+@query("SELECT 'doc' || doc_id || ':/x' AS path, 'doc' || doc_id AS prefix, '/x' AS rest FROM documents")
+def snapshot_paths(spark, d):
+    p = F.concat(F.lit("doc"), "doc_id", F.lit(":/x"))
+    return table(spark, d, "documents").select(p.alias("path"), scalars.snapshot_prefix(p).alias("prefix"), scalars.snapshot_path(p).alias("rest"))
+
+
+@query("SELECT n_nationkey, CASE n_nationkey WHEN 1 THEN 'config' WHEN 2 THEN 'lock' WHEN 4 THEN 'packfile' WHEN 5 THEN 'snapshot' WHEN 9 THEN 'chunk' WHEN 21 THEN 'vfs-summary' END AS name FROM nation WHERE n_nationkey IN (1, 2, 4, 5, 9, 21)")
+def resource_names(spark, d):
+    return table(spark, d, "nation").where("n_nationkey IN (1, 2, 4, 5, 9, 21)").select("n_nationkey", scalars.resource_name(F.col("n_nationkey")).alias("name"))
