@@ -71,9 +71,9 @@ def in_slices(text: pa.Array, most: int = SLICE_CHARS) -> Iterator[tuple[int, in
         yield start, len(text)
 
 
-def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
+def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = SLICE_CHARS) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for a, b in in_slices(batch.column(column)):
+        for a, b in in_slices(batch.column(column), most):
             yield batch.slice(a, b - a)
 
 

@@ -24,14 +24,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidepool.llm import common
-from tidepool.llm.fastencode import PieceEncoder
+from tidepool.llm.fastencode import PieceEncoder, flat
 
 MAGIC = b"TPRP0001"
 #: Tokens of a block, a longer document aside.
 BLOCK_TOKENS = 2_000_000
-ROUNDS, RULES_A_ROUND, LEAST_COUNT = 5, 2048, 16
+ROUNDS, RULES_A_ROUND, LEAST_COUNT, SLOT_BITS = 4, 2048, 16, 18
 #: Texts with these are not split at white space: they are white space to Arrow, but not to the tokenizer.
 ODD_SPACE = "[\x1c-\x1f]"
+#: Letters, then ASCII marks; of Latin letters those that lower case and NFC leave one character each.
+PLAIN = "^(?P<letters>[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u012f\u0131-\u0148\u014a-\u017e]+)(?P<marks>[!-/:-@\\[-`{-~]*)$"
+#: Parts that the tokenizer gets at a time; bytes of text that words are gathered from.
+TOGETHER, SLICE = 256, 12_000_000
+#: Different parts, and other words, that a worker remembers.
+MOST_PARTS, MOST_OTHERS = 1_000_000, 200_000
 
 
 # -- grammar ---------------------------------------------------------------------------------------------------------
@@ -42,41 +48,43 @@ def compress(ids: np.ndarray, bounds: np.ndarray, first_symbol: int) -> tuple[np
 
     No rule spans two documents. Rule i makes symbol first_symbol + i of two earlier symbols or ids.
     """
-    seq, start, rules, made = ids.astype(np.int64), bounds.astype(np.int64), [], first_symbol
+    seq, start, rules, made = ids.astype(np.uint32), bounds.astype(np.int64), [], first_symbol
+    bits = max(8, min(SLOT_BITS, len(seq).bit_length()))
     for _ in range(ROUNDS):
         if len(seq) < 2:
             break
-        last = np.zeros(len(seq), bool)
-        ends = start[1:][start[1:] > start[:-1]] - 1
-        last[ends] = True
-        slot = ((seq[:-1] * 0x9E3779B1 + seq[1:]) & 0x3FFFFF).astype(np.int32)
-        slot[last[:-1]] = 0
-        often = np.bincount(slot, minlength=1 << 22) >= LEAST_COUNT
-        often[0] = False
-        at = np.flatnonzero(often[slot])
-        code = seq[at] << 32 | seq[at + 1]
-        pairs, inverse, count = np.unique(code, return_inverse=True, return_counts=True)
-        least = LEAST_COUNT if len(pairs) <= RULES_A_ROUND else max(LEAST_COUNT, np.partition(count, -RULES_A_ROUND)[-RULES_A_ROUND])
+        a, b = seq[:-1], seq[1:]
+        slot = ((a * np.uint32(0x9E3779B1) + b * np.uint32(0x85EBCA6B)) >> np.uint32(32 - bits)).astype(np.int32)
+        # a slot stands for one of the pairs that fall into it; the others wait for another round
+        left, right = np.zeros(1 << bits, np.uint32), np.zeros(1 << bits, np.uint32)
+        left[slot], right[slot] = a, b
+        match = (left[slot] == a) & (right[slot] == b)
+        match[start[1:][start[1:] > start[:-1]][:-1] - 1] = False  # a document's last symbol and the next one's first
+        at = np.flatnonzero(match)
+        slot = slot[at]
+        count = np.bincount(slot, minlength=1 << bits)
+        least = max(LEAST_COUNT, int(np.partition(count, -min(RULES_A_ROUND, len(count)))[-min(RULES_A_ROUND, len(count))]))
         chosen = np.flatnonzero(count >= least)
         if not len(chosen):
             break
-        symbol = np.full(len(pairs), -1, np.int64)
+        symbol = np.zeros(1 << bits, np.uint32)
         symbol[chosen] = made + np.arange(len(chosen))
-        hit = symbol[inverse] >= 0
-        at, sign = at[hit], symbol[inverse[hit]]
+        sign = symbol[slot]
+        at, sign = at[sign > 0], sign[sign > 0]
         # of overlapping pairs, the first, third and so on are replaced
         new_run = np.ones(len(at), bool)
         new_run[1:] = at[1:] != at[:-1] + 1
-        run_start = np.maximum.accumulate(np.where(new_run, np.arange(len(at)), 0))
-        keep = (np.arange(len(at)) - run_start) % 2 == 0
-        at, sign = at[keep], sign[keep]
+        firsts = np.flatnonzero(new_run)
+        odd = (at - np.repeat(at[firsts], np.diff(firsts, append=len(at)))) & 1 == 0
+        at, sign = at[odd], sign[odd]
         seq[at] = sign
         alive = np.ones(len(seq), bool)
         alive[at + 1] = False
-        seq, start = seq[alive], np.concatenate([[0], np.cumsum(alive)])[start]
-        rules.append(np.stack([pairs[chosen] >> 32, pairs[chosen] & 0xFFFFFFFF], axis=1))
+        start = start - np.searchsorted(at + 1, start)
+        seq = seq[alive]
+        rules.append(np.stack([left[chosen], right[chosen]], axis=1).astype(np.int64))
         made += len(chosen)
-    return seq, start, np.concatenate(rules) if rules else np.zeros((0, 2), np.int64)
+    return seq.astype(np.int64), start, np.concatenate(rules) if rules else np.zeros((0, 2), np.int64)
 
 
 def expansions(rules: np.ndarray, first_symbol: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -178,7 +186,9 @@ def blocks_of(content: bytes) -> Iterator[Block]:
 
 class WordTokenizer:
     """Encodes by white-space separated words. The tokenizer makes white space one blank, splits at it and drops it, so a
-    word's ids don't depend on its neighbours."""
+    word's ids don't depend on its neighbours. It also splits letters from punctuation, so plain words are cut into their
+    letters, in lower case, and the marks after them; these parts are encoded many at a time, and a part ends where an id
+    stands for a word's end."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -186,11 +196,42 @@ class WordTokenizer:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.n_ids = self.tokenizer.get_vocab_size()
-        self.pieces = PieceEncoder(self.direct)
+        self.ends = np.zeros(self.n_ids, bool)
+        for token, i in self.tokenizer.get_vocab().items():
+            self.ends[i] = token.endswith("</w>")
+        self.parts = PieceEncoder(self.encode_parts, MOST_PARTS)
+        self.others = PieceEncoder(lambda words: flat(self.direct(words)), MOST_OTHERS)
 
     def direct(self, texts: list[str]) -> list[list[int]]:
         return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def encode_parts(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        together, _ = flat(self.direct([" ".join(parts[i : i + TOGETHER]) for i in range(0, len(parts), TOGETHER)]))
+        stop = np.flatnonzero(self.ends[together]) + 1
+        if "" in parts or len(stop) != len(parts) or len(together) and stop[-1] != len(together):
+            return flat(self.direct(parts))
+        return together, np.diff(stop, prepend=0)
+
+    def encode_words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, where each word's begin and the end)."""
+        cut = pc.extract_regex(words, PLAIN)
+        plain = pc.is_valid(cut)
+        is_plain = plain.to_numpy(zero_copy_only=False)
+        cut = cut.filter(plain)
+        each = lambda store, x: store.encode(x, np.arange(len(x) + 1))
+        size, found = np.zeros((2, len(words)), np.int64), []
+        for k, (store, part, rows) in enumerate(((self.parts, pc.utf8_lower(pc.struct_field(cut, "letters")), is_plain), (self.parts, pc.struct_field(cut, "marks"), is_plain), (self.others, words.filter(pc.invert(plain)), ~is_plain))):
+            ids, ends = each(store, part)
+            size[k % 2, rows] = np.diff(ends)
+            found.append((ids, rows))
+        ends = np.concatenate([[0], np.cumsum(size.sum(0))])
+        out = np.empty(ends[-1], np.int32)
+        for k, (ids, rows) in enumerate(found):
+            n = size[k % 2, rows]
+            start = ends[:-1][rows] + (size[0, rows] if k == 1 else 0)
+            out[np.repeat(start - np.cumsum(n) + n, n) + np.arange(len(ids))] = ids
+        return out, ends
+
     def encode(self, text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids, where each text's begin)."""
         text = pc.fill_null(text.cast(pa.large_string()), "")
@@ -199,13 +240,18 @@ class WordTokenizer:
             parts = [np.array(x, np.int32) for x in self.direct(text.to_pylist())]
             return np.concatenate(parts), np.concatenate([[0], np.cumsum([len(x) for x in parts])])
         words = pc.utf8_split_whitespace(text)
-        flat, offsets = words.flatten(), words.offsets.to_numpy().astype(np.int64)
-        real = pc.not_equal(flat, "").to_numpy(zero_copy_only=False)
+        pieces, offsets = words.flatten(), words.offsets.to_numpy().astype(np.int64)
+        real = pc.not_equal(pieces, "").to_numpy(zero_copy_only=False)
         if not real.all():
-            offsets, flat = np.concatenate([[0], np.cumsum(real)])[offsets - offsets[0]], flat.filter(pa.array(real))
+            offsets, pieces = np.concatenate([[0], np.cumsum(real)])[offsets - offsets[0]], pieces.filter(pa.array(real))
         else:
             offsets = offsets - offsets[0]
-        return self.pieces.encode(flat, offsets)
+        coded = pieces.dictionary_encode()
+        ids, begin = self.encode_words(coded.dictionary)
+        code = coded.indices.to_numpy(zero_copy_only=False)
+        size = np.diff(begin)[code]
+        ends = np.concatenate([[0], np.cumsum(size)])
+        return ids[np.repeat((begin[code] - ends[:-1]).astype(np.int32), size) + np.arange(ends[-1], dtype=np.int32)], ends[offsets]
 
 
 def tokenizer(path: str) -> WordTokenizer:
@@ -242,14 +288,18 @@ def write_shards(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int
             out.write(block_bytes(np.concatenate([x[0] for x in held]), ids, np.concatenate([[0], np.cumsum(size)]), max(coder.n_ids, end_id + 1)))
             held.clear()
 
-        for batch in common.text_slices(batches):
+        for batch in common.text_slices(batches, most=SLICE):
             if out is None:
                 fs.create_dir(top, recursive=True)
                 out = fs.open_output_stream(temporary, compression=None)
                 out.write(MAGIC)
             ids, bounds = coder.encode(batch.column("text"))
-            at = np.insert(ids, bounds[1:], end_id).astype(np.uint16 if coder.n_ids <= 65536 else np.int32)
-            held.append((batch.column("doc_id").to_numpy(zero_copy_only=False), at, bounds + np.arange(len(bounds))))
+            bounds = bounds + np.arange(len(bounds))
+            at = np.full(bounds[-1], end_id, np.uint16 if max(coder.n_ids, end_id + 1) <= 65536 else np.int32)
+            inner = np.ones(len(at), bool)
+            inner[bounds[1:] - 1] = False
+            at[inner] = ids
+            held.append((batch.column("doc_id").to_numpy(zero_copy_only=False), at, bounds))
             total += len(at)
             if sum(len(x[1]) for x in held) >= BLOCK_TOKENS:
                 flush()

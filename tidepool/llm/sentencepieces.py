@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidepool.llm import common
-from tidepool.llm.fastencode import PieceEncoder
+from tidepool.llm.fastencode import PieceEncoder, flat
 
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -135,11 +135,11 @@ class Codec:
     def direct(self, texts: list[str]) -> list[list[int]]:
         return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def checked(self, texts: list[str]) -> list[list[int]]:
+    def checked(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         ours, theirs = self.direct(texts), self.reference.encode(texts, num_threads=self.threads)
         self.compared += len(texts)
         self.differ.update(t for t, a, b in zip(texts, ours, theirs, strict=True) if a != b)
-        return ours
+        return flat(ours)
 
     def encode(self, text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(ids, where each text's begin, whether each text's ids are those of the sentencepiece library)."""
