@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Characters of text that one step in a worker handles at a time.
-SLICE_CHARS = 4_000_000
+SLICE_CHARS = 2_000_000
 
 WORD = re.compile(r"\w+")
 
@@ -53,9 +53,15 @@ def filesystem(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
-def worker_cache() -> dict:
-    """Lives as long as the Python process, over all tasks that it runs."""
-    return sys.__dict__.setdefault("_tidepool_cache", {})
+def worker_slot(key, build: Callable):
+    """What build() made for this key, kept by the Python process for its next tasks. Another key takes its place, so that
+    a worker that has run several operators holds the memory of one."""
+    held = sys.__dict__.setdefault("_tidepool_slot", {})
+    if held.get("key") != key:
+        held.clear()
+        if build:
+            held.update(key=key, value=build())
+    return held.get("value")
 
 
 def in_slices(text: pa.Array, most: int = SLICE_CHARS) -> Iterator[tuple[int, int]]:
@@ -77,8 +83,32 @@ def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: i
             yield batch.slice(a, b - a)
 
 
-def map_arrow(df: DataFrame, fn: Callable, schema: str) -> DataFrame:
-    return df.mapInArrow(fn, schema)
+def trim() -> None:
+    """Gives freed memory back to the system, where the C library can."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def map_arrow(df: DataFrame, fn: Callable, schema: str, keeps: bool = False, batch: str = "8m") -> DataFrame:
+    """df.mapInArrow; unless fn `keeps` something in the worker, what others kept there is let go first.
+
+    Sets the session's bytes for an Arrow batch: whole texts may be long, and each task holds some batches outside the heap.
+    """
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", batch)
+
+    def run(batches):
+        if not keeps:
+            worker_slot(None, None)
+        trim()
+        yield from fn(batches)
+        trim()
+
+    return df.mapInArrow(run, schema)
 
 
 def salted_join(left: DataFrame, right: DataFrame, keys: list[str], spread: Column, how: str = "left", salts: int = 32) -> DataFrame:

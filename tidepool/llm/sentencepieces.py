@@ -169,10 +169,7 @@ class Codec:
 
 
 def codec(path: str, threads: int) -> Codec:
-    cache = common.worker_cache()
-    if ("codec", path, threads) not in cache:
-        cache["codec", path, threads] = Codec(path, threads)
-    return cache["codec", path, threads]
+    return common.worker_slot(("codec", path, threads), lambda: Codec(path, threads))
 
 
 def encode(docs: DataFrame, model_path: str, threads: int = THREADS, text_col: str = "text", with_ids: bool = True) -> DataFrame:
@@ -201,7 +198,7 @@ def encode(docs: DataFrame, model_path: str, threads: int = THREADS, text_col: s
             out |= {"n_tokens": pa.array(np.diff(bounds), pa.int32()), "ids_crc32": pa.array(crc, pa.int64()), "decoded_ok": pa.array(ok), "parity": pa.array(same)}
             yield pa.RecordBatch.from_pydict(out)
 
-    return common.map_arrow(rows, run, schema)
+    return common.map_arrow(rows, run, schema, keeps=True)
 
 
 def decode(docs: DataFrame, model_path: str, ids_col: str = "ids", out_col: str = "decoded", threads: int = THREADS) -> DataFrame:
@@ -217,7 +214,7 @@ def decode(docs: DataFrame, model_path: str, ids_col: str = "ids", out_col: str
             text = coder.tokenizer.decode_batch([x or [] for x in ids], skip_special_tokens=False)
             yield pa.RecordBatch.from_pydict({c: batch.column(c) for c in names} | {out_col: pa.array([None if x is None else t for x, t in zip(ids, text, strict=True)], pa.string())})
 
-    return common.map_arrow(rows, run, schema)
+    return common.map_arrow(rows, run, schema, keeps=True)
 
 
 def op10_sentencepiece(spark, sf_dir: str) -> DataFrame:
