@@ -1,0 +1,256 @@
+"""Nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns; grammars, alignments, extraction."""
+
+import random
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from tidepool.llm import components, decontaminate, host_suffixes, norm_topk, order_minhash, pu_quality, repair, sentencepieces, splitters, url_reputation, warc
+
+LONG = " ".join(random.Random(2).choice(["the", "of", "anon", "thist"]) + str(i % 900) for i in range(30_000))
+WORDS = [f"w{i}" for i in range(300)]
+DOCS = [(1, None), (2, ""), (3, ""), (4, "  \n "), (5, "one"), (6, "one"), (7, LONG), (8, LONG + " end"), (9, "!!! ???"), (10, " ".join(WORDS)), (10, " ".join(WORDS)), (11, " ".join(WORDS[:150] + ["x"] + WORDS[150:])), (None, "one"), (None, None)]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.createDataFrame([(i, t, "x", "y", 0.5) for i, t in DOCS], "doc_id long, text string, lang string, score string, _hits double")
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return spark.createDataFrame([], "doc_id long, text string, lang string")
+
+
+def model():
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+def words():
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def test_near_duplicate_cases(docs, none):
+    got = {}
+    for r in order_minhash.near_duplicates(docs.select("doc_id", "text", "score")).collect():
+        got.setdefault(r.doc_id, []).append(r.class_id)
+    assert got == {1: [1], 2: [2], 3: [2], 4: [4], 5: [5], 6: [5], 7: [7], 8: [7], 9: [9], 10: [10, 10], 11: [10], None: got[None]}
+    assert sorted(got[None], key=str) == [5, None]
+    assert order_minhash.near_duplicates(none).count() == 0
+
+
+def test_many_near_copies(spark):
+    """A bucket over HOT: copies of one text with a word changed each, among texts that share one passage only."""
+    r = random.Random(7)
+    base = [f"b{i}" for i in range(200)]
+    rows = [(i, " ".join([*base[:k], f"c{i}", *base[k + 1 :]])) for i in range(700) for k in [r.randrange(200)]]
+    shared = [f"s{i}" for i in range(60)]
+    rows += [(1000 + i, " ".join([*shared, *(f"u{i}x{j}" for j in range(80))])) for i in range(400)]
+    got = {x.doc_id: x.class_id for x in order_minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {got[i] for i in range(700)} == {0} and all(got[1000 + i] == 1000 + i for i in range(400))
+
+
+def test_distance():
+    r = random.Random(3)
+    for _ in range(500):
+        a = [r.randint(0, 4) for _ in range(r.randint(0, 14))]
+        b = [r.randint(0, 4) for _ in range(r.randint(0, 14))] if r.random() < 0.5 else [x for x in a if r.random() < 0.9]
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            new = [i]
+            for j, y in enumerate(b, 1):
+                new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+            row = new
+        most = r.randint(0, 9)
+        assert order_minhash.distance(a, b, most) == min(row[-1], most + 1)
+
+
+def test_order_counts():
+    """Moved blocks keep the set of k-mers nearly, but not their order."""
+    a = np.random.default_rng(1).integers(0, 1 << 62, 400, np.uint64)
+    same = lambda x: (order_minhash.sketch(a) == order_minhash.sketch(x)).mean()
+    assert same(a) == 1 and same(np.concatenate([a[200:], a[:200]])) < 0.8
+
+
+def test_components(spark):
+    edges = [(i, i + 1) for i in range(60)] + [(100, i) for i in range(101, 400)] + [(500, 500), (601, 600), (600, 601)]
+    got = {r.node: r.label for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {i: 0 for i in range(61)} | {i: 100 for i in range(100, 400)} | {600: 600, 601: 600}
+    assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_leak_cases(spark, docs, none):
+    item = " ".join(WORDS[100:140])
+    edited = " ".join(w if i % 9 else "zz" for i, w in enumerate(item.split()))
+    bench = spark.createDataFrame([(1, item), (2, None), (3, ""), (4, "one"), (5, item), (6, edited)], "item_id long, text string")
+    got = sorted((r.doc_id or 0, h.item_id) for r in decontaminate.with_hits(docs, bench).collect() for h in r.hits)
+    assert got == [(0, 4), (5, 4), (6, 4), *[(10, i) for i in (1, 1, 5, 5, 6, 6)], (11, 1), (11, 5), (11, 6)]
+    assert decontaminate.with_hits(none, bench).count() == 0
+    assert {len(r.hits or []) for r in decontaminate.with_hits(docs, bench.limit(0)).collect()} == {0}
+
+
+def test_blocks_of_items(spark, docs, monkeypatch):
+    bench = spark.createDataFrame([(i, " ".join(WORDS[i * 10 : i * 10 + 30])) for i in range(20)], "item_id long, text string")
+    whole = sorted((r.doc_id or 0, h.item_id) for r in decontaminate.with_hits(docs, bench).collect() for h in r.hits)
+    monkeypatch.setattr(decontaminate, "BLOCK_WORDS", 100)
+    assert sorted((r.doc_id or 0, h.item_id) for r in decontaminate.with_hits(docs, bench).collect() for h in r.hits) == whole and whole
+
+
+def test_shard_cases(spark, docs, none):
+    rows = splitters.shard_by_bytes(docs).collect()
+    assert len(rows) == len(DOCS)
+    for s in {r.shard for r in rows}:
+        assert sorted(r.slot for r in rows if r.shard == s) == list(range(sum(r.shard == s for r in rows)))
+    assert [r["size"] for r in rows if r.doc_id == 1] == [1] and splitters.shard_by_bytes(none).count() == 0
+    hot = spark.range(4000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "same text").otherwise(F.col("id").cast("string")).alias("text"))
+    sizes = [r[0] for r in splitters.shard_by_bytes(hot).groupBy("shard").agg(F.sum("size")).select("sum(size)").collect()]
+    assert len(sizes) == 16 and max(sizes) - min(sizes) < 40
+
+
+def test_token_file_cases(spark, docs, none, tmp_path):
+    sizes = repair.write_shards(docs, f"file://{tmp_path}/r", words())
+    rows = repair.read_shards(spark, f"file://{tmp_path}/r", sizes).collect()
+    assert len(rows) == len(DOCS) and sorted(r.start for r in rows)[0] == 0
+    assert {r.n_tokens for r in rows if r.doc_id in (1, 2, 3, 4)} == {1}
+    empty = repair.write_shards(none, f"file://{tmp_path}/e", words())
+    assert repair.read_shards(spark, f"file://{tmp_path}/e", empty).count() == 0
+
+
+def test_grammar():
+    r = np.random.default_rng(0)
+    ids = r.choice([1, 2, 3, 3, 7, 9], 20_000)
+    bounds = np.array([0, 0, 5, 9_000, 9_001, 20_000])
+    block = next(repair.blocks_of(repair.MAGIC + repair.block_bytes(np.arange(5), ids, bounds, 50)))
+    assert len(block.rules) > 20 and len(block.seq) < 10_000 and np.array_equal(block.ids(), ids)
+    for i in range(5):
+        assert np.array_equal(block.document(i), ids[bounds[i] : bounds[i + 1]])
+    assert [block.token(4, j) for j in (0, 500, 10_998)] == ids[[9_001, 9_501, 19_999]].tolist()
+    with pytest.raises(ValueError):
+        next(repair.blocks_of(b"other file"))
+
+
+def test_word_encoding_is_exact():
+    coder = repair.WordTokenizer(words())
+    r = random.Random(4)
+    parts = ["don't", "The", "É", "i̇", "İ", "ß", "１", "12", "\x1c", "\u00a0", "日本", "e\u0301", "'s", "''s", "<|endoftext|>", "!!", "ﬁ", "x.y", "\u2028", "ĸŉ", "Σς"]
+    texts = ["".join(r.choice(parts) + r.choice(["", " ", "\n", "  "]) for _ in range(r.randint(0, 12))) for _ in range(1500)]
+    texts += ["", None, "Word, word. WORD!! -- ok"]
+    for some in (texts, [t for t in texts if t is None or "\x1c" not in t]):
+        ids, bounds = coder.encode(pa.array(some, pa.string()))
+        assert [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:], strict=True)] == coder.direct([t or "" for t in some])
+
+
+def test_sentencepiece_cases(docs, none):
+    rows = sentencepieces.encode(docs, model()).collect()
+    assert len(rows) == len(DOCS) and all(r.parity for r in rows) and all(r.decoded_ok for r in rows)
+    assert {None if r.ids is None else len(r.ids) for r in rows if r.doc_id in (1, 2)} == {None, 0}
+    back = sentencepieces.decode(sentencepieces.encode(docs, model()), model()).select("text", "decoded").collect()
+    assert all(r.text == r.decoded for r in back) and sentencepieces.encode(none, model()).count() == 0
+
+
+def test_sentencepiece_odd_texts():
+    codec = sentencepieces.Codec(model(), 1)
+    r = random.Random(1)
+    texts = ["".join(r.choice([" ", "  ", "a", "the", "\n", "é", "日", "𝄞", "▁", "\t", " of", "0", "12"]) for _ in range(r.randint(0, 30))) for _ in range(2000)]
+    ids, bounds, same = codec.encode(pa.array(texts))
+    assert same.all() and [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:], strict=True)] == codec.reference.encode(texts)
+
+
+def test_unigram_models():
+    """A unigram model, written field by field, splits by its scores and falls back to bytes."""
+    import struct
+
+    def field(n, kind, value):
+        return bytes([n << 3 | kind]) + (bytes([len(value)]) + value if kind == 2 else value)
+
+    pieces = [("<unk>", 0.0, 2), ("▁a", -1.0, 1), ("b", -2.0, 1), ("▁ab", -2.5, 1), ("▁", -3.0, 1), *((f"<0x{i:02X}>", 0.0, 6) for i in range(256))]
+    raw = b"".join(field(1, 2, field(1, 2, p.encode()) + field(2, 5, struct.pack("<f", s)) + field(3, 0, bytes([k]))) for p, s, k in pieces)
+    spec = field(3, 0, b"\x01") + b"\x98\x02\x01"
+    parsed = sentencepieces.parse_model(raw + field(2, 2, spec) + field(3, 2, field(4, 0, b"\x00")))
+    assert parsed["model_type"] == sentencepieces.UNIGRAM and parsed["byte_fallback"] and not parsed["strip_spaces"]
+    t = sentencepieces.build(parsed)
+    assert t.encode("ab a").ids == [3, 1] and t.decode(t.encode("ab é").ids) == "ab é"
+
+
+def test_quality_cases(docs, none, spark):
+    labels = spark.createDataFrame([(7, 1), (8, 1), (9, 0), (5, 0), (None, 1), (3, None)], "doc_id long, quality int")
+    m = pu_quality.train(docs.select("doc_id", "text"), labels)
+    rows = pu_quality.with_scores(docs, m).collect()
+    assert len(rows) == len(DOCS) and all(0 <= r.score <= 1 for r in rows)
+    assert pu_quality.train(none, labels) is None and pu_quality.train(docs, labels.limit(0)) is None
+    assert {r.score for r in pu_quality.with_scores(docs, None).collect()} == {0.5}
+
+
+def test_risk_is_not_negative():
+    r = np.random.default_rng(2)
+    good, bad = r.normal(1.5, 1, (300, 4)), r.normal(-1.5, 1, (300, 4))
+    net = pu_quality.fit_nnpu(good[:150], np.concatenate([good[150:], bad[:150]]), 0.5)
+    assert (net.forward(bad[150:])[0] < 0).mean() > 0.9 and (net.forward(good)[0] > 0).mean() > 0.9
+
+
+def test_url_cases(spark):
+    urls = {None: ("", ""), "x.com/a": ("", ""), "http://A.Com": ("a.com", ""), "s://h.org?q=://z/y": ("h.org", ""), "http://É.NET/de/8#x": ("É.net", "/de/8"), "://h/p?": ("h", "/p"), "http://m.example.com/en/71": ("m.example.com", "/en/71")}
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    pages = df.select("page_id", url_reputation.host_of(F.col("url")).alias("host"), url_reputation.path_of(F.col("url")).alias("path"))
+    assert [(r.host, r.path) for r in pages.orderBy("page_id").collect()] == list(urls.values())
+    outcomes = pages.select("host", F.lit(None).cast("int").alias("bad"))
+    got = {r.page_id: (r.rule, r.verdict) for r in url_reputation.judge(pages, url_reputation.host_reputation(outcomes), url_reputation.RULES).collect()}
+    assert got[6] == ("example.com/en/7", "allow") and got[4] == ("net/de/", "block") and got[0] == (None, "allow")
+    assert url_reputation.host_reputation(outcomes.limit(0)).count() == 0
+
+
+def test_reputation_shrinks(spark):
+    rows = [("big.bad.com", 1)] * 90 + [("big.bad.com", 0)] * 10 + [("new.bad.com", 0)] + [("www.good.com", 0)] * 200 + [("one.org", 1)] + [("x.co.uk", 0)] * 50
+    got = {r.host: r for r in url_reputation.host_reputation(spark.createDataFrame(rows, "host string, bad int")).collect()}
+    assert got["big.bad.com"].low > 0.7 and got["one.org"].low < 0.5 < 1 > got["one.org"].rate and got["www.good.com"].high < 0.05
+    assert got["new.bad.com"].rate > got["x.co.uk"].rate and got["x.co.uk"].domain == "x.co.uk"
+
+
+def test_topk_cases(spark):
+    nan, inf = float("nan"), float("inf")
+    rows = [(0, [1.0, 2.0]), (20, [0.0, 0.0]), (1, [nan, 1.0]), (2, [inf, 1.0]), (3, None), (4, [None, 1.0]), (None, [1.0, 1.0]), (5, [1.0]), (6, [3.0, 1.0]), (6, [3.0, 1.0]), (7, []), (20, [0.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, v array<double>")
+    got = sorted(map(tuple, norm_topk.top_products(df, F.col("vec_id") % 20 == 0).collect()))
+    assert got == [(0, 1, 6, 5), (0, 2, 6, 5), (0, 3, 20, 0), (0, 4, 20, 0), (20, 1, 0, 0), (20, 2, 6, 0), (20, 3, 6, 0)]
+    assert norm_topk.top_products(df.limit(0), F.lit(True)).count() == 0
+
+
+def test_extraction_cases(spark):
+    nav = "<nav>menu words</nav><div class='ad'>buy</div>"
+    host = "all rights of this site are reserved by its owners forever"
+    pages = [
+        (1, "http://h/1", None), (2, None, ""), (3, "http://h/3", f"{nav}<article><h1>T &amp; U</h1><p><b>x<br>y<p>z &lt;<!-- no --><script>bad</script></article><footer>f</footer>"), (4, "http://h/4", f"<p>{host}</p><p>only here</p>"), (5, "http://h/5", f"<div><p>{host}</p>another one</div>"),
+        (6, "http://other/5", f"<p>{host}</p>"), (3, "http://h/3", "<main>again<section id=comments>c</section><aside>a</aside> and</main>"), (7, "http://h/7", "<article>cut &am"),
+    ]
+    df = spark.createDataFrame([(*p, "clash", 1) for p in pages], "page_id long, url string, html string, text string, host int")
+    got = sorted((r.page_id, r.text, r.n_chars) for r in host_suffixes.extract(df).collect())
+    want = [(1, ""), (2, ""), (3, "T & U\nx y\nz <"), (3, "again\nand"), (4, "only here"), (5, "another one"), (6, host), (7, "cut &am")]
+    assert got == [(i, t, len(t)) for i, t in want] and host_suffixes.extract(df.limit(0)).count() == 0
+
+
+def test_warc_reads_split_files(spark, tmp_path):
+    warc.register(spark)
+    r = random.Random(9)
+    rows = [(i, f"http://h/{i}", "".join(r.choice("abcdefgh\r\n") for _ in range(r.choice([0, 50, 4000, 200_000])))) for i in range(60)]
+    warc.records_of(spark.createDataFrame(rows, "page_id long, url string, html string")).coalesce(1).write.format("warc").mode("append").save(str(tmp_path))
+    back = spark.read.format("warc").option("splitbytes", 70_000).load(str(tmp_path))
+    got = {x.page_id: x for x in back.where("record_type <> 'warcinfo'").collect()}
+    for i, url, html in rows:
+        want = html if got[i].record_type == "response" else ""
+        assert bytes(got[i].payload or b"").decode() == want and got[i].payload_bytes == len(html) and got[i].target_uri == url
+
+
+def test_pipeline_cases(spark, docs, tmp_path):
+    plain = docs.select("doc_id", "text", "lang", F.lit("s").alias("source"), F.lit(0).cast("long").alias("n_chars"))
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, " ".join(WORDS[100:140]))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    plain.write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted((r.doc_id is None, r.doc_id or 0) for r in corpus_pipeline.run(spark, str(tmp_path)).collect())
+    assert got == [(False, i) for i in (1, 2, 4, 5, 7, 9)] + [(True, 0), (True, 0)]

@@ -2,7 +2,8 @@
 
 Labelled page outcomes are counted by host. Rates are shrunk from the whole web to the suffix, from there to the
 registered domain, and from there to the host, each time through a beta prior whose strength is estimated from how far
-the units' counts scatter around their parent's rate (moments of the beta-binomial). A host is blocked if the lower bound
+the units' counts scatter around their parent's rate (moments of the beta-binomial). What a host's prior says comes from
+other hosts only, and weighs no more pages than they and their own prior have. A host is blocked if the lower bound
 of its posterior rate of bad pages is above a threshold; a host without labels has its domain's prior.
 
 Null urls and those without :// have an empty host and path, no reputation, and are allowed unless a rule says otherwise.
@@ -52,6 +53,10 @@ def strength(units: DataFrame) -> float:
     return 1 / min(MOST_RHO, max(LEAST_RHO, rho)) - 1
 
 
+def posterior(m: float) -> Column:
+    return (F.col("k") + m * F.col("p")) / (F.col("n") + m)
+
+
 def host_reputation(outcomes: DataFrame, z: float = Z) -> DataFrame:
     """outcomes: host, bad (1, 0, or null if unlabelled) -> a row for each non-empty host: n, k, a, b, rate, low, high."""
     host = outcomes.where("host <> ''").groupBy("host").agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).cast("long").alias("k"))
@@ -59,17 +64,21 @@ def host_reputation(outcomes: DataFrame, z: float = Z) -> DataFrame:
     domain = host.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
     suffix = domain.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
     n, k = host.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("k"), F.lit(0))).first()
-    suffix = suffix.withColumn("p", F.lit((k + 0.5) / (n + 1.0)))
-    m = strength(suffix)
-    suffix = suffix.select("suffix", ((F.col("k") + m * F.col("p")) / (F.col("n") + m)).alias("p"))
+    p0 = (k + 0.5) / (n + 1.0)
+    suffix = suffix.withColumn("p", F.lit(p0))
+    m_suffix = strength(suffix)
+    suffix = suffix.select("suffix", posterior(m_suffix).alias("p"), F.col("n").alias("n_suffix"), F.col("k").alias("k_suffix"))
     domain = common.stash(common.salted_join(domain, suffix, ["suffix"], F.col("domain")), "domains")
-    m = strength(domain)
-    domain = domain.select("domain", ((F.col("k") + m * F.col("p")) / (F.col("n") + m)).alias("p"))
+    m_domain = strength(domain)
+    domain = domain.select("domain", posterior(m_domain).alias("p"), F.col("n").alias("n_domain"), F.col("k").alias("k_domain"), "n_suffix", "k_suffix")
     host = common.stash(common.salted_join(host, domain, ["domain"], F.col("host")), "host-priors")
-    m = strength(host)
+    m_host = strength(host)
+    # the host's own pages are taken out of its suffix and its domain
+    host = host.withColumn("p_suffix", (F.col("k_suffix") - F.col("k") + m_suffix * p0) / (F.col("n_suffix") - F.col("n") + m_suffix)).withColumn("w_domain", F.least(F.lit(m_domain), F.col("n_suffix") - F.col("n") + m_suffix))
+    host = host.withColumn("p", (F.col("k_domain") - F.col("k") + F.col("w_domain") * F.col("p_suffix")) / (F.col("n_domain") - F.col("n") + F.col("w_domain"))).withColumn("w", F.least(F.lit(m_host), F.col("n_domain") - F.col("n") + F.col("w_domain")))
     a, b = F.col("a"), F.col("b")
     rate, sd = a / (a + b), F.sqrt(a * b / ((a + b) * (a + b) * (a + b + 1)))
-    return host.withColumns({"a": F.col("k") + m * F.col("p"), "b": F.col("n") - F.col("k") + m * (1 - F.col("p"))}).withColumns({"rate": rate, "low": rate - z * sd, "high": rate + z * sd})
+    return host.withColumns({"a": F.col("k") + F.col("w") * F.col("p"), "b": F.col("n") - F.col("k") + F.col("w") * (1 - F.col("p"))}).withColumns({"rate": rate, "low": rate - z * sd, "high": rate + z * sd})
 
 
 def rule_of(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> Column:
@@ -120,11 +129,16 @@ h0 AS (SELECT host, count(bad) AS n, CAST(coalesce(sum(bad), 0) AS BIGINT) AS k
 h1 AS (SELECT *, CASE WHEN {_LAST(2)} IN ({_TWO}) THEN {_LAST(3)} ELSE {_LAST(2)} END AS domain, CASE WHEN {_LAST(2)} IN ({_TWO}) THEN {_LAST(2)} ELSE {_LAST(1)} END AS suffix FROM h0),
 d0 AS (SELECT domain, suffix, sum(n) AS n, sum(k) AS k FROM h1 GROUP BY domain, suffix),
 s0 AS (SELECT suffix, sum(n) AS n, sum(k) AS k, (SELECT (sum(k) + 0.5) / (sum(n) + 1.0) FROM h1) AS p FROM d0 GROUP BY suffix),
-s1 AS (SELECT suffix, {_rate("k", "n", "p", _strength("s0"))} AS p FROM s0),
-d1 AS (SELECT d0.*, s1.p FROM d0 JOIN s1 USING (suffix)),
-d2 AS (SELECT domain, {_rate("k", "n", "p", _strength("d1"))} AS p FROM d1),
-h2 AS (SELECT h1.*, d2.p FROM h1 JOIN d2 USING (domain)),
-h3 AS (SELECT host, k + m * p AS a, n - k + m * (1 - p) AS b FROM h2, (SELECT {_strength("h2")} AS m)),
+m1 AS (SELECT {_strength("s0")} AS m_suffix),
+s1 AS (SELECT suffix, {_rate("k", "n", "p", "m_suffix")} AS p, p AS p0, n AS n_suffix, k AS k_suffix FROM s0, m1),
+d1 AS (SELECT d0.*, s1.p, p0, n_suffix, k_suffix FROM d0 JOIN s1 USING (suffix)),
+m2 AS (SELECT {_strength("d1")} AS m_domain),
+d2 AS (SELECT domain, {_rate("k", "n", "p", "m_domain")} AS p, n AS n_domain, k AS k_domain, p0, n_suffix, k_suffix FROM d1, m2),
+h2 AS (SELECT h1.*, d2.p, n_domain, k_domain, p0, n_suffix, k_suffix FROM h1 JOIN d2 USING (domain)),
+m3 AS (SELECT {_strength("h2")} AS m_host),
+o1 AS (SELECT host, n, k, n_domain, k_domain, m_host, (k_suffix - k + m_suffix * p0) / (n_suffix - n + m_suffix) AS p_suffix, least(m_domain, n_suffix - n + m_suffix) AS w_domain FROM h2, m1, m2, m3),
+o2 AS (SELECT host, n, k, (k_domain - k + w_domain * p_suffix) / (n_domain - n + w_domain) AS p, least(m_host, n_domain - n + w_domain) AS w FROM o1),
+h3 AS (SELECT host, k + w * p AS a, n - k + w * (1 - p) AS b FROM o2),
 h4 AS (SELECT host, a / (a + b) - {Z} * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))) AS low FROM h3),
 r AS (SELECT * FROM (VALUES {", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in RULES)}) t(v, h, p)),
 m AS (SELECT page_id, arg_max(h || p, length(h || p)) AS rule, arg_max(v, length(h || p)) AS v FROM pg JOIN r ON (pg.host = r.h OR ends_with(pg.host, '.' || r.h)) AND starts_with(pg.path, r.p) GROUP BY page_id)
