@@ -307,7 +307,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int
             fs.move(temporary, name)
             yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "n": pa.array([total], pa.int64())})
 
-    return [(r.shard, r.n) for r in common.map_arrow(rows, write, "shard int, n long", keeps=True, batch="24m").collect()]
+    return [(r.shard, r.n) for r in common.map_arrow(rows, write, "shard int, n long", keeps=True, batch="64m").collect()]
 
 
 def read_shards(spark, folder: str, sizes: list[tuple[int, int]]) -> DataFrame:
