@@ -33,6 +33,8 @@ class Registry:
 
     kind: str
     known: dict[str, Callable[..., Any]] = field(default_factory=dict)
+    #: Endings of local paths that another backend opens.
+    endings: dict[str, str] = field(default_factory=dict)
 
     def register(self, name: str, backend: Callable[..., Any]) -> bool:
         """False if the name is taken."""
@@ -46,8 +48,8 @@ class Registry:
 
     def open(self, location: str, *args: Any, **more: Any) -> Any:
         name, rest = parse_location(location)
-        if self.kind == "store" and name == "fs" and rest.endswith(".ptar"):
-            name = "ptar"
+        if name == "fs":
+            name = next((n for end, n in self.endings.items() if rest.endswith(end)), name)
         if name not in self.known:
             raise ValueError(f"unsupported {self.kind} protocol: {name}")
         return self.known[name](rest, *args, **more)
@@ -127,18 +129,18 @@ class GeneratedRecords(DataSource):
 
 # -- envelopes -------------------------------------------------------------------------------------------------------
 
-#: Marks of an envelope, and the older one that is read too; fixed values.
-MAGIC, OLD_MAGIC = b"_KLOSET_", b"_PLAKAR_"
+#: Eight bytes that begin an envelope; those of other stores are passed in.
+MARK = b"_TIDEPL_"
 
 
-def seal(kind: int, version: int, data: bytes) -> bytes:
-    body = MAGIC + struct.pack("<II", kind, version) + data
+def seal(kind: int, version: int, data: bytes, mark: bytes = MARK) -> bytes:
+    body = mark + struct.pack("<II", kind, version) + data
     return body + hashlib.sha256(body).digest()
 
 
-def unseal(kind: int, raw: bytes) -> tuple[int, bytes]:
+def unseal(kind: int, raw: bytes, marks: tuple[bytes, ...] = (MARK,)) -> tuple[int, bytes]:
     """(version, data) of an envelope of that kind; an error if it isn't one or was changed."""
-    if len(raw) < 48 or raw[:8] not in (MAGIC, OLD_MAGIC):
+    if len(raw) < 48 or raw[:8] not in marks:
         raise ValueError("not an envelope")
     got, version = struct.unpack("<II", raw[8:16])
     if got != kind:
