@@ -85,6 +85,18 @@ def stale_locks(locks: DataFrame, now, minutes: int = 10) -> DataFrame:
     return locks.withColumn("stale", F.col("ts") <= F.lit(now) - F.expr(f"INTERVAL {minutes} MINUTES"))
 
 
+def held_locks(locks: DataFrame, now, minutes: int = 10) -> DataFrame:
+    """locks (id, ts, hostname, exclusive, released) is a log: the last row of each id, unless it was given up or is stale."""
+    return stale_locks(last_of(locks, ["id"], "ts"), now, minutes).where("NOT released AND NOT stale").drop("stale")
+
+
+def conflicts(locks: DataFrame, own: str, exclusive: bool, now, minutes: int = 10) -> DataFrame:
+    """Locks of others that forbid ours: exclusive ones, and all if ours is exclusive."""
+    others = held_locks(locks, now, minutes).where(F.col("id") != own)
+    return others if exclusive else others.where("exclusive")
+
+
 def last_of(log: DataFrame, key: list[str], order: str) -> DataFrame:
-    """The last row of each key."""
-    return log.withColumn("_n", F.row_number().over(Window.partitionBy(*key).orderBy(F.col(order).desc()))).where("_n = 1").drop("_n")
+    """The last row of each key; of rows at one time, that with the largest values."""
+    ties = [F.col(c).desc() for c in sorted(log.columns) if c != order]
+    return log.withColumn("_n", F.row_number().over(Window.partitionBy(*key).orderBy(F.col(order).desc(), *ties))).where("_n = 1").drop("_n")

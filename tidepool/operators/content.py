@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from tidepool.functions import paths
+
 MAX_RANGE, PACK_SIZE = 4 << 20, 64 << 20
 CHUNK_MIN, CHUNK_NORMAL, CHUNK_MAX = 512 << 10, 1 << 20, 8 << 20
 
@@ -165,3 +167,27 @@ def check_objects(objects: DataFrame, checked: DataFrame) -> DataFrame:
     """objects (object) with how their chunks fared: ok, object missing (no chunks known), object corrupted."""
     bad = checked.groupBy("object").agg(F.count_if(F.col("status") != "ok").alias("bad"), F.count("*").alias("n"))
     return objects.join(bad, "object", "left").withColumn("status", F.when(F.col("n").isNull(), "object missing").when(F.col("bad") == 0, "ok").otherwise("object corrupted")).drop("n")
+
+
+def check_tree(entries: DataFrame, objects: DataFrame, top: str = "/", known: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Every entry at or below `top` with its status, and one row of counters.
+
+    entries: path, kind, size, object (null for what has no content); objects: object, status, as check_objects gives;
+    known: paths that an earlier check found good, which are skipped. Entries are all checked, whatever is found. Counters:
+    files, directories, symlinks and size still to check once those skipped are taken off, never below 0; checked bytes; errors.
+    """
+    rows = entries.where(paths.is_within(F.col("path"), top)).join(objects.select("object", F.col("status").alias("_s")), "object", "left")
+    rows = rows.join(known.select("path", F.lit(True).alias("_known")), "path", "left") if known is not None else rows.withColumn("_known", F.lit(None).cast("boolean"))
+    status = F.when(F.col("_known"), "skipped").when(F.col("object").isNull() | (F.col("kind") != "regular"), "ok").otherwise(F.coalesce("_s", F.lit("object missing")))
+    rows = rows.select("path", "kind", "size", status.alias("status"))
+    skipped, size = F.col("status") == "skipped", F.coalesce("size", F.lit(0))
+    left = lambda kind: F.greatest(F.lit(0), F.count_if(F.col("kind") == kind) - F.count_if(skipped & (F.col("kind") == kind)))
+    counters = rows.agg(
+        left("regular").alias("files"),
+        left("directory").alias("directories"),
+        left("symlink").alias("symlinks"),
+        F.greatest(F.lit(0), F.coalesce(F.sum(size), F.lit(0)) - F.coalesce(F.sum(F.when(skipped, size)), F.lit(0))).alias("size"),
+        F.coalesce(F.sum(F.when(F.col("status") == "ok", size)), F.lit(0)).alias("checked_bytes"),
+        F.count_if(~F.col("status").isin("ok", "skipped")).alias("errors"),
+    )
+    return rows, counters

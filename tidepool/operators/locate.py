@@ -153,6 +153,8 @@ def retain(items: DataFrame, rules: list[tuple[str, int, int]], now: datetime, g
 
 #: Columns that headers may be sorted by.
 HEADER_KEYS = ("Timestamp", "Identifier", "Version", "Tags")
+#: Keys that files may be sorted by, and their columns; fixed values.
+FILE_KEYS = {"Name": "name", "Size": "size", "Mode": "mode", "ModTime": "mtime", "Dev": "dev", "Ino": "ino", "Uid": "uid", "Gid": "gid", "Nlink": "nlink", "Username": "username", "Groupname": "groupname"}
 
 
 def sort_keys(text: str, allowed: tuple[str, ...] = HEADER_KEYS) -> list[tuple[str, bool]]:
@@ -168,3 +170,8 @@ def sort_keys(text: str, allowed: tuple[str, ...] = HEADER_KEYS) -> list[tuple[s
 
 def sort_by(rows: DataFrame, keys: list[tuple[str, bool]], columns: dict[str, str], tie: str) -> DataFrame:
     return rows.orderBy(*(F.col(columns[k]).desc() if down else F.col(columns[k]).asc() for k, down in keys), tie)
+
+
+def sort_files(files: DataFrame, keys: str, tie: str = "path") -> DataFrame:
+    """files in the order of `Name,-Size`; all eleven keys sort, modes, times and link counts too."""
+    return sort_by(files, sort_keys(keys, tuple(FILE_KEYS)), FILE_KEYS, tie)

@@ -2,32 +2,146 @@
 
 from __future__ import annotations
 
+import json
+import os
 from collections.abc import Callable
-from datetime import datetime
+from dataclasses import asdict, dataclass
+from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidepool.functions import paths
+from tidepool.functions import codecs, paths
 from tidepool.operators import catalog, content
-
-TABLES = ("snapshots", "entries", "objects", "chunks", "deltas", "packfiles", "coloured", "states", "configurations")
+from tidepool.sources import connectors
+
+TABLES = ("snapshots", "entries", "objects", "chunks", "deltas", "packfiles", "coloured", "states", "configurations", "locks")
+#: Bits of a store's mode, and kinds of what stores hold; fixed values.
+WRITE, READ = 1 << 1, 1 << 2
+RESOURCES = {0: "undefined", 1: "packfile", 2: "state", 3: "lock", 4: "ECC packfile", 5: "ECC state"}
+CONFIG, VERSION = 1, 1 << 16
+
+
+@dataclass
+class Settings:
+    """What a store is made with; sealed in its `config` table."""
+
+    repository_id: str = ""
+    pack_size: int = content.PACK_SIZE
+    chunk_least: int = content.CHUNK_MIN
+    chunk_normal: int = content.CHUNK_NORMAL
+    chunk_most: int = content.CHUNK_MAX
+    hashing: str = "SHA256"
+    compression: str = "LZ4"
+    #: Key derivation, and its salt and canary in hex; empty for a store in the clear.
+    derivation: str = ""
+    salt: str = ""
+    canary: str = ""
+
+    def to_bytes(self, version: int = VERSION) -> bytes:
+        return connectors.seal(CONFIG, version, json.dumps(asdict(self), sort_keys=True).encode())
+
+    @classmethod
+    def from_bytes(cls, raw: bytes, newest: int = VERSION) -> Settings:
+        version, data = connectors.unseal(CONFIG, raw)
+        if version > newest:
+            raise ValueError(f"store of a later version: {version}")
+        return cls(**json.loads(data))
 
 
 class Store:
     """Tables below one folder; all writes append, and a deletion is a row in `coloured`."""
 
-    def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder.rstrip("/")
+    def __init__(self, spark: SparkSession, folder: str, mode: int = READ | WRITE):
+        self.spark, self.folder, self.mode = spark, folder.rstrip("/"), mode
+        self.settings, self.key = Settings(), None
+
+    @classmethod
+    def create(cls, spark: SparkSession, folder: str, settings: Settings, passphrase: str | None = None) -> Store:
+        """A new store; an error if there is one. With a passphrase, its settings get a salt and a canary."""
+        store = cls(spark, folder)
+        if passphrase is not None:
+            salt = os.urandom(16)
+            settings.derivation = settings.derivation or "SCRYPT"
+            store.key = codecs.derive_key(passphrase, salt, settings.derivation)
+            settings.salt, settings.canary = salt.hex(), codecs.canary(spark, store.key).hex()
+        store.settings = settings
+        spark.createDataFrame([(settings.to_bytes(),)], "data binary").coalesce(1).write.parquet(f"{store.folder}/config")
+        return store
+
+    @classmethod
+    def open(cls, spark: SparkSession, folder: str, passphrase: str | None = None, mode: int = READ | WRITE) -> Store:
+        """Checks the seal, the version and the key."""
+        store = cls(spark, folder, mode)
+        store.settings = s = Settings.from_bytes(bytes(spark.read.parquet(f"{store.folder}/config").first().data))
+        if s.canary:
+            if passphrase is None:
+                raise ValueError("the store asks for a passphrase")
+            store.key = codecs.derive_key(passphrase, bytes.fromhex(s.salt), s.derivation)
+            if not codecs.opens(spark, bytes.fromhex(s.canary), store.key):
+                raise ValueError("wrong passphrase")
+        return store
+
+    def tables(self) -> list[str]:
+        """Tables that have been written."""
+        return [t for t in TABLES if self._path(t)[0].exists(self._path(t)[1])]
+
+    def _path(self, name: str):
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}" if name else self.folder)
+        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), path
+
+    def size(self, name: str = "") -> int:
+        """Bytes of a table's files, or of all."""
+        fs, path = self._path(name)
+        return fs.getContentSummary(path).getLength() if fs.exists(path) else 0
+
+    def ranged(self, asked: DataFrame) -> DataFrame:
+        """asked (mac, offset, length) with that part of the chunk; null for unknown chunks."""
+        held = self.table("chunks").dropDuplicates(["mac"])
+        return asked.join(held, "mac", "left").select("mac", "offset", "length", F.expr("substring(data, cast(offset + 1 as int), cast(length as int))").alias("data"))
+
+    def lock(self, lock_id: str, hostname: str, now: datetime, exclusive: bool = False) -> None:
+        """Writes the lock, then looks for others; where one forbids it, gives it up and says so. Calling again refreshes it."""
+        row = lambda at, gone: self.append("locks", self.spark.createDataFrame([(lock_id, at, hostname, exclusive, gone)], "id string, ts timestamp, hostname string, exclusive boolean, released boolean"))
+        row(now, False)
+        if not catalog.conflicts(self.table("locks"), lock_id, exclusive, now).isEmpty():
+            row(now + timedelta(microseconds=1), True)
+            raise RuntimeError("the store is locked")
+
+    def unlock(self, lock_id: str, now: datetime) -> None:
+        last = catalog.last_of(self.table("locks").where(F.col("id") == lock_id), ["id"], "ts")
+        self.append("locks", last.select("id", F.lit(now).alias("ts"), "hostname", "exclusive", F.lit(True).alias("released")))
+
+    def files(self, snapshot_id: str) -> DataFrame:
+        """path, content of a snapshot's entries."""
+        held = self.table("chunks").dropDuplicates(["mac"])
+        return self.table("entries").where(F.col("snapshot_id") == snapshot_id).join(held, "mac", "left").select("path", F.col("data").alias("content"))
+
+    def synchronize(self, other: Store, snapshot_id: str, packfile: str) -> None:
+        """Copies a snapshot into another store, which stores only what it lacks; an error if entries are lost."""
+        head = self.table("snapshots").where(F.col("item_id") == snapshot_id).first()
+        if head is None:
+            raise ValueError(f"no such snapshot: {snapshot_id}")
+        rows = self.files(snapshot_id)
+        if lost := rows.where("content IS NULL").count():
+            raise ValueError(f"{lost} entries without content")
+        other.ingest(snapshot_id, rows, head.ts, packfile)
+        got = other.table("entries").where(F.col("snapshot_id") == snapshot_id).count()
+        if (want := rows.count()) != got:
+            raise ValueError(f"synchronisation failed: {want} entries, {got} arrived")
 
     def table(self, name: str) -> DataFrame:
         if name not in TABLES:
             raise ValueError(f"no such table: {name}")
+        if not self.mode & READ:
+            raise PermissionError("the store isn't open for reading")
         return self.spark.read.parquet(f"{self.folder}/{name}")
 
     def append(self, name: str, rows: DataFrame) -> None:
         if name not in TABLES:
             raise ValueError(f"no such table: {name}")
+        if not self.mode & WRITE:
+            raise PermissionError("the store isn't open for writing")
         rows.write.mode("append").parquet(f"{self.folder}/{name}")
 
     def ingest(self, snapshot_id: str, files: DataFrame, ts: datetime, packfile: str) -> None:

@@ -42,6 +42,29 @@ def resolve_links(entries: DataFrame) -> DataFrame:
     return links.join(entries, "path", "left")
 
 
+def follow_links(entries: DataFrame, asked: DataFrame, most: int = 40) -> DataFrame:
+    """asked (path) -> asked, path, found: where each path leads when links above it, and then itself, are followed.
+
+    Each round replaces the topmost link above a path by its target, one join for all paths; paths that still have one
+    after `most` rounds go round in circles and aren't found.
+    """
+    spark = entries.sparkSession
+    full = F.when(F.col("target").startswith("/"), paths.clean(F.col("target"))).otherwise(paths.clean(F.concat_ws("/", F.col("parent"), F.col("target"))))
+    links = entries.where("target <> ''").select(F.col("path").alias("above"), full.alias("to")).persist()
+    now = asked.select(F.col("path").alias("asked"), paths.clean(F.col("path")).alias("path")).distinct()
+    for _ in range(most):
+        met = now.select("asked", "path", F.explode(paths.ancestors(F.col("path"))).alias("above")).join(links, "above")
+        top = met.groupBy("asked").agg(F.min_by(F.struct("above", "to"), F.length("above")).alias("link"))
+        top = top.checkpoint() if spark.sparkContext.getCheckpointDir() else top.persist()
+        if top.isEmpty():
+            break
+        step = paths.clean(F.concat("link.to", F.expr("substring(path, length(link.above) + 1)")))
+        now = now.join(top, "asked", "left").select("asked", F.coalesce(step, "path").alias("path"))
+        now = now.checkpoint() if spark.sparkContext.getCheckpointDir() else now.persist()
+    last = now.join(links, now.path == links.above, "left").select("asked", F.coalesce("to", "path").alias("path"))
+    return last.join(entries.select("path", F.lit(True).alias("found")), "path", "left").select("asked", "path", F.coalesce("found", F.lit(False)).alias("found"))
+
+
 def not_below_links(entries: DataFrame) -> DataFrame:
     """Entries with no symbolic link among their ancestors."""
     links = entries.where(F.col("target") != "").select(F.col("path").alias("a"))

@@ -12,7 +12,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidepool.functions import paths, scalars
+from tidepool.functions import codecs, mime, paths, scalars
 from tidepool.operators import catalog, content, locate, telemetry, tree
 from tidepool.streaming import events as streams
 
@@ -543,3 +543,82 @@ def snapshot_paths(spark, d):
 @query("SELECT n_nationkey, CASE n_nationkey WHEN 1 THEN 'config' WHEN 2 THEN 'lock' WHEN 4 THEN 'packfile' WHEN 5 THEN 'snapshot' WHEN 9 THEN 'chunk' WHEN 21 THEN 'vfs-summary' END AS name FROM nation WHERE n_nationkey IN (1, 2, 4, 5, 9, 21)")
 def resource_names(spark, d):
     return table(spark, d, "nation").where("n_nationkey IN (1, 2, 4, 5, 9, 21)").select("n_nationkey", scalars.resource_name(F.col("n_nationkey")).alias("name"))
+
+
+# -- codecs, content types, links, checks ----------------------------------------------------------------------------
+
+
+@query("SELECT l_orderkey, l_linenumber, 9::BIGINT AS type, 65536::BIGINT AS version, sha256(l_orderkey::VARCHAR) AS mac, sha256(l_suppkey::VARCHAR) AS packfile, l_partkey * 4294967296 AS \"offset\", CAST(l_quantity AS BIGINT) AS length, l_linenumber::BIGINT AS flags, 85 AS width FROM lineitem")
+def delta_records(spark, d):
+    rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.lit(9).alias("type"), F.lit(65536).alias("version"), F.sha2(F.col("l_orderkey").cast("string"), 256).alias("mac"), F.sha2(F.col("l_suppkey").cast("string"), 256).alias("packfile"), (F.col("l_partkey") * (1 << 32)).alias("offset"), F.col("l_quantity").alias("length"), F.col("l_linenumber").alias("flags"))
+    raw = rows.select("l_orderkey", "l_linenumber", codecs.record(codecs.DELTA).alias("raw"))
+    return raw.select("l_orderkey", "l_linenumber", *codecs.fields(F.col("raw"), codecs.DELTA), F.octet_length("raw").alias("width"))
+
+
+@query("SELECT doc_id, sha256(text) AS mac, octet_length(encode(text))::BIGINT AS size FROM documents")
+def compressed_contents(spark, d):
+    rows = table(spark, d, "documents").select("doc_id", F.encode("text", "UTF-8").alias("data"))
+    back = codecs.decoded(codecs.encoded(rows, "data", "ZSTD"), "data", "ZSTD")
+    return back.select("doc_id", F.sha2("data", 256).alias("mac"), F.octet_length("data").cast("long").alias("size"))
+
+
+@query("SELECT conv_id, turn, sha256(text) AS mac FROM conversations")
+def encrypted_contents(spark, d):
+    key = bytes(range(32))
+    rows = table(spark, d, "conversations").select("conv_id", "turn", F.encode("text", "UTF-8").alias("data"))
+    back = codecs.decoded(codecs.encoded(rows, "data", "LZ4", key), "data", "LZ4", key)
+    return back.select("conv_id", "turn", F.sha2("data", 256).alias("mac"))
+
+
+@query("SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 'image/png' WHEN 1 THEN 'text/html; charset=utf-8' WHEN 2 THEN 'text/plain; charset=utf-8' WHEN 3 THEN 'text/css' ELSE 'application/x-not-regular-file' END AS content_type FROM part")
+def content_types(spark, d):
+    k = F.col("p_partkey") % 5
+    name = F.encode("p_name", "UTF-8")
+    data = F.when(k == 0, F.concat(F.unhex(F.lit("89504E470D0A1A0A")), name)).when(k == 1, F.concat(F.encode(F.lit("<!DOCTYPE html>"), "UTF-8"), name)).when(k == 3, F.concat(F.unhex(F.lit("00FE")), name)).otherwise(name)
+    return table(spark, d, "part").select("p_partkey", mime.sniffed(data, F.lit("site.css"), k != 4).alias("content_type"))
+
+
+@query("SELECT '/l' || p_partkey || '/f' AS asked, CASE WHEN p_partkey % 3 = 0 THEN '/d' || p_partkey || '/f' ELSE '/d' || p_partkey || '/g' END AS path, p_partkey % 3 <> 2 AS found FROM part")
+def links_followed(spark, d):
+    key = F.col("p_partkey").cast("string")
+    k = F.col("p_partkey") % 3
+    p = table(spark, d, "part")
+    top = p.select(F.concat(F.lit("/l"), key).alias("path"), F.lit("/").alias("parent"), F.concat(F.lit("d"), key).alias("target"))
+    directory = p.select(F.concat(F.lit("/d"), key).alias("path"), F.lit("/").alias("parent"), F.lit("").alias("target"))
+    file = p.select(F.concat(F.lit("/d"), key, F.lit("/f")).alias("path"), F.concat(F.lit("/d"), key).alias("parent"), F.when(k == 0, "").otherwise("g").alias("target"))
+    target = p.where(k == 1).select(F.concat(F.lit("/d"), key, F.lit("/g")).alias("path"), F.concat(F.lit("/d"), key).alias("parent"), F.lit("").alias("target"))
+    entries = top.unionByName(directory).unionByName(file).unionByName(target)
+    return tree.follow_links(entries, p.select(F.concat(F.lit("/l"), key, F.lit("/f")).alias("path")))
+
+
+@query("SELECT count(*) FILTER (WHERE o_orderpriority <> '1-URGENT' AND o_orderstatus <> 'P') AS files, count(*) FILTER (WHERE o_orderpriority <> '1-URGENT' AND o_orderstatus = 'P') AS directories, 0::BIGINT AS symlinks, coalesce(sum(o_custkey) FILTER (WHERE o_orderpriority <> '1-URGENT'), 0)::BIGINT AS size, coalesce(sum(o_custkey) FILTER (WHERE o_orderpriority <> '1-URGENT' AND (o_orderstatus = 'P' OR o_orderkey % 7 > 1)), 0)::BIGINT AS checked_bytes, count(*) FILTER (WHERE o_orderpriority <> '1-URGENT' AND o_orderstatus <> 'P' AND o_orderkey % 7 < 2) AS errors FROM orders")
+def check_counters(spark, d):
+    o = table(spark, d, "orders").withColumn("path", F.concat(F.lit("/"), "o_orderkey"))
+    entries = o.select("path", F.when(F.col("o_orderstatus") == "P", "directory").otherwise("regular").alias("kind"), F.col("o_custkey").alias("size"), F.col("o_orderkey").alias("object"))
+    objects = o.where("o_orderkey % 7 <> 0").select(F.col("o_orderkey").alias("object"), F.when(F.col("o_orderkey") % 7 == 1, "object corrupted").otherwise("ok").alias("status"))
+    return content.check_tree(entries, objects, "/", o.where("o_orderpriority = '1-URGENT'").select("path"))[1]
+
+
+@query("SELECT event_type AS scope, date_trunc('day', ts) AS start, sum(floor(value)::BIGINT)::BIGINT AS bytes FROM events WHERE floor(value) <> 0 GROUP BY 1, 2")
+def io_daily_samples(spark, d):
+    e = table(spark, d, "events").select(F.col("event_type").alias("scope"), F.col("ts").alias("at"), F.floor("value").alias("bytes"))
+    return streams.sampled(e, "1 day").select("scope", F.col("start").cast("timestamp_ntz").alias("start"), "bytes")
+
+
+@query("SELECT count(*) AS snapshots, sum(o_custkey)::BIGINT AS size, count(*) FILTER (WHERE o_orderstatus = 'F') AS errors FROM orders")
+def logical_size(spark, d):
+    return table(spark, d, "orders").agg(F.count("*").alias("snapshots"), F.sum("o_custkey").alias("size"), F.count_if(F.col("o_orderstatus") == "F").alias("errors"))
+
+
+@query("WITH l AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events) SELECT event_id, user_id FROM l WHERE n = 1 AND event_type = 'purchase' AND ts > TIMESTAMP '2024-01-29 00:00:00'")
+def locks_held(spark, d):
+    e = table(spark, d, "events").select("event_id", F.col("user_id").cast("string").alias("id"), "user_id", F.col("ts").cast("timestamp").alias("ts"), (F.col("event_type") == "purchase").alias("exclusive"), F.lit(False).alias("released"))
+    return catalog.conflicts(e, "", False, datetime(2024, 1, 30), 1440).select("event_id", "user_id")
+
+
+@query("SELECT p_partkey, row_number() OVER (ORDER BY p_size DESC, p_name, p_partkey) AS place FROM part")
+def files_sorted(spark, d):
+    rows = table(spark, d, "part").select("p_partkey", F.col("p_name").alias("name"), F.col("p_size").alias("size"))
+    ordered = locate.sort_files(rows, "-Size,Name", "p_partkey")
+    place = F.row_number().over(Window.orderBy(F.col("size").desc(), "name", "p_partkey"))
+    return ordered.select("p_partkey", place.cast("long").alias("place"))

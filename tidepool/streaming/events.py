@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
 def read(spark: SparkSession, folder: str, schema, per_trigger: int = 100) -> DataFrame:
@@ -38,3 +40,32 @@ def publish(events: DataFrame, listeners: list[Callable[[DataFrame, int], None]]
             batch.unpersist()
 
     return events.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def sampled(spans: DataFrame, window: str = "1 second", late: str = "10 seconds") -> DataFrame:
+    """spans (scope, at, bytes) -> bytes and bytes a second of each scope and window."""
+    rows = spans.withColumn("at", F.col("at").cast("timestamp"))
+    rows = rows.withWatermark("at", late) if rows.isStreaming else rows
+    seconds = F.unix_micros(F.col("w.end")) / 1e6 - F.unix_micros(F.col("w.start")) / 1e6
+    return rows.where("bytes <> 0").groupBy("scope", F.window("at", window).alias("w")).agg(F.sum("bytes").alias("bytes")).select("scope", F.col("w.start").alias("start"), "bytes", (F.col("bytes") / seconds).alias("rate"))
+
+
+def tracked(spans: DataFrame) -> DataFrame:
+    """A stream of spans (scope, at_us, bytes, dt_ns) -> bytes, active_ns and wall_us of each scope so far, with each micro-batch.
+
+    Spans without bytes don't count; one without a duration adds its bytes only. The state of a scope is four numbers.
+    """
+
+    def step(key, frames, state: GroupState):
+        size, active, first, last = state.get if state.exists else (0, 0, None, None)
+        for frame in frames:
+            frame = frame[frame["bytes"] != 0]
+            if len(frame):
+                size, active = size + int(frame["bytes"].sum()), active + int(frame["dt_ns"].clip(lower=0).sum())
+                low, high = int(frame["at_us"].min()), int(frame["at_us"].max())
+                first, last = (low, high) if first is None else (min(first, low), max(last, high))
+        state.update((size, active, first, last))
+        yield pd.DataFrame([(key[0], size, active, 0 if first is None else last - first)], columns=["scope", "bytes", "active_ns", "wall_us"])
+
+    rows = spans.select(F.col("scope").cast("string"), F.col("at_us").cast("long"), F.coalesce(F.col("bytes").cast("long"), F.lit(0)).alias("bytes"), F.coalesce(F.col("dt_ns").cast("long"), F.lit(0)).alias("dt_ns"))
+    return rows.groupBy("scope").applyInPandasWithState(step, "scope string, bytes long, active_ns long, wall_us long", "size long, active long, first long, last long", "update", GroupStateTimeout.NoTimeout)
