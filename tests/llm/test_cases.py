@@ -254,3 +254,15 @@ def test_pipeline_cases(spark, docs, tmp_path):
     plain.write.parquet(f"{tmp_path}/documents.parquet")
     got = sorted((r.doc_id is None, r.doc_id or 0) for r in corpus_pipeline.run(spark, str(tmp_path)).collect())
     assert got == [(False, i) for i in (1, 2, 4, 5, 7, 9)] + [(True, 0), (True, 0)]
+
+
+def test_topk_in_many_blocks(spark, monkeypatch):
+    from tidepool.llm import norm_topk
+
+    monkeypatch.setattr(norm_topk, "QUERIES", 7)
+    v = np.random.default_rng(3).integers(-9, 10, (120, 6))
+    df = spark.createDataFrame([(int(i), [float(x) for x in row]) for i, row in enumerate(v)], "vec_id long, v array<double>")
+    got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in norm_topk.top_products(df, F.col("vec_id") % 4 == 0, 3).collect())
+    want = [(q, n, i, int(v[i] @ v[q])) for q in range(0, 120, 4) for n, i in enumerate(sorted((i for i in range(120) if i != q), key=lambda i: (-int(v[i] @ v[q]), i))[:3], 1)]
+    assert got == want
+    assert norm_topk.top_products(df, F.lit(False), 3).count() == 0

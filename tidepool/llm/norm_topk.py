@@ -5,7 +5,7 @@ longest vector l asks for a cosine of t / (|q| l): above 1 the bucket is skipped
 query's largest coordinates first and to bound the rest by Cauchy-Schwarz; a low one leaves only vectors long enough.
 What passes is verified by its product. First thresholds come from the longest vectors of all.
 
-Queries are handled in blocks of QUERIES; each block is a broadcast of a fixed size. A null id, a null vector, or one with
+Queries are handled in blocks of QUERIES; each block is a broadcast of a fixed size, and its finds are written before the next. A null id, a null vector, or one with
 null or non-finite components takes no part, nor does one whose dimension isn't that of the smallest id's vector. A query
 id that occurs twice is asked once, with the smaller vector; repeated candidates are all candidates.
 """
@@ -117,23 +117,28 @@ def top_products(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str
         seed_id, seed = arrays(longest.combine_chunks().to_batches()[0]) if longest.num_rows else (np.zeros(0, np.int64), np.zeros((0, dimension)))
         queries = rows.where("asks").groupBy("vec_id").agg(F.min("v").alias("v")).orderBy("vec_id")
         block: list = []
-        parts = []
+        asked = False
+        folder = common.shared_dir(spark, "top-products")
 
         def close():
+            # a block's finds are written before the next block is sent, so the driver and the workers hold one at a time
             query_id, query = np.array([r.vec_id for r in block], np.int64), np.array([r.v for r in block], np.float64)
             block.clear()
             start = Best(len(query_id), k, np.full(len(query_id), -np.inf))
             search(query_id, query, start, seed_id, seed)
-            parts.append(scan(rows.select("vec_id", "v"), spark.sparkContext.broadcast((query_id, query, start.least)), k, schema))
+            sent = spark.sparkContext.broadcast((query_id, query, start.least))
+            scan(rows.select("vec_id", "v"), sent, k, schema).write.mode("append").parquet(folder)
+            sent.destroy()
 
         for row in queries.toLocalIterator():
+            asked = True
             block.append(row)
             if len(block) == QUERIES:
                 close()
         if block:
             close()
-        for part in parts:
-            found = found.unionByName(part)
+        if asked:
+            found = spark.read.schema(schema).parquet(folder)
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
