@@ -139,3 +139,39 @@ def test_tracked_stream(spark, tmp_path):
     out.awaitTermination(120)
     last = {r.scope: (r.bytes, r.active_ns, r.wall_us) for r in spark.table("tracked").orderBy("bytes", "wall_us").collect()}
     assert last == {"r": (10, 100, 2_000_000), "w": (1, 0, 0)}
+
+
+def test_setting_records(spark):
+    rows = spark.createDataFrame([("name", b"value", 7), ("", b"", 1 << 40), ("k" * 200, b"v" * 3000, -1)], "key string, value binary, at long")
+    raw = rows.select(codecs.setting_record(F.col("key"), F.col("value"), F.col("at")).alias("raw"))
+    assert [bytes(r.raw) for r in raw.limit(1).collect()] == [b"\x04name\x05\0value\x07" + bytes(7)]
+    assert [(r.key, bytes(r.value), r.created_ns) for r in raw.select(*codecs.setting_fields(F.col("raw"))).collect()] == [tuple(r) for r in rows.collect()]
+    cut = raw.select(F.expr("substring(raw, 1, octet_length(raw) - 1)").alias("raw"))
+    assert all(set(r) == {None} for r in cut.select(*codecs.setting_fields(F.col("raw"))).collect())
+
+
+def test_packs(spark):
+    from tidepool.operators import packs
+
+    data = [("p", i, 9, 1, f"{i:02x}" * 32, 0, b"x" * i) for i in range(4)] + [("q", 0, 9, 1, "ff" * 32, 0, b"other")]
+    built = packs.built(spark.createDataFrame(data, "packfile string, seq int, type int, version int, mac string, flags int, data binary"), 5).persist()
+    index = packs.index_of(built)
+    assert sorted((r.packfile, r.mac[:2], r.offset, r.length) for r in index.collect()) == [("p", "00", 0, 0), ("p", "01", 0, 1), ("p", "02", 1, 2), ("p", "03", 3, 3), ("q", "ff", 0, 5)]
+    raw = {r.packfile: bytes(r.content) for r in built.collect()}
+    bad = bytearray(raw["q"])
+    bad[6] ^= 1
+    broken = spark.createDataFrame([("q", bytes(bad)), ("e", b""), ("s", raw["p"][1:])], "packfile string, content binary")
+    assert {r.packfile: r.status for r in packs.opened(broken).collect()} == {"q": "index corrupted", "e": "no footer", "s": "no footer"}
+    deltas = index.unionByName(index.where("packfile = 'q'").withColumns({"mac": F.lit("far"), "offset": F.lit(1 << 20)})).unionByName(index.where("packfile = 'q'").withColumns({"mac": F.lit("gone"), "packfile": F.lit("z")}))
+    asked = spark.createDataFrame([(9, m) for m in ("03" * 32, "ff" * 32, "far", "gone", "never")], "type long, mac string")
+    known, none = spark.createDataFrame([("p",), ("q",), ("z",)], "packfile string"), spark.createDataFrame([], "type int, mac string")
+    got = {r.mac: r.error or bytes(r.data) for r in packs.get_blobs(asked, deltas, known, none, built).collect()}
+    assert got == {"03" * 32: b"xxx", "ff" * 32: b"other", "far": "out of bounds", "gone": "packfile missing", "never": "blob not found"}
+
+
+def test_object_ranges(spark):
+    from tidepool.operators import packs
+
+    rows = [("a", 0, "p", 0, 10), ("a", 1, "p", 10, 10), ("a", 2, "p", 20, 10), ("a", 3, "p", 40, 5), ("a", 4, "q", 45, 5), ("b", 0, "q", 50, 5)]
+    got = packs.object_ranges(spark.createDataFrame(rows, "object string, ordinal int, packfile string, offset long, length long"), 15)
+    assert sorted(tuple(r) for r in got.collect()) == [("a", 0, "p", 0, 20, 2), ("a", 1, "p", 20, 10, 1), ("a", 2, "p", 40, 5, 1), ("a", 3, "q", 45, 5, 1), ("b", 0, "q", 50, 5, 1)]

@@ -123,14 +123,28 @@ def width(layout: tuple[tuple[str, int], ...]) -> int:
     return sum(n for _, n in layout)
 
 
+def little(n: Column, size: int) -> Column:
+    """A number's bytes, the lowest first."""
+    big = F.unhex(F.lpad(F.hex(n.cast("long")), 2 * size, "0"))
+    return F.concat(*(F.substring(big, i, 1) for i in range(size, 0, -1)))
+
+
+def number(data: Column, at: Column | int, size: int) -> Column:
+    """The number in `size` bytes from place `at`, which counts from 1."""
+    at = F.lit(at) if isinstance(at, int) else at
+    value = F.lit(0).cast("long")
+    for i in range(size):
+        value = value.bitwiseOR(F.shiftleft(F.conv(F.hex(F.substring(data, (at + i).cast("int"), F.lit(1))), 16, 10).cast("long"), 8 * i))
+    return value
+
+
 def record(layout: tuple[tuple[str, int], ...]) -> Column:
     """The bytes of a row whose columns are named as in the layout; addresses are hex text."""
 
     def field(name: str, size: int) -> Column:
         if size == 32:
             return F.unhex(F.col(name))
-        big = F.unhex(F.lpad(F.hex(F.col(name).cast("long")), 2 * size, "0"))
-        return F.concat(*(F.substring(big, i, 1) for i in range(size, 0, -1)))
+        return little(F.col(name), size)
 
     return F.concat(*(field(*x) for x in layout))
 
@@ -140,12 +154,22 @@ def fields(data: Column, layout: tuple[tuple[str, int], ...]) -> list[Column]:
     out, at = [], 1
     fits = F.octet_length(data) == width(layout)
     for name, size in layout:
-        if size == 32:
-            value = F.lower(F.hex(F.substring(data, at, 32)))
-        else:
-            value = F.lit(0).cast("long")
-            for i in range(size):
-                value = value.bitwiseOR(F.shiftleft(F.conv(F.hex(F.substring(data, at + i, 1)), 16, 10).cast("long"), 8 * i))
+        value = F.lower(F.hex(F.substring(data, at, 32))) if size == 32 else number(data, at, size)
         out.append(F.when(fits, value).alias(name))
         at += size
     return out
+
+
+def setting_record(key: Column, value: Column, created_ns: Column) -> Column:
+    """A configuration entry: length and bytes of the key (1) and of the value (2), then its time (8)."""
+    name = F.encode(key, "UTF-8")
+    return F.concat(little(F.octet_length(name), 1), name, little(F.octet_length(value), 2), value, little(created_ns, 8))
+
+
+def setting_fields(data: Column) -> list[Column]:
+    """key, value and created_ns of a configuration entry; all null if its lengths don't fit."""
+    n = number(data, 1, 1)
+    m = F.when(F.octet_length(data) >= n + 3, number(data, n + 2, 2))
+    fits = F.octet_length(data) == n + m + 11
+    part = lambda at, size: F.substring(data, at.cast("int"), size.cast("int"))
+    return [F.when(fits, x).alias(name) for x, name in ((part(F.lit(2), n).cast("string"), "key"), (part(n + 4, m), "value"), (number(data, n + m + 4, 8), "created_ns"))]

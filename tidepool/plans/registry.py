@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidepool.functions import codecs, mime, paths, scalars
-from tidepool.operators import catalog, content, locate, telemetry, tree
+from tidepool.operators import catalog, content, locate, packs, telemetry, tree
 from tidepool.streaming import events as streams
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -622,3 +622,22 @@ def files_sorted(spark, d):
     ordered = locate.sort_files(rows, "-Size,Name", "p_partkey")
     place = F.row_number().over(Window.orderBy(F.col("size").desc(), "name", "p_partkey"))
     return ordered.select("p_partkey", place.cast("long").alias("place"))
+
+
+def packed_documents(spark, d):
+    """Documents in packs of 64."""
+    return table(spark, d, "documents").select(F.floor(F.col("doc_id") / 64).cast("string").alias("packfile"), F.col("doc_id").alias("seq"), F.lit(9).alias("type"), F.lit(65536).alias("version"), F.sha2("text", 256).alias("mac"), F.lit(0).alias("flags"), F.encode("text", "UTF-8").alias("data"))
+
+
+@query("SELECT CAST(doc_id // 64 AS VARCHAR) AS packfile, sha256(text) AS mac, coalesce(sum(octet_length(encode(text))) OVER (PARTITION BY doc_id // 64 ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS \"offset\", octet_length(encode(text))::BIGINT AS length FROM documents")
+def pack_index(spark, d):
+    return packs.index_of(packs.built(packed_documents(spark, d), 0)).select("packfile", "mac", "offset", "length")
+
+
+@query("SELECT DISTINCT sha256(text) AS mac, CASE WHEN doc_id // 64 % 2 = 0 THEN octet_length(encode(text))::BIGINT END AS size, CASE WHEN doc_id // 64 % 2 = 1 THEN 'blob not found' END AS error FROM (SELECT min(doc_id) FILTER (WHERE doc_id // 64 % 2 = 0) AS even, min(doc_id) AS least, text, coalesce(even, least) AS doc_id FROM documents GROUP BY text)")
+def packed_blobs(spark, d):
+    blobs = packed_documents(spark, d)
+    held = packs.built(blobs.where("cast(packfile as long) % 2 = 0"), 0)
+    index = packs.index_of(held)
+    got = packs.get_blobs(blobs.withColumn("type", F.lit(9).cast("long")), index, held.select("packfile"), spark.createDataFrame([], "type int, mac string"), held)
+    return got.select("mac", F.octet_length("data").cast("long").alias("size"), "error")
