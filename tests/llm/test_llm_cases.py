@@ -96,6 +96,18 @@ def test_leak_cases(spark, docs, none):
     assert {len(r.hits or []) for r in decontaminate.with_hits(docs, bench.limit(0)).collect()} == {0}
 
 
+@pytest.mark.parametrize("every", [5, 6, 7, 8])
+@pytest.mark.parametrize("exact", [False, True])
+def test_regularly_edited_leaks(spark, every, exact):
+    """Copies whose broken n-grams are the rarest of the item's."""
+    item = [f"q{i}" for i in range(40)]
+    copy = [f"z{i}" if i % every == every - 1 else w for i, w in enumerate(item)]
+    rows = [(1, " ".join([*WORDS[:50], *copy, *WORDS[50:90]])), (2, " ".join(WORDS))] + [(3, " ".join(item))] * exact
+    bench = spark.createDataFrame([(9, " ".join(item))], "item_id long, text string")
+    got = {(r.doc_id, h.item_id): h.score for r in decontaminate.with_hits(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect() for h in r.hits}
+    assert set(got) == {(1, 9)} | ({(3, 9)} if exact else set()) and got[1, 9] >= decontaminate.LEAST_SCORE
+
+
 def test_blocks_of_items(spark, docs, monkeypatch):
     bench = spark.createDataFrame([(i, " ".join(WORDS[i * 10 : i * 10 + 30])) for i in range(20)], "item_id long, text string")
     whole = sorted((r.doc_id or 0, h.item_id) for r in decontaminate.with_hits(docs, bench).collect() for h in r.hits)

@@ -1,8 +1,9 @@
-"""Test items in training text, found by rare n-grams and scored by local alignment.
+"""Test items in training text, found by shared n-grams and scored by local alignment.
 
-How many documents hold each n-gram of a test item is counted over all documents. The rarer half of an item's n-grams are
-its seeds. Where a document has a seed, Smith-Waterman aligns the item's words with the words around, so that edited and
-paraphrased copies score too; the score is the share of a perfect match's.
+Every n-gram of a test item is a seed, common ones too: edits leave the common ones as likely as the rare ones. Where a
+document has a seed, Smith-Waterman aligns the item's words with the words around, so that edited and paraphrased copies
+score too; the score is the share of a perfect match's. Places where too few of the item's words are near the seed for
+LEAST_SCORE are not aligned. A copy in which no n-gram is left whole (each fourth word replaced, say) isn't found.
 
 Test items are taken in blocks of BLOCK_WORDS words: a block's index is all that travels to the workers. Items of fewer
 words than a seed match documents that have just these words. Null texts, and texts or items without words, match nothing.
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 
 from tidepool.llm import common
 
-N, LEAST_SEEDS, BLOCK_WORDS = 4, 8, 1_000_000
+N, BLOCK_WORDS = 4, 1_000_000
 MATCH, MISMATCH, GAP = 2, -1, 1
 LEAST_SCORE = 0.5
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -87,6 +88,11 @@ class Index:
             self.items.append(ids)
         self.at, self.owner = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (at, owner))
         self.codes, self.gram = np.unique(np.concatenate(codes) if codes else np.zeros(0, np.uint64), return_inverse=True)
+        order = np.argsort(self.gram, kind="stable")
+        self.seed_at, self.seed_owner = self.at[order], self.owner[order]
+        self.begin = np.searchsorted(self.gram[order], np.arange(len(self.codes) + 1))
+        self.size = np.fromiter(map(len, self.items), np.int64, len(self.items))
+        del self.at, self.owner, self.gram
 
     @classmethod
     def of(cls, state: dict) -> Index:
@@ -95,18 +101,6 @@ class Index:
         index.__dict__.update(state)
         return index
 
-    def use(self, count: np.ndarray) -> None:
-        """Keeps as seeds the rarer half of each item's n-grams, LEAST_SEEDS at least; count: documents of each n-gram."""
-        order = np.lexsort((self.at, count[self.gram], self.owner))
-        owner = self.owner[order]
-        first = np.searchsorted(owner, np.arange(len(self.items)))
-        size = np.diff(np.append(first, len(owner)))
-        rank = np.arange(len(owner)) - first[owner]
-        order = order[rank < np.maximum(LEAST_SEEDS, (size[owner] + 1) // 2)]
-        order = order[np.argsort(self.gram[order], kind="stable")]
-        self.seed_gram, self.seed_at, self.seed_owner = self.gram[order], self.at[order], self.owner[order]
-        self.begin = np.searchsorted(self.seed_gram, np.arange(len(self.codes) + 1))
-
     def ids(self, text: str) -> np.ndarray:
         words = common.words_of(text)
         get = self.word.get
@@ -121,6 +115,15 @@ class Index:
         same = self.codes[k] == code
         return at[same], k[same]
 
+    def may_score(self, item: np.ndarray, window: np.ndarray) -> bool:
+        """Whether so many of the item's words are in the window that LEAST_SCORE can be reached."""
+        near = self.__dict__.setdefault("near", np.zeros(len(self.word) + 1, bool))  # the last place is that of unknown words
+        near[window] = True
+        near[-1] = False
+        n = np.count_nonzero(near[item])
+        near[window] = False
+        return n >= LEAST_SCORE * len(item)
+
     def hits(self, text: str) -> list[dict]:
         """item_id, score, and first and past-the-last word of each item that the text has, best place only."""
         ids = self.ids(text)
@@ -135,7 +138,7 @@ class Index:
         owner, place = self.seed_owner[seed], self.seed_at[seed]
         order = np.lexsort((at, owner))
         at, owner, place = at[order], owner[order], place[order]
-        size = np.fromiter(map(len, self.items), np.int64, len(self.items))[owner]
+        size = self.size[owner]
         cut = np.flatnonzero((owner[1:] != owner[:-1]) | (at[1:] - at[:-1] > 2 * size[1:])) + 1
         best: dict[int, dict] = {}
         for a, b in zip([0, *cut.tolist()], [*cut.tolist(), len(at)], strict=True):
@@ -144,6 +147,8 @@ class Index:
             margin = len(item) // 2 + 2
             low = max(0, int((at[a:b] - place[a:b]).min()) - margin)
             high = min(len(ids), int((at[a:b] - place[a:b]).max()) + len(item) + margin)
+            if not self.may_score(item, ids[low:high]):
+                continue
             score, start, stop = align(item, ids[low:high])
             share = score / (MATCH * len(item))
             if share >= LEAST_SCORE and (o not in best or share > best[o]["score"]):
@@ -164,24 +169,6 @@ def blocks(benchmark: DataFrame):
         yield held
 
 
-def document_counts(docs: DataFrame, index, size: int) -> np.ndarray:
-    """How many documents have each n-gram of a block."""
-
-    def run(batches):
-        known, count = Index.of(index.value), np.zeros(size, np.int64)
-        for batch in common.text_slices(batches):
-            for text in batch.column("text").to_pylist():
-                if text:
-                    count[np.unique(known.found(known.ids(text))[1])] += 1
-        at = np.flatnonzero(count)
-        yield pa.RecordBatch.from_pydict({"gram": pa.array(at, pa.int64()), "n": pa.array(count[at], pa.int64())})
-
-    got = common.map_arrow(docs.select(F.col("text").cast("string").alias("text")), run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).toArrow()
-    count = np.zeros(size, np.int64)
-    count[got["gram"].to_numpy()] = got["n"].to_numpy()
-    return count
-
-
 def with_hits(docs: DataFrame, benchmark: DataFrame, column: str = "hits") -> DataFrame:
     """docs with the test items found in the text: an array of item_id, score, start, stop (words)."""
     rows = docs.drop(column)
@@ -201,9 +188,7 @@ def with_hits(docs: DataFrame, benchmark: DataFrame, column: str = "hits") -> Da
         return run
 
     for items in blocks(benchmark):
-        index = Index(items)
-        index.use(document_counts(docs, context.broadcast(vars(index)), len(index.codes)))
-        out = common.map_arrow(out, step(context.broadcast(vars(index))), f"{schema}, `{column}` array<{HIT}>")
+        out = common.map_arrow(out, step(context.broadcast(vars(Index(items)))), f"{schema}, `{column}` array<{HIT}>")
     return out
 
 
