@@ -148,6 +148,15 @@ def test_grammar():
         next(repair.blocks_of(b"other file"))
 
 
+def test_frequent_pairs_are_not_shut_out():
+    """Many rare pairs after the frequent ones."""
+    ids = np.concatenate([np.tile(np.stack([np.arange(300), np.arange(300) + 300, np.arange(300) + 1000], axis=1).reshape(-1), 40), 2000 + np.random.default_rng(5).permutation(400_000)])
+    ids[2:36_000:3] = 500_000 + np.arange(12_000)
+    seq, start, rules = repair.compress(ids, np.array([0, len(ids)]), 1_000_000)
+    assert sorted(map(tuple, rules.tolist())) == [(i, i + 300) for i in range(300)] and len(seq) == len(ids) - 12_000
+    assert np.array_equal(repair.expand(seq, rules, 1_000_000)[0], ids)
+
+
 def test_word_encoding_is_exact():
     coder = repair.WordTokenizer(words())
     r = random.Random(4)

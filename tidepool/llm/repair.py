@@ -29,7 +29,9 @@ from tidepool.llm.fastencode import PieceEncoder, flat
 MAGIC = b"TPRP0001"
 #: Tokens of a block, a longer document aside.
 BLOCK_TOKENS = 2_000_000
-ROUNDS, RULES_A_ROUND, LEAST_COUNT, SLOT_BITS = 4, 2048, 16, 18
+#: A pair that occurs so often in a block, occurrences that overlap aside, is replaced.
+LEAST_COUNT = 16
+ROUNDS = 4
 #: Texts with these are not split at white space: they are white space to Arrow, but not to the tokenizer.
 ODD_SPACE = "[\x1c-\x1f]"
 #: Letters, then ASCII marks; of Latin letters those that lower case and NFC leave one character each.
@@ -46,69 +48,117 @@ MOST_PARTS, MOST_OTHERS = 1_000_000, 200_000
 def compress(ids: np.ndarray, bounds: np.ndarray, first_symbol: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """ids, where each document begins (n + 1 numbers) -> (symbols, where each document's begin, rules as rows of two).
 
-    No rule spans two documents. Rule i makes symbol first_symbol + i of two earlier symbols or ids.
+    No rule spans two documents. Rule i makes symbol first_symbol + i of two earlier symbols or ids. All pairs are counted
+    exactly; in a round, the places of frequent pairs are replaced where neither neighbouring place has a commoner pair, so
+    the commonest pair is replaced everywhere. There are ROUNDS rounds at most. A pair's count
+    only falls while its symbols stay, so a round looks at places of frequent pairs and beside new symbols only.
     """
     seq, start, rules, made = ids.astype(np.uint32), bounds.astype(np.int64), [], first_symbol
-    bits = max(8, min(SLOT_BITS, len(seq).bit_length()))
+    live = np.ones(len(seq), bool)
     for _ in range(ROUNDS):
         if len(seq) < 2:
             break
-        a, b = seq[:-1], seq[1:]
-        slot = ((a * np.uint32(0x9E3779B1) + b * np.uint32(0x85EBCA6B)) >> np.uint32(32 - bits)).astype(np.int32)
-        # a slot stands for one of the pairs that fall into it; the others wait for another round
-        left, right = np.zeros(1 << bits, np.uint32), np.zeros(1 << bits, np.uint32)
-        left[slot], right[slot] = a, b
-        match = (left[slot] == a) & (right[slot] == b)
-        match[start[1:][start[1:] > start[:-1]][:-1] - 1] = False  # a document's last symbol and the next one's first
-        at = np.flatnonzero(match)
-        slot = slot[at]
-        count = np.bincount(slot, minlength=1 << bits)
-        least = max(LEAST_COUNT, int(np.partition(count, -min(RULES_A_ROUND, len(count)))[-min(RULES_A_ROUND, len(count))]))
-        chosen = np.flatnonzero(count >= least)
-        if not len(chosen):
+        live[start[1:][start[1:] > start[:-1]] - 1] = False  # a document's last symbol and the next one's first
+        live[-1] = False
+        at, count, pair = frequent_pairs(seq, np.flatnonzero(live))
+        if not len(count):
             break
-        symbol = np.zeros(1 << bits, np.uint32)
-        symbol[chosen] = made + np.arange(len(chosen))
-        sign = symbol[slot]
-        at, sign = at[sign > 0], sign[sign > 0]
-        # of overlapping pairs, the first, third and so on are replaced
-        new_run = np.ones(len(at), bool)
-        new_run[1:] = at[1:] != at[:-1] + 1
-        firsts = np.flatnonzero(new_run)
-        odd = (at - np.repeat(at[firsts], np.diff(firsts, append=len(at)))) & 1 == 0
-        at, sign = at[odd], sign[odd]
+        # by falling rank, the commonest pair last
+        rank = np.empty(len(count), np.int32)
+        rank[np.argsort(count, kind="stable")] = np.arange(1, len(count) + 1)
+        held = np.zeros(len(seq) + 1, np.int32)
+        held[at] = np.repeat(rank, count)
+        mine = held[at]
+        chosen = (mine > held[at + 1]) & (mine > held[at - 1])
+        of = np.repeat(np.arange(len(count)), count)
+        uses = np.bincount(of[chosen], minlength=len(count))
+        new = np.flatnonzero(uses >= LEAST_COUNT)  # others wait: commoner pairs took their places
+        symbol = np.zeros(len(count), np.uint32)
+        symbol[new] = made + np.arange(len(new))
+        sign = symbol[of]
+        chosen &= sign > 0
+        same = seq[:-1] == seq[1:]  # which places of a run count depends on where it begins
+        live[:] = False
+        live[at] = True
+        live[:-1] |= same
+        at, sign = at[chosen], sign[chosen]
+        live[at - (at > 0)] = True
         seq[at] = sign
         alive = np.ones(len(seq), bool)
         alive[at + 1] = False
-        start = start - np.searchsorted(at + 1, start)
-        seq = seq[alive]
-        rules.append(np.stack([left[chosen], right[chosen]], axis=1).astype(np.int64))
-        made += len(chosen)
+        gone = np.zeros(len(seq) + 1, np.int64)
+        np.cumsum(~alive, out=gone[1:])
+        start = start - gone[start]
+        seq, live = seq[alive], live[alive]
+        rules.append(pair[new])
+        made += len(new)
     return seq.astype(np.int64), start, np.concatenate(rules) if rules else np.zeros((0, 2), np.int64)
 
 
-def expansions(rules: np.ndarray, first_symbol: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(all ids that the rules stand for, where each rule's begin, how many)."""
-    parts: list[np.ndarray] = []
-    of = lambda s: parts[s - first_symbol] if s >= first_symbol else np.array([s], np.int64)
-    for a, b in rules.tolist():
-        parts.append(np.concatenate([of(a), of(b)]))
-    size = np.fromiter(map(len, parts), np.int64, len(parts))
-    return np.concatenate(parts) if parts else np.zeros(0, np.int64), np.cumsum(size) - size, size
-
-
-def expand(seq: np.ndarray, rules: np.ndarray, first_symbol: int) -> tuple[np.ndarray, np.ndarray]:
-    """(ids, where each symbol's ids begin in them, n + 1 numbers)."""
-    flat, begin, size = expansions(rules, first_symbol)
-    is_rule, rule = seq >= first_symbol, np.maximum(seq - first_symbol, 0)
-    flat = np.concatenate([flat, np.zeros(1, np.int64)])
-    begin, size = np.concatenate([begin, [0]]), np.concatenate([size, [1]])
-    rule = np.minimum(rule, len(size) - 1)
-    n = np.where(is_rule, size[rule], 1)
+def frequent_pairs(seq: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(places, how many of each pair, pairs as rows of two) of pairs that begin LEAST_COUNT times at the places `at`, in
+    order of pairs; of places in a run of one symbol every second one counts."""
+    a, b = seq[at], seq[at + 1]
+    twin = np.flatnonzero(a == b)
+    if len(twin):
+        run = np.ones(len(twin), bool)
+        run[1:] = at[twin[1:]] != at[twin[:-1]] + 1
+        firsts = np.flatnonzero(run)
+        odd = (at[twin] - np.repeat(at[twin[firsts]], np.diff(firsts, append=len(twin)))) & 1 == 1
+        keep = np.ones(len(at), bool)
+        keep[twin[odd]] = False
+        at, a, b = at[keep], a[keep], b[keep]
+    # places whose pair falls into a slot with too few can't be frequent; the others are counted by the whole pair
+    slot = ((a * np.uint32(0x9E3779B1)) ^ (b * np.uint32(0x85EBCA6B))) >> np.uint32(32 - max(8, min(22, len(at).bit_length())))
+    slot = slot.astype(np.int32)
+    enough = np.bincount(slot, minlength=1)[slot] >= LEAST_COUNT
+    at, a, b = at[enough], a[enough].astype(np.uint64), b[enough].astype(np.uint64)
+    if not len(at):
+        return at, at, np.zeros((0, 2), np.int64)
+    half, low = int(max(a.max(), b.max())).bit_length(), len(seq).bit_length()
+    if 2 * half + low <= 64:  # pair and place in one number
+        a = ((a << np.uint64(half) | b) << np.uint64(low)) | at.astype(np.uint64)
+        a.sort()
+        at, pair = (a & np.uint64((1 << low) - 1)).astype(np.int64), a >> np.uint64(low)
+    else:
+        pair = a << np.uint64(half) | b
+        order = np.argsort(pair, kind="stable")
+        at, pair = at[order], pair[order]
+    first = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]]))
+    count = np.diff(first, append=len(pair))
+    often = count >= LEAST_COUNT
+    pair = pair[first[often]]
+    return at[np.repeat(often, count)], count[often], np.stack([pair >> np.uint64(half), pair & np.uint64((1 << half) - 1)], axis=1).astype(np.int64)
+
+
+def rule_sizes(rules: np.ndarray, first_symbol: int) -> np.ndarray:
+    """How many ids each rule stands for."""
+    size: list[int] = []
+    for a, b in (rules - first_symbol).tolist():
+        size.append((size[a] if a >= 0 else 1) + (size[b] if b >= 0 else 1))
+    return np.array(size, np.int64)
+
+
+def expand(seq: np.ndarray, rules: np.ndarray, first_symbol: int, size: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, where each symbol's ids begin in them, n + 1 numbers). size: what rule_sizes() says, if known.
+
+    Symbols are put where their ids begin, then split into two until none is a rule: as many steps as rules are deep.
+    """
+    size = rule_sizes(rules, first_symbol) if size is None else size
+    n, is_rule = np.ones(len(seq), np.int64), seq >= first_symbol
+    n[is_rule] = size[seq[is_rule] - first_symbol]
     ends = np.concatenate([[0], np.cumsum(n)])
-    out = flat[np.repeat(np.where(is_rule, begin[rule], 0) - ends[:-1], n) + np.arange(ends[-1])]
-    plain = ends[:-1][~is_rule]
-    out[plain] = seq[~is_rule]
+    out = np.empty(ends[-1], np.int64)
+    out[ends[:-1]] = seq
+    at, rule = ends[:-1][is_rule], seq[is_rule] - first_symbol
+    while len(at):
+        left, right = rules[rule, 0], rules[rule, 1]
+        left_rule, right_rule = left >= first_symbol, right >= first_symbol
+        step = np.ones(len(at), np.int64)
+        step[left_rule] = size[left[left_rule] - first_symbol]
+        out[at], out[at + step] = left, right
+        at = np.concatenate([at[left_rule], (at + step)[right_rule]])
+        rule = np.concatenate([left[left_rule], right[right_rule]]) - first_symbol
     return out, ends
 
 
@@ -132,7 +182,7 @@ def unplanes(raw: memoryview, at: int) -> tuple[np.ndarray, int]:
 
 def block_bytes(doc_ids: np.ndarray, ids: np.ndarray, bounds: np.ndarray, first_symbol: int) -> bytes:
     seq, start, rules = compress(ids, bounds, first_symbol)
-    _, _, size = expansions(rules, first_symbol)
+    size = rule_sizes(rules, first_symbol)
     body = struct.pack("<QQQ", len(doc_ids), len(rules), first_symbol) + doc_ids.astype("<i8").tobytes() + bounds.astype("<u8").tobytes() + start.astype("<u8").tobytes() + rules.astype("<u4").tobytes() + size.astype("<u4").tobytes() + planes(seq)
     return struct.pack("<Q", len(body)) + body
 
@@ -151,10 +201,10 @@ class Block:
         self.seq, _ = unplanes(raw, at + 4 * n_rules)
 
     def ids(self) -> np.ndarray:
-        return expand(self.seq, self.rules, self.first_symbol)[0]
+        return expand(self.seq, self.rules, self.first_symbol, self.rule_size)[0]
 
     def document(self, i: int) -> np.ndarray:
-        return expand(self.seq[self.start[i] : self.start[i + 1]], self.rules, self.first_symbol)[0]
+        return expand(self.seq[self.start[i] : self.start[i + 1]], self.rules, self.first_symbol, self.rule_size)[0]
 
     def token(self, i: int, j: int) -> int:
         """Token j of document i: the symbol's place by lengths, then down the rules; nothing else is expanded."""
