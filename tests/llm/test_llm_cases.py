@@ -157,6 +157,23 @@ def test_frequent_pairs_are_not_shut_out():
     assert np.array_equal(repair.expand(seq, rules, 1_000_000)[0], ids)
 
 
+def test_no_frequent_pair_is_left():
+    r = np.random.default_rng(6)
+    passage = r.integers(0, 900, 300)
+    parts = [x for i in range(40) for x in (passage, np.minimum(r.zipf(1.2, 700), 899), np.full(r.integers(0, 50), 7))]
+    ids, bounds = np.concatenate(parts), np.concatenate([[0], np.cumsum([len(x) for x in parts])])
+    seq, start, rules = repair.compress(ids, bounds, 1000)
+    assert np.array_equal(repair.expand(seq, rules, 1000)[0], ids)
+    assert all(start[i + 1] - start[i] <= 2 for i in range(0, 120, 3))
+    count = {}
+    for a, b in zip(start[:-1].tolist(), start[1:].tolist(), strict=True):
+        free = {}
+        for i, pair in enumerate(zip(seq[a : b - 1].tolist(), seq[a + 1 : b].tolist(), strict=True)):
+            if i >= free.get(pair, 0):
+                count[pair], free[pair] = count.get(pair, 0) + 1, i + 2
+    assert max(count.values()) < repair.LEAST_COUNT
+
+
 def test_word_encoding_is_exact():
     coder = repair.WordTokenizer(words())
     r = random.Random(4)

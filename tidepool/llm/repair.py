@@ -31,7 +31,6 @@ MAGIC = b"TPRP0001"
 BLOCK_TOKENS = 2_000_000
 #: A pair that occurs so often in a block, occurrences that overlap aside, is replaced.
 LEAST_COUNT = 16
-ROUNDS = 4
 #: Texts with these are not split at white space: they are white space to Arrow, but not to the tokenizer.
 ODD_SPACE = "[\x1c-\x1f]"
 #: Letters, then ASCII marks; of Latin letters those that lower case and NFC leave one character each.
@@ -50,14 +49,12 @@ def compress(ids: np.ndarray, bounds: np.ndarray, first_symbol: int) -> tuple[np
 
     No rule spans two documents. Rule i makes symbol first_symbol + i of two earlier symbols or ids. All pairs are counted
     exactly; in a round, the places of frequent pairs are replaced where neither neighbouring place has a commoner pair, so
-    the commonest pair is replaced everywhere. There are ROUNDS rounds at most. A pair's count
+    the commonest pair is replaced everywhere and rounds come to an end when no pair has LEAST_COUNT places. A pair's count
     only falls while its symbols stay, so a round looks at places of frequent pairs and beside new symbols only.
     """
     seq, start, rules, made = ids.astype(np.uint32), bounds.astype(np.int64), [], first_symbol
     live = np.ones(len(seq), bool)
-    for _ in range(ROUNDS):
-        if len(seq) < 2:
-            break
+    while len(seq) > 1:
         live[start[1:][start[1:] > start[:-1]] - 1] = False  # a document's last symbol and the next one's first
         live[-1] = False
         at, count, pair = frequent_pairs(seq, np.flatnonzero(live))
