@@ -57,6 +57,21 @@ def test_many_near_copies(spark):
     assert {got[i] for i in range(700)} == {0} and all(got[1000 + i] == 1000 + i for i in range(400))
 
 
+def test_pairs_within_a_shared_passage(spark, monkeypatch):
+    """Near copies of texts that are mostly one passage: every pair that shares a sketch is found, by rare words or without."""
+    r = random.Random(8)
+    passage, rows = [f"s{i}" for i in range(75)], []
+    for i in range(75):
+        own = [f"u{i}x{j}" for j in range(25)]
+        copy = [f"v{i}x{j}" if j in r.sample(range(25), 10) else w for j, w in enumerate(own)]
+        rows += [(i, " ".join([*passage, *own])), (1000 + r.randrange(10**6) * 100 + i, " ".join([*passage, *copy]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").cache()
+    for direct in (order_minhash.DIRECT, 10**6):
+        monkeypatch.setattr(order_minhash, "DIRECT", direct)
+        got = {x.doc_id: x.class_id for x in order_minhash.near_duplicates(docs).collect()}
+        assert all(got[d] == (d if d < 1000 else d % 100) for d, _ in rows)
+
+
 def test_distance():
     r = random.Random(3)
     for _ in range(500):
