@@ -2,11 +2,12 @@
 
 Documents are dealt into shards by ranges of their id. Each shard file is a run of blocks of whole documents; in a block,
 frequent pairs of ids are replaced by nonterminals, round after round, until no pair is frequent. A block stores its
-rules, the length that each rule expands to, and where each document's symbols start, so one document, or one token of
-one, is decoded without its neighbours.
+rules, the length that each rule expands to, and where each document's symbols start; a footer says where the blocks are.
+So one document, or one token of one, is decoded without its neighbours, and no reader holds more than a block.
 
-Null texts count as empty; an empty document has its end id only. Documents with the same id keep one place each, in no
-set order. Columns other than the id and the text are not looked at. An empty table gives no file.
+Null texts count as empty; an empty document has its end id only. Null ids come first and stay null; ids are 64-bit whole
+numbers throughout. Documents with the same id keep one place each, in no set order. A document longer than a block is a
+block of its own. Columns other than the id and the text are not looked at. An empty table gives no file.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ import os
 import struct
 import uuid
 import zlib
-from collections.abc import Iterator
+from bisect import bisect_right
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 from tidepool.llm import common
 from tidepool.llm.fastencode import PieceEncoder, flat
 
-MAGIC = b"TPRP0001"
+MAGIC, END = b"TPRP0002", b"TPRPEND2"
 #: Tokens of a block, a longer document aside.
 BLOCK_TOKENS = 2_000_000
 #: A pair that occurs so often in a block, occurrences that overlap aside, is replaced.
@@ -177,10 +178,11 @@ def unplanes(raw: memoryview, at: int) -> tuple[np.ndarray, int]:
     return low | high << 16, at + 2 * n + packed
 
 
-def block_bytes(doc_ids: np.ndarray, ids: np.ndarray, bounds: np.ndarray, first_symbol: int) -> bytes:
+def block_bytes(doc_ids: np.ndarray, known: np.ndarray, ids: np.ndarray, bounds: np.ndarray, first_symbol: int) -> bytes:
+    """A block's length and its body. known: which of doc_ids aren't null."""
     seq, start, rules = compress(ids, bounds, first_symbol)
     size = rule_sizes(rules, first_symbol)
-    body = struct.pack("<QQQ", len(doc_ids), len(rules), first_symbol) + doc_ids.astype("<i8").tobytes() + bounds.astype("<u8").tobytes() + start.astype("<u8").tobytes() + rules.astype("<u4").tobytes() + size.astype("<u4").tobytes() + planes(seq)
+    body = struct.pack("<QQQ", len(doc_ids), len(rules), first_symbol) + doc_ids.astype("<i8").tobytes() + np.packbits(known).tobytes() + bounds.astype("<u8").tobytes() + start.astype("<u8").tobytes() + rules.astype("<u4").tobytes() + size.astype("<u4").tobytes() + planes(seq)
     return struct.pack("<Q", len(body)) + body
 
 
@@ -189,9 +191,10 @@ class Block:
 
     def __init__(self, raw: memoryview):
         n, n_rules, self.first_symbol = struct.unpack_from("<QQQ", raw, 0)
-        at = 24
-        self.doc_ids = np.frombuffer(raw, "<i8", n, at)
-        self.bounds = np.frombuffer(raw, "<u8", n + 1, at := at + 8 * n).astype(np.int64)
+        at, bits = 24, -(-n // 8)
+        known = np.unpackbits(np.frombuffer(raw, "u1", bits, at + 8 * n), count=n).astype(bool)
+        self.doc_ids = pa.array(np.frombuffer(raw, "<i8", n, at), pa.int64(), mask=~known)
+        self.bounds = np.frombuffer(raw, "<u8", n + 1, at := at + 8 * n + bits).astype(np.int64)
         self.start = np.frombuffer(raw, "<u8", n + 1, at := at + 8 * (n + 1)).astype(np.int64)
         self.rules = np.frombuffer(raw, "<u4", 2 * n_rules, at := at + 8 * (n + 1)).reshape(-1, 2).astype(np.int64)
         self.rule_size = np.frombuffer(raw, "<u4", n_rules, at := at + 8 * n_rules).astype(np.int64)
@@ -218,14 +221,46 @@ class Block:
         return s
 
 
-def blocks_of(content: bytes) -> Iterator[Block]:
-    raw, at = memoryview(content), len(MAGIC)
-    if bytes(raw[:at]) != MAGIC:
-        raise ValueError("not a shard file")
-    while at < len(raw):
-        (n,) = struct.unpack_from("<Q", raw, at)
-        yield Block(raw[at + 8 : at + 8 + n])
-        at += 8 + n
+#: A footer's entry for each block: where it begins in the file, and how many documents and tokens are before it.
+ENTRY = "<QQQ"
+
+
+def footer(entries: list[tuple[int, int, int]]) -> bytes:
+    return b"".join(struct.pack(ENTRY, *x) for x in entries) + struct.pack("<Q", len(entries)) + END
+
+
+class Shard:
+    """A shard file, open for reading: its blocks one at a time, and any document or token of it."""
+
+    def __init__(self, file, size: int):
+        self.file, tail = file, len(END) + 8
+        if size < len(MAGIC) + tail or self.get(0, len(MAGIC)) != MAGIC or self.get(size - len(END), len(END)) != END:
+            raise ValueError("not a shard file")
+        (n,) = struct.unpack("<Q", self.get(size - tail, 8))
+        width = struct.calcsize(ENTRY) * n
+        self.entries = list(struct.iter_unpack(ENTRY, self.get(size - tail - width, width)))
+
+    def get(self, at: int, n: int) -> bytes:
+        self.file.seek(at)
+        return self.file.read(n)
+
+    def block(self, k: int) -> Block:
+        at = self.entries[k][0]
+        (n,) = struct.unpack("<Q", self.get(at, 8))
+        return Block(memoryview(self.get(at + 8, n)))
+
+    def place(self, i: int) -> tuple[Block, int]:
+        """The block that has the shard's document i, and its number there."""
+        k = bisect_right([x[1] for x in self.entries], i) - 1
+        return self.block(k), i - self.entries[k][1]
+
+    def document(self, i: int) -> np.ndarray:
+        block, i = self.place(i)
+        return block.document(i)
+
+    def token(self, i: int, j: int) -> int:
+        block, i = self.place(i)
+        return block.token(i, j)
 
 
 # -- tokenizer -------------------------------------------------------------------------------------------------------
@@ -322,14 +357,20 @@ def write_shards(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int
 
         shard = TaskContext.get().partitionId()
         coder, out, total = tokenizer(tokenizer_path), None, 0
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
+        entries: list[tuple[int, int, int]] = []
+        at, documents, tokens = len(MAGIC), 0, 0  # of what is written
         fs, top = common.filesystem(folder)
         name, temporary = f"{top}/shard-{shard:08d}.rp", f"{top}/.tmp-{shard}-{uuid.uuid4().hex}"
 
         def flush():
-            ids = np.concatenate([x[1] for x in held])
-            size = np.concatenate([np.diff(x[2]) for x in held])
-            out.write(block_bytes(np.concatenate([x[0] for x in held]), ids, np.concatenate([[0], np.cumsum(size)]), max(coder.n_ids, end_id + 1)))
+            nonlocal at, documents, tokens
+            doc_ids, known, ids = (np.concatenate([x[i] for x in held]) for i in range(3))
+            size = np.concatenate([np.diff(x[3]) for x in held])
+            raw = block_bytes(doc_ids, known, ids, np.concatenate([[0], np.cumsum(size)]), max(coder.n_ids, end_id + 1))
+            out.write(raw)
+            entries.append((at, documents, tokens))
+            at, documents, tokens = at + len(raw), documents + len(size), tokens + len(ids)
             held.clear()
 
         for batch in common.text_slices(batches, most=SLICE):
@@ -339,17 +380,19 @@ def write_shards(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int
                 out.write(MAGIC)
             ids, bounds = coder.encode(batch.column("text"))
             bounds = bounds + np.arange(len(bounds))
-            at = np.full(bounds[-1], end_id, np.uint16 if max(coder.n_ids, end_id + 1) <= 65536 else np.int32)
-            inner = np.ones(len(at), bool)
+            whole = np.full(bounds[-1], end_id, np.uint16 if max(coder.n_ids, end_id + 1) <= 65536 else np.int32)
+            inner = np.ones(len(whole), bool)
             inner[bounds[1:] - 1] = False
-            at[inner] = ids
-            held.append((batch.column("doc_id").to_numpy(zero_copy_only=False), at, bounds))
-            total += len(at)
-            if sum(len(x[1]) for x in held) >= BLOCK_TOKENS:
+            whole[inner] = ids
+            doc_id = batch.column("doc_id")  # through whole numbers only: a float has 53 bits, and a null would make floats of all
+            held.append((pc.fill_null(doc_id, 0).to_numpy(zero_copy_only=False).copy(), pc.is_valid(doc_id).to_numpy(zero_copy_only=False), whole, bounds))
+            total += len(whole)
+            if sum(len(x[2]) for x in held) >= BLOCK_TOKENS:
                 flush()
         if out is not None:
             if held:
                 flush()
+            out.write(footer(entries))
             out.close()
             fs.move(temporary, name)
             yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "n": pa.array([total], pa.int64())})
@@ -358,27 +401,30 @@ def write_shards(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int
 
 
 def read_shards(spark, folder: str, sizes: list[tuple[int, int]]) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 of every document, from the files; starts run over all shards."""
+    """doc_id, start, n_tokens, ids_crc32 of every document, from the files; starts run over all shards. A block is read at a time."""
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long"
     if not sizes:
         return spark.createDataFrame([], schema)
-    before, total = {}, 0
+    before, total = [], 0
     for shard, n in sorted(sizes):
-        before[shard], total = total, total + n
+        before.append((shard, total))
+        total += n
 
     def read(batches):
+        fs, top = common.filesystem(folder)
         for batch in batches:
-            for path, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
-                at = before[int(path.rpartition("shard-")[2].partition(".")[0])]
-                for block in blocks_of(content.as_py()):
-                    raw = block.ids().astype("<u4").tobytes()
-                    b = block.bounds
-                    crc = [zlib.crc32(raw[4 * x : 4 * y]) for x, y in zip(b[:-1].tolist(), b[1:].tolist(), strict=True)]
-                    yield pa.RecordBatch.from_pydict({"doc_id": pa.array(block.doc_ids), "start": pa.array(at + b[:-1]), "n_tokens": pa.array(np.diff(b)), "ids_crc32": pa.array(crc, pa.int64())})
-                    at += int(b[-1])
-
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "shard-*.rp").load(folder).select("path", "content")
-    return common.map_arrow(files, read, schema)
+            for shard, at in zip(batch.column("shard").to_pylist(), batch.column("before").to_pylist(), strict=True):
+                with fs.open_input_file(f"{top}/shard-{shard:08d}.rp") as file:
+                    held = Shard(file, file.size())
+                    for k, (_, _, tokens) in enumerate(held.entries):
+                        block = held.block(k)
+                        raw = block.ids().astype("<u4").tobytes()
+                        b = block.bounds
+                        crc = [zlib.crc32(raw[4 * x : 4 * y]) for x, y in zip(b[:-1].tolist(), b[1:].tolist(), strict=True)]
+                        yield pa.RecordBatch.from_pydict({"doc_id": block.doc_ids, "start": pa.array(at + tokens + b[:-1]), "n_tokens": pa.array(np.diff(b)), "ids_crc32": pa.array(crc, pa.int64())})
+
+    shards = spark.createDataFrame(before, "shard int, before long").repartition(len(before))
+    return common.map_arrow(shards, read, schema)
 
 
 def op7_repair_ids(spark, sf_dir: str) -> DataFrame:
