@@ -39,7 +39,18 @@ def stash(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = shared_dir(spark, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stashed_at = path
+    return out
+
+
+def discard(*stashed: DataFrame) -> None:
+    """Deletes tables that stash() wrote, once nothing reads them any more; other tables are left alone."""
+    for df in stashed:
+        if path := getattr(df, "stashed_at", None):
+            context = df.sparkSession.sparkContext
+            path = context._jvm.org.apache.hadoop.fs.Path(path)
+            path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def filesystem(uri: str):

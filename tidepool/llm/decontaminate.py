@@ -3,11 +3,16 @@
 Every n-gram of a test item is a seed, common ones too: edits leave the common ones as likely as the rare ones. Where a
 document has a seed, Smith-Waterman aligns the item's words with the words around, so that edited and paraphrased copies
 score too; the score is the share of a perfect match's. Places where too few of the item's words are near the seed for
-LEAST_SCORE are not aligned. A copy in which no n-gram is left whole (each fourth word replaced, say) isn't found.
+LEAST_SCORE are not aligned. A copy in which no n-gram is left whole (each third word replaced, say) isn't found.
 
-Test items are taken in blocks of BLOCK_WORDS words: a block's index is all that travels to the workers. Items of fewer
-words than a seed match documents that have just these words. Null texts, and texts or items without words, match nothing.
-Repeated documents and items are all reported, by id; null ids too.
+Test items are taken in blocks of BLOCK_WORDS words. A block's index is all that travels to the workers, which hold one at
+a time; what a block finds is written before the next is sent. An alignment as good as LEAST_SCORE covers at most two words
+of the document for each of the item's, so long stretches of seeds are aligned in overlapping windows of four, in memory
+that grows with the window alone: items and texts may be of any length.
+
+Items of fewer words than a seed match documents that have just these words. Null texts, and texts or items without words,
+match nothing. Repeated documents and items are all reported, by id; null ids too. Empty tables of documents give no rows,
+those of items give documents without hits. A column of the documents with the name of the hits' column is replaced.
 """
 
 from __future__ import annotations
@@ -19,7 +24,7 @@ from pyspark.sql import functions as F
 
 from tidepool.llm import common
 
-N, BLOCK_WORDS = 4, 1_000_000
+N, BLOCK_WORDS = 3, 1_000_000
 MATCH, MISMATCH, GAP = 2, -1, 1
 LEAST_SCORE = 0.5
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -41,29 +46,26 @@ def grams(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, code ^ (code >> np.uint64(29))
 
 
-def align(item: np.ndarray, window: np.ndarray) -> tuple[int, int, int]:
-    """(score, start, stop) of the best local alignment, as places in the window; linear gaps."""
-    place = np.arange(len(window) + 1)
-    rows = [np.zeros(len(window) + 1, np.int64)]
-    for word in item.tolist():
-        row = np.empty(len(window) + 1, np.int64)
-        row[0] = 0
-        np.maximum(rows[-1][:-1] + np.where(window == word, MATCH, MISMATCH), rows[-1][1:] - GAP, out=row[1:])
+def best_end(item: np.ndarray, window: np.ndarray) -> tuple[int, int, int]:
+    """(score, past-the-last place in the item, and in the window) of the best local alignment; linear gaps. Holds two rows."""
+    place = GAP * np.arange(len(window) + 1, dtype=np.int32)
+    last, best = np.zeros(len(window) + 1, np.int32), (0, 0, 0)
+    for i, word in enumerate(item.tolist(), 1):
+        row = np.zeros(len(window) + 1, np.int32)
+        np.maximum(last[:-1] + np.where(window == word, np.int32(MATCH), np.int32(MISMATCH)), last[1:] - GAP, out=row[1:])
         np.maximum(row, 0, out=row)
-        rows.append(np.maximum.accumulate(row + GAP * place) - GAP * place)
-    table = np.stack(rows)
-    i, j = divmod(int(table.argmax()), table.shape[1])
-    score, stop = int(table[i, j]), j
-    while i and j and table[i, j] > 0:
-        if table[i, j] == table[i - 1, j - 1] + (MATCH if window[j - 1] == item[i - 1] else MISMATCH):
-            i, j = i - 1, j - 1
-        elif table[i, j] == table[i - 1, j] - GAP:
-            i -= 1
-        elif table[i, j] == table[i, j - 1] - GAP:
-            j -= 1
-        else:
-            break
-    return score, j, stop
+        last = np.maximum.accumulate(row + place) - place
+        j = int(last.argmax())
+        if last[j] > best[0]:
+            best = int(last[j]), i, j
+    return best
+
+
+def align(item: np.ndarray, window: np.ndarray) -> tuple[int, int, int]:
+    """(score, start, stop) of the best local alignment, as places in the window: its end, and from there back its start."""
+    score, i, j = best_end(item, window)
+    back = best_end(item[:i][::-1], window[:j][::-1])[2] if score else 0
+    return score, j - back, j
 
 
 class Index:
@@ -145,14 +147,16 @@ class Index:
             o = int(owner[a])
             item = self.items[o]
             margin = len(item) // 2 + 2
-            low = max(0, int((at[a:b] - place[a:b]).min()) - margin)
-            high = min(len(ids), int((at[a:b] - place[a:b]).max()) + len(item) + margin)
-            if not self.may_score(item, ids[low:high]):
-                continue
-            score, start, stop = align(item, ids[low:high])
-            share = score / (MATCH * len(item))
-            if share >= LEAST_SCORE and (o not in best or share > best[o]["score"]):
-                best[o] = {"item_id": self.item_ids[o], "score": share, "start": low + start, "stop": low + stop}
+            first = max(0, int((at[a:b] - place[a:b]).min()) - margin)
+            end = min(len(ids), int((at[a:b] - place[a:b]).max()) + len(item) + margin)
+            for low in range(first, max(first + 1, end - 2 * len(item)), 2 * len(item)):
+                high = min(end, low + 4 * len(item))
+                if not self.may_score(item, ids[low:high]):
+                    continue
+                score, start, stop = align(item, ids[low:high])
+                share = score / (MATCH * len(item))
+                if share >= LEAST_SCORE and (o not in best or share > best[o]["score"]):
+                    best[o] = {"item_id": self.item_ids[o], "score": share, "start": low + start, "stop": low + stop}
         return list(best.values())
 
 
@@ -176,19 +180,27 @@ def with_hits(docs: DataFrame, benchmark: DataFrame, column: str = "hits") -> Da
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
     context = docs.sparkSession.sparkContext
     kind = pa.list_(pa.struct([("item_id", pa.int64()), ("score", pa.float64()), ("start", pa.int32()), ("stop", pa.int32())]))
-    out = rows.withColumn(column, F.lit(None).cast(f"array<{HIT}>"))
+    out, sent = rows.withColumn(column, F.array().cast(f"array<{HIT}>")), None
 
     def step(asked):
         def run(batches):
             index = Index.of(asked.value)
             for batch in common.text_slices(batches):
-                got = [(index.hits(t) if t else []) + (h or []) for t, h in zip(batch.column("text").to_pylist(), batch.column(column).to_pylist(), strict=True)]
+                got = [(index.hits(t) if t else []) + h for t, h in zip(batch.column("text").to_pylist(), batch.column(column).to_pylist(), strict=True)]
                 yield pa.RecordBatch.from_pydict({c: batch.column(c) for c in names} | {column: pa.array(got, kind)})
 
         return run
 
+    held = None
     for items in blocks(benchmark):
-        out = common.map_arrow(out, step(context.broadcast(vars(Index(items)))), f"{schema}, `{column}` array<{HIT}>")
+        if sent is not None:
+            out = common.stash(out, "block-hits")
+            sent.destroy()
+            if held is not None:
+                common.discard(held)
+            held = out
+        sent = context.broadcast(vars(Index(items)))
+        out = common.map_arrow(out, step(sent), f"{schema}, `{column}` array<{HIT}>")
     return out
 
 
