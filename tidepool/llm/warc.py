@@ -5,7 +5,10 @@ a reader can go on to the next without inflating. Reading plans byte ranges of f
 which it begins. Comparisons on record_type, target_uri, record_id, refers_to and payload_digest are pushed down: headers
 are parsed first, and a record that they reject, or whose payload isn't wanted (option payload=false), is skipped undecoded.
 
-Null header columns leave their header out; a null payload is written as an empty one. Repeated rows are all written.
+Responses are written as an HTTP response with the payload as its body, so other readers of WARC files take them. Null
+header columns leave their header out; a null payload is written as an empty one. Repeated rows are all written. A record is
+made and read as one value, however long it is. Columns that aren't in SCHEMA are not looked at. An empty table gives an
+empty archive, which reads as no rows.
 """
 
 from __future__ import annotations
@@ -14,6 +17,7 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from datetime import datetime, timezone
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -23,9 +27,13 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSource
 from tidepool.llm import common
 
 #: Columns kept in headers, and the headers' names.
-HEADERS = {"record_type": "WARC-Type", "record_id": "WARC-Record-ID", "target_uri": "WARC-Target-URI", "refers_to": "WARC-Refers-To", "payload_digest": "WARC-Payload-Digest", "payload_bytes": "X-Payload-Length", "page_id": "X-Page-ID"}
-SCHEMA = "record_type string, record_id string, target_uri string, refers_to string, payload_digest string, payload_bytes long, page_id long, payload binary"
+HEADERS = {"record_type": "WARC-Type", "record_id": "WARC-Record-ID", "date": "WARC-Date", "target_uri": "WARC-Target-URI", "refers_to": "WARC-Refers-To", "payload_digest": "WARC-Payload-Digest", "payload_bytes": "X-Payload-Length", "page_id": "X-Page-ID"}
+NUMBERS = ("payload_bytes", "page_id")
+SCHEMA = ", ".join(f"{c} {'long' if c in NUMBERS else 'string'}" for c in HEADERS) + ", payload binary"
 BLOCK = 4 << 20
+#: What the format prescribes for a record of each type; fixed values.
+HTTP = "application/http; msgtype=response"
+MORE_HEADERS = {"response": [f"Content-Type: {HTTP}"], "revisit": [f"Content-Type: {HTTP}", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"], "warcinfo": ["Content-Type: application/warc-fields"]}
 
 
 def member(data: bytes, level: int = 6) -> bytes:
@@ -37,9 +45,16 @@ def member(data: bytes, level: int = 6) -> bytes:
     return b"\x1f\x8b\x08\x04\0\0\0\0\0\xff" + len(extra).to_bytes(2, "little") + extra + body + zlib.crc32(data).to_bytes(4, "little") + (len(data) & 0xFFFFFFFF).to_bytes(4, "little")
 
 
+def now() -> str:
+    return f"{datetime.now(timezone.utc):%Y-%m-%dT%H:%M:%SZ}"
+
+
 def record(row: dict) -> bytes:
-    payload = row.get("payload") or b""
-    lines = ["WARC/1.1"]
+    """A record of the columns of SCHEMA; a response's payload becomes the body of an HTTP response."""
+    payload, kind = row.get("payload") or b"", row.get("record_type")
+    if kind == "response":
+        payload = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload) + payload
+    lines = ["WARC/1.1", *MORE_HEADERS.get(kind, [])]
     for column, name in HEADERS.items():
         if row.get(column) is not None:
             value = str(row[column]).replace("\r", " ").replace("\n", " ")
@@ -106,15 +121,15 @@ def parse(window: Window, at: int, length: int | None, wanted, payload: bool) ->
             take += inflate.decompress(inflate.unconsumed_tail, 1024)
         head, end = head + take, end + len(chunk)
     raw, _, rest = head.partition(b"\r\n\r\n")
-    fields = dict(line.split(": ", 1) for line in raw.decode("utf-8", "replace").split("\r\n")[1:] if ": " in line)
-    row = {c: fields.get(name) for c, name in HEADERS.items()}
-    for c in ("payload_bytes", "page_id"):
+    fields = {k.lower(): v.strip() for k, found, v in (line.partition(":") for line in raw.decode("utf-8", "replace").split("\r\n")[1:]) if found}
+    row = {c: fields.get(name.lower()) for c, name in HEADERS.items()}
+    for c in NUMBERS:
         row[c] = int(row[c]) if row[c] is not None else None
     if not wanted(row):
         return None
     row["payload"] = None
     if payload:
-        n = int(fields.get("Content-Length", 0))
+        n = int(fields.get("content-length", 0))
         parts, have = [rest], len(rest)
         while have < n:
             data = inflate.unconsumed_tail or window.get(end, 1 << 18)
@@ -123,7 +138,8 @@ def parse(window: Window, at: int, length: int | None, wanted, payload: bool) ->
                 raise ValueError("a WARC file ends inside a payload")
             parts.append(inflate.decompress(data))
             have += len(parts[-1])
-        row["payload"] = b"".join(parts)[:n]
+        block = b"".join(parts)[:n]
+        row["payload"] = block.partition(b"\r\n\r\n")[2] if fields.get("content-type", "").startswith("application/http") else block
     return row
 
 
@@ -146,7 +162,7 @@ class WarcWriter(DataSourceArrowWriter):
             if out is None:
                 fs.create_dir(top, recursive=True)
                 out = fs.open_output_stream(path, compression=None)
-                out.write(member(record({"record_type": "warcinfo", "record_id": f"<urn:uuid:{uuid.uuid4()}>"}), self.level))
+                out.write(member(record({"record_type": "warcinfo", "record_id": f"<urn:uuid:{uuid.uuid4()}>", "date": now(), "payload": b"format: WARC File Format 1.1\r\n"}), self.level))
             columns = batch.schema.names
             for values in zip(*(batch.column(c) for c in columns), strict=True):
                 out.write(member(record({c: v.as_py() for c, v in zip(columns, values, strict=True)}), self.level))
@@ -219,7 +235,7 @@ class WarcReader(DataSourceReader):
             sizes = {x.path: x.size for x in entries}
             files = [(x, sizes[x]) for x in names]
         else:
-            files = [(x.path, x.size) for x in entries if x.base_name.endswith((".warc.gz", ".warc"))]
+            files = [(x.path, x.size) for x in entries if x.base_name.endswith(".warc.gz")]
         return [Span(p, a, min(a + self.span, n)) for p, n in files for a in range(0, n, self.span)] or [Span("", 0, 0)]
 
     def read(self, part):
@@ -241,8 +257,8 @@ class WarcReader(DataSourceReader):
 
     @staticmethod
     def batch(rows: list[dict]) -> pa.RecordBatch:
-        kinds = {"payload_bytes": pa.int64(), "page_id": pa.int64(), "payload": pa.binary()}
-        return pa.RecordBatch.from_pydict({c: pa.array([r[c] for r in rows], kinds.get(c, pa.string())) for c in [*HEADERS, "payload"]}).select(["record_type", "record_id", "target_uri", "refers_to", "payload_digest", "payload_bytes", "page_id", "payload"])
+        kinds = dict.fromkeys(NUMBERS, pa.int64()) | {"payload": pa.binary()}
+        return pa.RecordBatch.from_pydict({c: pa.array([r[c] for r in rows], kinds.get(c, pa.string())) for c in [*HEADERS, "payload"]})
 
 
 class WarcDataSource(DataSource):
@@ -270,33 +286,56 @@ def register(spark) -> None:
 #: Rows with one digest are dealt over so many keys when they meet their digest's first page.
 SALTS = 32
 LEAST_BYTES = 100
+#: Revisits (about 100 bytes each) that are sent to all executors at most; more meet the payloads in a shuffle.
+MOST_SENT = 500_000
+
+
+def uuid_of(*parts) -> F.Column:
+    """A record id that the same parts always get."""
+    return F.regexp_replace(F.md5(F.concat_ws(":", *parts)), "(.{8})(.{4})(.{4})(.{4})(.{12})", "<urn:uuid:$1-$2-$3-$4-$5>")
 
 
-def records_of(pages: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
+def records_of(pages: DataFrame, least_bytes: int = LEAST_BYTES, date: str | None = None) -> DataFrame:
     """A WARC record for each page: of equal payloads of at least that many bytes, the smallest page_id is the response.
 
-    Rows that share the smallest page_id are all responses. Null html is an empty payload.
+    Rows that share the smallest page_id are all responses; where they share the payload too, their record ids are the same.
+    Null html is an empty payload; a null page_id is a response of its own. date: of all records; null: now.
     """
     text = F.encode(F.coalesce(F.col("html").cast("string"), F.lit("")), "UTF-8")
     page = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string").alias("target_uri"), text.alias("body")).withColumns({"digest": F.sha2("body", 256), "payload_bytes": F.octet_length("body").cast("long")})
-    keys = page.where((F.col("payload_bytes") >= least_bytes) & F.col("page_id").isNotNull()).select("page_id", "digest")
-    first = keys.groupBy("digest").agg(F.min("page_id").alias("first"), F.max("page_id").alias("last")).where("first < last").select("digest", "first", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    revisits = keys.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int")).join(first, ["digest", "salt"]).where("page_id > first").select("page_id", "digest", "first").distinct()
-    out = page.join(revisits, ["page_id", "digest"], "left")
+    keys = page.where((F.col("payload_bytes") >= least_bytes) & F.col("page_id").isNotNull()).select("page_id", F.unhex("digest").alias("raw"))
+    first = keys.groupBy("raw").agg(F.min("page_id").alias("first"), F.max("page_id").alias("last")).where("first < last").select("raw", "first", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    revisits = keys.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int")).join(first, ["raw", "salt"]).where("page_id > first").select("page_id", "raw", "first").distinct()
+    revisits = common.stash(revisits, "revisits")
+    if revisits.count() <= MOST_SENT:
+        revisits = F.broadcast(revisits)
+    out = page.withColumn("raw", F.unhex("digest")).join(revisits, ["page_id", "raw"], "left")
     again = F.col("first").isNotNull()
-    return out.select(
-        F.when(again, "revisit").otherwise("response").alias("record_type"), F.concat(F.lit("<urn:page:"), F.coalesce(F.col("page_id").cast("string"), F.lit("none")), F.lit(">")).alias("record_id"), "target_uri",
-        F.when(again, F.concat(F.lit("<urn:page:"), F.col("first").cast("string"), F.lit(">"))).alias("refers_to"), F.concat(F.lit("sha256:"), "digest").alias("payload_digest"), "payload_bytes", "page_id", F.when(~again, F.col("body")).alias("payload"),
-    )
+    made = {
+        "record_type": F.when(again, "revisit").otherwise("response"), "record_id": F.when(F.col("page_id").isNull(), F.concat(F.lit("<urn:uuid:"), F.uuid(), F.lit(">"))).otherwise(uuid_of("page_id", "digest")), "date": F.lit(date or now()), "target_uri": F.col("target_uri"),
+        "refers_to": F.when(again, uuid_of("first", "digest")), "payload_digest": F.concat(F.lit("sha256:"), "digest"), "payload_bytes": F.col("payload_bytes"), "page_id": F.col("page_id"), "payload": F.when(~again, F.col("body")),
+    }
+    return out.select(*(c.alias(name) for name, c in made.items()))
+
+
+def read_back(spark, folder: str) -> DataFrame:
+    """page_id, payload_bytes, payload_digest, record_type, refers_to of every record, lengths and digests from the payloads
+    as they are in the archives; a revisit has those of the response that it refers to, null if that isn't there."""
+    archive = lambda payload: spark.read.format("warc").option("payload", payload).load(folder)
+    responses = archive("true").where("record_type = 'response'").select("page_id", "record_id", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_digest"))
+    responses = common.stash(responses, "responses")
+    named = responses.groupBy("record_id").agg(F.min("page_id").alias("refers_to"), F.min("payload_bytes").alias("payload_bytes"), F.min("payload_digest").alias("payload_digest"))
+    revisits = archive("false").where("record_type = 'revisit'").select("page_id", F.col("refers_to").alias("record_id"))
+    met = revisits.join(named, "record_id", "left")
+    columns = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
+    return responses.withColumns({"record_type": F.lit("response"), "refers_to": F.lit(None).cast("long")}).select(columns).unionByName(met.withColumn("record_type", F.lit("revisit")).select(columns))
 
 
 def op6_warc(spark, sf_dir: str) -> DataFrame:
     register(spark)
     folder = common.shared_dir(spark, "warc")
     records_of(common.table(spark, sf_dir, "pages")).write.format("warc").mode("append").save(folder)
-    back = spark.read.format("warc").option("payload", "false").load(folder).where(F.col("record_type").isin("response", "revisit"))
-    number = F.regexp_extract("refers_to", r"<urn:page:(-?\d+)>", 1).cast("long")
-    return back.select("page_id", "payload_bytes", F.regexp_replace("payload_digest", "^sha256:", "").alias("payload_digest"), "record_type", F.when(F.col("refers_to").isNotNull(), number).alias("refers_to"))
+    return read_back(spark, folder)
 
 
 OP6_SQL = """
