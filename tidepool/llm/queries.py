@@ -15,4 +15,4 @@ QUERIES = {
     "op10_sentencepiece": sentencepieces.op10_sentencepiece,
 }
 
-ORACLE_SQL = {"op1_url_reputation": url_reputation.OP1_SQL, "op3_norm_topk": norm_topk.OP3_SQL, "op6_warc": warc.OP6_SQL}
+ORACLE_SQL = {"op1_url_reputation": url_reputation.OP1_SQL, "op3_norm_topk": norm_topk.OP3_SQL, "op4_sampled_splitters": splitters.OP4_SQL, "op6_warc": warc.OP6_SQL}
