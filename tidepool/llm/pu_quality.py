@@ -1,27 +1,34 @@
 """Quality scores of whole texts, learnt from positive and unlabelled documents.
 
 A small network on counts of bytes and words minimises the non-negative unbiased risk: prior * risk(positives, 1) +
-max(0, risk(unlabelled, 0) - prior * risk(positives, 0)). Positives are documents marked good, the unlabelled are drawn
-from all; the class prior is the share of good ones among the labelled. The output is then fitted to labelled documents
-by a logistic curve. Labels of held-out documents (crc32 of the id as text, modulo 4, is 2) are never read.
-
-Fitting uses at most about POSITIVES + UNLABELLED + LABELLED rows, drawn by a hash of the id; every row is scored. Null
-texts are scored as empty ones; a null id isn't held out. Of several labels of one id the lowest counts. Without positive
-or without negative labels every score is 0.5.
+max(0, risk(unlabelled, 0) - prior * risk(positives, 0)), with the logistic loss, so its output is the log-odds of class 1.
+Positives are documents marked good, the unlabelled are drawn from all. No negative label is used, and labels of held-out
+documents (crc32 of the id as text, modulo 4, is 2) are never read.
+
+The class prior is estimated from positives and unlabelled: networks fitted to one half of each score the other half, and
+the prior is the least share of the unlabelled that score over some threshold, as a part of the positives' share, where a
+confidence bound of that ratio is lowest. The fit needs a prior itself, so this is done ROUNDS times, from 0.5 on.
+
+Fitting uses about POSITIVES + UNLABELLED rows, however often an id or a text occurs; every row is scored. Null texts are
+scored as empty ones, texts of any length by one pass over the whole; a null id isn't held out. Of several labels of one id
+the lowest counts. Without a positive label, or with an empty table, there is no model and every score is 0.5. A column with
+the score's name is replaced; others are kept as they are and never looked at.
 """
 
 from __future__ import annotations
 
-
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidepool.llm import common
 
-POSITIVES, UNLABELLED, LABELLED = 12_000, 24_000, 12_000
+POSITIVES, UNLABELLED = 12_000, 24_000
 HIDDEN, STEPS, RATE, DECAY = 24, 400, 0.02, 1e-4
+#: Estimates of the prior, steps of each fit for them, and the chance of error that their bound allows.
+ROUNDS, PRIOR_STEPS, ERROR = 3, 300, 0.1
 ACCEPT = 0.7
 MARKS = b"!\"#$%&'()*+,-./0:;<=>?@[\\]^_`{|}~\n"
 N_FEATURES = len(MARKS) + 12
@@ -69,20 +76,28 @@ class Net:
         return [x.T @ d, d.sum(0), h.T @ g, np.array([g.sum()])]
 
 
+def risk(op: np.ndarray, ou: np.ndarray, prior: float, beta: float = 0.0) -> tuple[float, np.ndarray, np.ndarray]:
+    """The non-negative risk of outputs for positives and unlabelled, and the descent's slope by each; where the bracket is
+    below -beta, the slope is that of the bracket turned round."""
+    loss = np.logaddexp
+    bracket = loss(0, ou).mean() - prior * loss(0, op).mean()
+    sp, su = sigmoid(op), sigmoid(ou)
+    # the logistic loss's slope is s - 1 for class 1 and s for class 0
+    if bracket >= -beta:
+        gp, gu = (prior * (sp - 1) - prior * sp) / len(op), su / len(ou)
+    else:
+        gp, gu = prior * sp / len(op), -su / len(ou)
+    return prior * loss(0, -op).mean() + max(0.0, bracket), gp, gu
+
+
 def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = STEPS, beta: float = 0.0) -> Net:
-    """Adam on the non-negative risk with the logistic loss; where the bracket is below -beta, its gradient is turned round."""
+    """Adam on the non-negative risk."""
     net = Net(positive.shape[1])
     m, v = [np.zeros_like(w) for w in net.w], [np.zeros_like(w) for w in net.w]
     for t in range(1, steps + 1):
         op, hp = net.forward(positive)
         ou, hu = net.forward(unlabelled)
-        sp, su = sigmoid(op), sigmoid(ou)
-        # the logistic loss's slope is s - 1 for class 1 and s for class 0
-        bracket = np.logaddexp(0, ou).mean() - prior * np.logaddexp(0, op).mean()
-        if bracket >= -beta:
-            gp, gu = prior * (sp - 1) / len(op) - prior * sp / len(op), su / len(ou)
-        else:
-            gp, gu = prior * sp / len(op), -su / len(ou)
+        _, gp, gu = risk(op, ou, prior, beta)
         grads = [a + b + DECAY * w for a, b, w in zip(net.grad(positive, hp, gp), net.grad(unlabelled, hu, gu), net.w, strict=True)]
         for i, g in enumerate(grads):
             m[i], v[i] = 0.9 * m[i] + 0.1 * g, 0.999 * v[i] + 0.001 * g * g
@@ -90,19 +105,30 @@ def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps:
     return net
 
 
-def fit_curve(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """a, b of sigmoid(a x + b), by Newton steps with a small ridge."""
-    a, b = 1.0, 0.0
-    for _ in range(50):
-        p = sigmoid(a * x + b)
-        w = p * (1 - p) + 1e-9
-        g = np.array([((p - y) * x).sum() + 1e-2 * a, (p - y).sum() + 1e-2 * b])
-        h = np.array([[(w * x * x).sum() + 1e-2, (w * x).sum()], [(w * x).sum(), w.sum() + 1e-2]])
-        step = np.linalg.solve(h, g)
-        a, b = a - step[0], b - step[1]
-        if np.abs(step).max() < 1e-8:
-            break
-    return float(a), float(b)
+def share_ratio(positive: np.ndarray, unlabelled: np.ndarray) -> float:
+    """The prior by scores that no fit has seen: the unlabelled's share over a threshold by the positives', at the threshold
+    where the ratio's upper bound is lowest."""
+    at, unlabelled = np.sort(positive)[::-1], np.sort(unlabelled)
+    n, m = len(at), len(unlabelled)
+    of_positive = np.arange(1, n + 1) / n
+    of_unlabelled = (m - np.searchsorted(unlabelled, at)) / m
+    slack = np.sqrt(np.log(4 / ERROR) / 2) * (n**-0.5 + m**-0.5)
+    k = ((of_unlabelled + slack) / of_positive).argmin()
+    return float(of_unlabelled[k] / of_positive[k])
+
+
+def estimated_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
+    """The share of class 1 among the unlabelled. Every second row makes a half."""
+    prior = 0.5
+    if min(len(positive), len(unlabelled)) < 4:
+        return prior
+    for _ in range(ROUNDS):
+        found = []
+        for k in (0, 1):
+            net = fit_nnpu(positive[k::2], unlabelled[k::2], prior, PRIOR_STEPS)
+            found.append(share_ratio(*(net.forward(x[1 - k :: 2])[0] for x in (positive, unlabelled))))
+        prior = min(0.99, max(0.01, sum(found) / 2))
+    return prior
 
 
 def remainder(doc_id: Column) -> Column:
@@ -115,31 +141,33 @@ def drawn(doc_id: Column, share: float, salt: int) -> Column:
 
 def train(docs: DataFrame, labels: DataFrame) -> dict | None:
     """The model as plain arrays, a few thousand numbers; None where there is nothing to learn from."""
-    known = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).where(remainder(F.col("doc_id")) != 2).groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    counts = {r.quality: r["count"] for r in known.groupBy("quality").count().collect()}
-    n_good, n_known, n = counts.get(1, 0), sum(counts.values()), docs.count()
-    if not n_good or n_known == n_good or not n:
+    known = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).where(remainder(F.col("doc_id")) != 2)
+    good = known.groupBy("doc_id").agg(F.min("quality").alias("quality")).where("quality = 1").select("doc_id")
+    n_good, n = good.count(), docs.count()
+    if not n_good or not n:
         return None
-    # at most about POSITIVES + LABELLED rows of two numbers each
-    sample = known.where(((F.col("quality") == 1) & drawn(F.col("doc_id"), POSITIVES / n_good, 1)) | drawn(F.col("doc_id"), LABELLED / n_known, 2)).select("doc_id", "quality", drawn(F.col("doc_id"), LABELLED / n_known, 2).alias("fits"))
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id", "left").withColumn("free", F.coalesce(drawn(F.col("doc_id"), UNLABELLED / n, 3), F.lit(False))).where("free OR quality IS NOT NULL")
+    # about POSITIVES ids; rows are thinned too, as one id may have any number of them
+    sample = F.broadcast(good.where(drawn(F.col("doc_id"), POSITIVES / n_good, 1)).withColumn("good", F.lit(True)))
+    n_rows = docs.select("doc_id").join(sample, "doc_id").count()
+    rows = docs.select("doc_id", "text", F.rand(3).alias("u"), F.rand(5).alias("p")).join(sample, "doc_id", "left")
+    free, good = F.col("u") < UNLABELLED / n, F.col("good").isNotNull() & (F.col("p") < 2 * POSITIVES / max(n_rows, 1))
+    rows = rows.select("doc_id", "text", free.alias("free"), good.alias("good")).where("free OR good")
 
     def run(batches):
         for batch in common.text_slices(batches):
             flat = stacked(batch.column("text"))
-            yield pa.RecordBatch.from_pydict({"x": pa.array(list(map(bytes, flat)), pa.binary()), "id": batch.column("doc_id"), "quality": batch.column("quality").cast(pa.int32()), "fits": batch.column("fits"), "free": batch.column("free")})
+            yield pa.RecordBatch.from_pydict({"x": pa.array(list(map(bytes, flat)), pa.binary()), "id": batch.column("doc_id"), "good": batch.column("good"), "free": batch.column("free")})
 
-    got = common.map_arrow(rows, run, f"x binary, id {docs.schema['doc_id'].dataType.simpleString()}, quality int, fits boolean, free boolean").toArrow()
-    got = got.take(pa.compute.sort_indices(got, sort_keys=[("id", "ascending"), ("x", "ascending")]))  # order of rows decides sums' last bits
+    got = common.map_arrow(rows, run, f"x binary, id {docs.schema['doc_id'].dataType.simpleString()}, good boolean, free boolean").toArrow()
+    got = got.take(pc.sort_indices(got, sort_keys=[("id", "ascending"), ("x", "ascending")]))  # order of rows decides sums' last bits
     x = np.frombuffer(b"".join(got["x"].to_pylist()), np.float32).reshape(-1, N_FEATURES).astype(np.float64)
-    quality, free, fits = got["quality"].fill_null(-1).to_numpy(), got["free"].to_numpy(), got["fits"].fill_null(False).to_numpy()
-    if not (quality == 1).any() or not free.any() or len(set(quality[fits])) < 2:
+    good, free = got["good"].to_numpy(), got["free"].to_numpy()
+    if not good.any() or not free.any():
         return None
     mean, scale = x[free].mean(0), x[free].std(0) + 1e-3
     x = np.clip((x - mean) / scale, -6, 6)
-    net = fit_nnpu(x[quality == 1], x[free], n_good / n_known)
-    a, b = fit_curve(net.forward(x[fits])[0], (quality[fits] == 1).astype(float))
-    return {"w": net.w, "mean": mean, "scale": scale, "a": a, "b": b, "prior": n_good / n_known}
+    prior = estimated_prior(x[good], x[free])
+    return {"w": fit_nnpu(x[good], x[free], prior).w, "mean": mean, "scale": scale, "prior": prior}
 
 
 def score_texts(model: dict | None, text: pa.Array) -> np.ndarray:
@@ -148,7 +176,7 @@ def score_texts(model: dict | None, text: pa.Array) -> np.ndarray:
     x = np.clip((stacked(text) - model["mean"]) / model["scale"], -6, 6)
     net = Net(N_FEATURES)
     net.w = model["w"]
-    return sigmoid(model["a"] * net.forward(x)[0] + model["b"])
+    return sigmoid(net.forward(x)[0])
 
 
 def with_scores(docs: DataFrame, model: dict | None, column: str = "score") -> DataFrame:
