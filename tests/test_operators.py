@@ -52,12 +52,12 @@ def test_filters_and_flags():
         locate.sort_keys("Nope")
 
 
-@pytest.mark.parametrize(("text", "want"), [("2025-08-28T12:34:56+02:00", (2025, 8, 28, 10, 34, 56)), ("2025-08-28 09:10", (2025, 8, 28, 9, 10)), ("2025/08/28", (2025, 8, 28)), ("2025-08-28T12:34:56Z", (2025, 8, 28, 12, 34, 56))])
+@pytest.mark.parametrize(("text", "want"), [("2025-08-28T12:34:56+02:00", (2025, 8, 28, 10, 34, 56)), ("2025-08-28 09:10", (2025, 8, 28, 9, 10)), ("2025/08/28", (2025, 8, 28)), ("2025-08-28T12:34:56Z", (2025, 8, 28, 12, 34, 56)), ("2025-08-28T12:34:56.789Z", (2025, 8, 28, 12, 34, 56, 789000)), ("2025-08-28 09:10:11", (2025, 8, 28, 9, 10, 11))])
 def test_time_flags(text, want):
     assert scalars.parse_time_flag(text, NOW) == datetime(*want, tzinfo=timezone.utc)
 
 
-@pytest.mark.parametrize("text", [" 2025-08-28", "not-a-time", "2025-13-01", "2025-02-30", "99wibbly", "2025/99/01 25:61"])
+@pytest.mark.parametrize("text", [" 2025-08-28", "not-a-time", "2025-13-01", "2025-02-30", "99wibbly", "2025/99/01 25:61", "2025-8-28", "2025-08-28T1:02:03Z", "2025-08-28T12:34:56"])
 def test_bad_time_flags(text):
     with pytest.raises(ValueError):
         scalars.parse_time_flag(text, NOW)
@@ -111,6 +111,135 @@ def test_cut_points_are_local():
     assert len({c + 1 for c in cuts} & set(moved)) > len(cuts) * 0.8
 
 
+@pytest.mark.parametrize("sizes", [(512, 2048, 8192), (1, 64, 100), (100, 128, 120)])
+def test_cut_points_by_bytes(sizes):
+    """A place at a time: a hash of the last 64 bytes, a stricter mask up to the normal size, a looser one after it."""
+    least, normal, most = sizes
+    data = random.Random(3).randbytes(40_000)
+    gear, bits = content._GEAR.tolist(), normal.bit_length() - 1
+    strict, loose = ((1 << (bits + 1)) - 1) << 20, ((1 << (bits - 1)) - 1) << 20
+    hashes, h = [], 0
+    for b in data:
+        h = (h << 1) + gear[b] & (1 << 64) - 1
+        hashes.append(h)
+    want, start = [], 0
+    while len(data) - start > least:
+        end = next((i for i in range(start + least + 1, min(len(data), start + most)) if not hashes[i - 1] & (strict if i - start <= normal else loose)), min(len(data), start + most))
+        want.append(end)
+        start = end
+    want += [len(data)] * (start < len(data))
+    assert content.cut_points(data, *sizes) == want and content.cut_points(b"", *sizes) == []
+
+
+def test_lookups(spark):
+    rows = [("abc1", NOW, ["/src", "/x"]), ("abd2", NOW, []), ("ff00", NOW, ["/"])]
+    items = spark.createDataFrame(rows, "item_id string, ts timestamp, roots array<string>")
+    assert locate.snapshot_of(items, "abc") == "abc1" and sorted(r.item_id for r in locate.with_prefix(items, "ab").collect()) == ["abc1", "abd2"]
+    for bad in ("ab", "zz", ""):
+        with pytest.raises(LookupError):
+            locate.snapshot_of(items, bad)
+    assert locate.opened_path(items, "abc1:/etc/../a") == ("abc1", "/a", "") and locate.opened_path(items, "abc1:d/f") == ("abc1", "/src/d/f", "d/f")
+    assert locate.opened_path(items, "ff") == ("ff00", "/", ".") and locate.opened_path(items, "abd2:q") == ("abd2", "/q", "q")
+    headers = spark.createDataFrame([("a", [("o", "t", "/r")]), ("b", None)], "item_id string, sources array<struct<origin: string, type: string, root: string>>")
+    assert [(r.item_id, r.types, r.origins, r.roots) for r in locate.items_of(headers).orderBy("item_id").collect()] == [("a", ["t"], ["o"], ["/r"]), ("b", [], [], [])]
+
+
+def test_numbered(spark):
+    rows = [(r.k, r.n) for r in locate.numbered(spark.range(5000).select((F.col("id") * 7919 % 5000).alias("k")), [F.col("k").desc()]).collect()]
+    assert sorted(rows) == [(k, 5000 - k) for k in range(5000)]
+
+
+def test_summaries_by_folds(spark):
+    """All figures of all directories of random trees, children before parents in path order, 0 as unset."""
+    r = random.Random(11)
+    dirs = ["/"] + [p for p in {f"/{a}" for a in "abc"} | {f"/{a}/{b}" for a in "ab" for b in "xyz"} | {f"/a/x/{c}" for c in "pq"}]
+    files = [(f"{d.rstrip('/')}/f{i}", d, r.choice(["regular", "regular", "symlink", "device", "pipe", "socket"]), r.choice([0, 1, 5, 9]), r.choice([0, 3, 8]), float(r.choice([0, 1, 4, 7])), r.choice(["text/plain", "audio/ogg", "video/mp4", "application/pdf", "font/otf", "", None]), r.choice([0, 2]), r.choice([0, scalars.MODE_SETUID, scalars.MODE_SETGID | scalars.MODE_STICKY])) for d in dirs if d != "/b/z" for i in range(r.randint(0, 6))]
+    rows = files + [(d, "" if d == "/" else d.rpartition("/")[0] or "/", "directory", 0, None, None, "", 0, 0) for d in dirs]
+    entries = spark.createDataFrame(rows, "path string, parent string, kind string, size long, mtime long, entropy double, content_type string, n_chunks int, mode long")
+    errors = spark.createDataFrame([(d,) for d in dirs[::2] for _ in range(2)], "parent string")
+    fold = lambda a, x: x if a == 0 or x < a else a
+    made = {}
+    for d in sorted(dirs, reverse=True):
+        own = dict.fromkeys((*tree.SUMS, "sum_entropy", *(f"{m}_{c}" for m in ("min", "max") for c in tree.EXTREMES)), 0)
+        under = dict.fromkeys((*tree.SUMS, *(f"{m}_{c}" for m in ("min", "max") for c in tree.EXTREMES), "errors"), 0)
+        for path, parent, kind, size, mtime, entropy, mime, chunks, mode in sorted(rows, key=lambda x: x[0]):
+            if parent != d or path == "/":
+                continue
+            own["children"] += 1
+            own[{"regular": "files", "directory": "directories"}.get(kind, kind + "s")] += 1
+            if kind == "directory":
+                o, u = made[path]
+                for c in (*tree.SUMS, "errors"):
+                    under[c] += o.get(c, 0) + u[c]
+                for c in tree.EXTREMES:
+                    under[f"min_{c}"] = fold(fold(under[f"min_{c}"], u[f"min_{c}"]), o[f"min_{c}"])
+                    under[f"max_{c}"] = max(under[f"max_{c}"], u[f"max_{c}"], o[f"max_{c}"])
+                continue
+            for name, bit in tree.BITS.items():
+                own[name] += bool(mode & bit)
+            own["objects"] += chunks > 0
+            own["chunks"] += chunks
+            own["size"] += size
+            own["sum_entropy"] += entropy
+            own["low_entropy"] += entropy <= 2
+            own["high_entropy"] += entropy >= 7
+            if mime:
+                own["mime_" + (mime.split("/")[0] if mime.split("/")[0] in tree.MIMES else "other")] += 1
+            for c, x in (("size", size), ("mtime", mtime), ("entropy", entropy)):
+                own[f"min_{c}"], own[f"max_{c}"] = fold(own[f"min_{c}"], x), max(own[f"max_{c}"], x)
+        under["errors"] += 2 * (d in dirs[::2])
+        made[d] = own, under
+    for row in tree.summaries(entries, errors).collect():
+        own, under = made.pop(row.path)
+        got = row.directory.asDict()
+        n = own["files"]
+        assert {c: got[c] for c in own} == own and (got["avg_size"], got["avg_entropy"]) == ((own["size"] // n, own["sum_entropy"] / n) if n else (0, 0))
+        assert row.below.asDict() == under, row.path
+    assert not made
+
+
+def test_export_of_one_file(spark):
+    rows = spark.createDataFrame([("/", "", "directory", ""), ("/d", "/", "directory", ""), ("/d/f", "/d", "regular", ""), ("/d/e/g", "/d/e", "regular", "")], "path string, parent string, kind string, target string")
+    paths_of = lambda top: sorted((r.path, r.kind) for r in tree.exported(rows, top).collect())
+    assert paths_of("/d/f") == [("/", "directory"), ("/f", "regular")] and paths_of("/d") == [("/", "directory"), ("/e/g", "regular"), ("/f", "regular")]
+    assert len(paths_of("/")) == 4
+    assert tree.source_root("/d/f", False) == "/d" and tree.source_root("/f", False) == "/" and tree.source_root("/d", True) == "/d"
+    local = lambda kind: sorted(r.path for r in tree.without_store(rows, "/d/e", kind).collect())
+    assert local("fs") == ["/", "/d", "/d/f"] and len(local("s3")) == 4
+
+
+def test_entry_lists(spark):
+    rows = spark.createDataFrame([("/b", "m1", ["z", "a"], None), ("/a", None, None, ["t"]), ("/c", "m1", [], [])], "path string, mac string, xattrs array<string>, tags array<string>")
+    assert [r.xattrs for r in tree.with_sorted_xattrs(rows).collect()] == [["a", "z"], [], []]
+    assert [r.tags for r in tree.normalised(rows, ("tags",)).collect()] == [[], ["t"], []]
+    assert [r.path for r in tree.pathnames(rows).collect()] == ["/a", "/b", "/c"] and [r.mac for r in tree.file_macs(rows).collect()] == ["m1"]
+    assert [r.path for r in tree.listing(rows, descending=True).collect()] == ["/c", "/b", "/a"]
+    errors = spark.createDataFrame([("/d/x", "e"), ("/dd", "e"), ("/d", "e")], "path string, error string")
+    assert [r.path for r in tree.errors_beneath(errors, "/d").collect()] == ["/d", "/d/x"]
+
+
+def test_addresses(spark):
+    row = spark.range(1).select(scalars.mac_format(scalars.mac_parse(F.lit("AB" * 32))).alias("a"), scalars.mac_parse(F.lit("ab")).alias("b"), scalars.is_mac(scalars.random_mac()).alias("c"), scalars.hashed(F.lit(b"x"), "MD5").alias("d"), scalars.hashed(F.lit(b"x"), "SHA256").alias("e")).first()
+    import hashlib
+
+    assert tuple(row) == ("ab" * 32, None, True, None, hashlib.sha256(b"x").hexdigest())
+
+
+def test_colours_and_states(spark):
+    rows = spark.createDataFrame([(4, "p", 1, False), (4, "p", 2, True), (4, "q", 1, False), (5, "s", 1, None)], "type int, mac string, when_ts long, removed boolean")
+    assert [r.mac for r in catalog.coloured_of(rows, 4).collect()] == ["q"] and [r.mac for r in catalog.coloured_of(rows.drop("removed"), 5).collect()] == ["s"]
+    states = spark.createDataFrame([("a", 5), ("b", 9), ("c", 9)], "state_id string, ts long")
+    assert catalog.latest_state(states).first()[0] == "c"
+    tree_of = spark.createDataFrame([("s1", None), ("s2", "s1")], "state_id string, parent string")
+    local = spark.createDataFrame([("k", "s1", 1), ("gone", "old", 1)], "key string, state_id string, v int")
+    remote = spark.createDataFrame([("k", "s2", 2), ("new", "s2", 3), ("k", "s1", 9)], "key string, state_id string, v int")
+    assert sorted(map(tuple, catalog.rebuilt(local, remote, tree_of, ["key"]).collect())) == [("k", "s1", 1), ("new", "s2", 3)]
+    objects = spark.createDataFrame([("o", ["m1", "m2", "m1"])], "object string, chunks array<string>")
+    deltas = spark.createDataFrame([(9, "m1", "p", 0, 5)], "type int, mac string, packfile string, offset long, length long")
+    got = catalog.object_locations(objects, deltas, spark.createDataFrame([("p",)], "packfile string"), rows.where("mac = 'q'")).orderBy("ordinal").collect()
+    assert [(r.ordinal, r.mac, r.packfile, r.length) for r in got] == [(0, "m1", "p", 5), (1, "m2", None, None), (2, "m1", "p", 5)]
+
+
 def test_envelopes():
     raw = connectors.seal(3, 65536, b"data")
     assert connectors.unseal(3, raw) == (65536, b"data")

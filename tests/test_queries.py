@@ -75,9 +75,17 @@ def test_samples_brute_force(spark):
             if time >= 50_000_000:
                 want.append((scope, n, size / (time / 1e9)))
                 n, size, time = n + 1, 0, 0
+        if time:
+            want.append((scope, n, size / (time / 1e9)))
     assert sorted(map(tuple, registry.queries()["io_sample_buckets"](spark, SF).collect())) == sorted(want)
 
 
-def test_token_bucket_never_negative(spark):
-    waits = [r.wait_s for r in registry.queries()["token_bucket_delay"](spark, SF).collect()]
-    assert min(waits) == 0 and max(waits) > 0
+def test_token_bucket_brute_force(spark):
+    got = groups([r.asDict() for r in registry.queries()["token_bucket_delay"](spark, SF).collect()], lambda r: r["scope"])
+    for g in got.values():
+        tokens, last = 100.0, None
+        for r in sorted(g, key=lambda r: r["seq"]):
+            tokens = min(100.0, tokens + (0 if last is None else (r["at_s"] - last) * 0.5)) - r["n"]
+            last = r["at_s"]
+            assert r["wait_s"] == max(0.0, -tokens / 0.5)
+    assert max(r["wait_s"] for g in got.values() for r in g) > 0

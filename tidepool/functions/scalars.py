@@ -18,6 +18,28 @@ def is_mac(hex_text: Column) -> Column:
     return hex_text.rlike("^[0-9a-f]{64}$")
 
 
+def mac_parse(hex_text: Column) -> Column:
+    """The 32 bytes of an address; null for anything else."""
+    return F.when(hex_text.rlike("^[0-9a-fA-F]{64}$"), F.unhex(hex_text))
+
+
+def mac_format(raw: Column) -> Column:
+    return F.lower(F.hex(raw))
+
+
+def random_mac() -> Column:
+    return F.sha2(F.concat(F.uuid(), F.uuid()), 256)
+
+
+#: Names of hashes that stores may have, and the hash that stands for each; fixed values. No BLAKE3 here: SHA-256 stands in.
+HASHES = {"SHA256": 256, "BLAKE3": 256}
+
+
+def hashed(data: Column, name: str = "BLAKE3") -> Column:
+    """The address under a hash by name; null for names that no store has."""
+    return F.sha2(data, HASHES[name]) if name in HASHES else F.lit(None).cast("string")
+
+
 def version_pack(major: Column, minor: Column, patch: Column) -> Column:
     return F.shiftleft(major, 16).bitwiseOR(F.shiftleft(minor, 8)).bitwiseOR(patch)
 
@@ -108,12 +130,12 @@ def parse_time_flag(text: str, now: datetime) -> datetime | None:
         return None
     if text != text.strip():
         raise ValueError(f"invalid time: {text!r}")
-    for form in ("%Y-%m-%dT%H:%M:%S%z", "%Y-%m-%d %H:%M", "%Y-%m-%d %H:%M:%S", "%Y-%m-%d", "%Y/%m/%d"):
-        try:
-            at = datetime.strptime(text.replace("Z", "+00:00") if "T" in text else text, form)
-        except ValueError:
-            continue
-        return at.astimezone(timezone.utc) if at.tzinfo else at.replace(tzinfo=timezone.utc)
+    if m := re.fullmatch(r"(\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d)([.,]\d+)?(Z|[+-]\d\d:\d\d)", text):
+        at = datetime.strptime(m[1] + m[3].replace("Z", "+00:00"), "%Y-%m-%dT%H:%M:%S%z")
+        return (at + timedelta(seconds=float((m[2] or "").replace(",", ".") or 0))).astimezone(timezone.utc)
+    for digits, form in ((r"\d{4}-\d\d-\d\d \d\d:\d\d", "%Y-%m-%d %H:%M"), (r"\d{4}-\d\d-\d\d \d\d:\d\d:\d\d", "%Y-%m-%d %H:%M:%S"), (r"\d{4}-\d\d-\d\d", "%Y-%m-%d"), (r"\d{4}/\d\d/\d\d", "%Y/%m/%d")):
+        if re.fullmatch(digits, text):
+            return datetime.strptime(text, form).replace(tzinfo=timezone.utc)
     total, at = 0.0, 0
     for m in re.finditer(r"(\d+(?:\.\d+)?)\s*([a-z]+?)s?(?=\d|\s|$)", text):
         unit = m[2] if m[2] in _UNITS else m[2] + "s"

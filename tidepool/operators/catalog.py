@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-SNAPSHOT, PACKFILE = 5, 4
+SNAPSHOT, PACKFILE, CHUNK = 5, 4, 9
 
 
 def live_deltas(deltas: DataFrame, packfiles: DataFrame, coloured: DataFrame | None = None) -> DataFrame:
@@ -29,6 +29,27 @@ def orphans(deltas: DataFrame, packfiles: DataFrame) -> DataFrame:
     return deltas.join(packfiles.select("packfile"), "packfile", "left_anti")
 
 
+def blobs_of_type(deltas: DataFrame, packfiles: DataFrame, kind: int) -> DataFrame:
+    """Deltas of one type whose packfile is known, coloured or not."""
+    return live_deltas(deltas.where(F.col("type") == kind), packfiles)
+
+
+def object_locations(objects: DataFrame, deltas: DataFrame, packfiles: DataFrame, coloured: DataFrame) -> DataFrame:
+    """objects (object, chunks: array of addresses) -> object, ordinal, mac, and a live location of each chunk, null if it has none."""
+    chunks = objects.select("object", F.posexplode("chunks").alias("ordinal", "mac")).withColumn("type", F.lit(CHUNK))
+    return chunks.join(locate_blobs(chunks.select("type", "mac").distinct(), deltas, packfiles, coloured), ["type", "mac"], "left").drop("type")
+
+
+def logical_size(roots: DataFrame) -> DataFrame:
+    """roots (snapshot, source, directory, below: sizes of a source's root) -> snapshots and the size of their first sources."""
+    return roots.where("source = 0").agg(F.count("*").alias("snapshots"), F.coalesce(F.sum(F.col("directory") + F.col("below")), F.lit(0)).alias("size"))
+
+
+def commit_totals(roots: DataFrame) -> DataFrame:
+    """roots (snapshot, source, directory, below, errors) -> size and errors of each snapshot, over all its sources."""
+    return roots.groupBy("snapshot").agg(F.sum(F.col("directory") + F.col("below")).alias("size"), F.sum("errors").alias("errors"))
+
+
 def new_blobs(blobs: DataFrame, known: DataFrame) -> DataFrame:
     """Blobs not known yet, each once."""
     return blobs.dropDuplicates(["type", "mac"]).join(known.select("type", "mac"), ["type", "mac"], "left_anti")
@@ -45,6 +66,11 @@ def newest_settings(configurations: DataFrame) -> DataFrame:
     return configurations.groupBy("key").agg(F.max(F.struct("created_at", "value")).alias("x")).select("key", "x.value", "x.created_at")
 
 
+def latest_state(states: DataFrame) -> DataFrame:
+    """The state that was put in last."""
+    return states.agg(F.max_by("state_id", F.struct("ts", "state_id")).alias("state_id"))
+
+
 def latest_serial(states: DataFrame) -> DataFrame:
     return states.agg(F.max_by("serial", F.struct("ts", "state_id")).alias("serial"))
 
@@ -71,6 +97,36 @@ def generations(states: DataFrame) -> DataFrame:
         jump = jump.join(far, "up", "left").select("state_id", F.col("next").alias("up"), (F.col("level") + F.coalesce("more", F.lit(0))).alias("level"))
 
 
+def rebuilt(local: DataFrame, remote: DataFrame, states: DataFrame, key: list[str]) -> DataFrame:
+    """The log after states were merged: rows (state_id, key ...) of local states that the remote has no more are dropped, those
+    of missing ones are added, states by generation and id, a row of an earlier one before one of a later.
+
+    states (state_id, parent): what the remote has.
+    """
+    kept = local.join(states.select("state_id"), "state_id", "left_semi")
+    added = remote.join(local.select("state_id").distinct(), "state_id", "left_anti").join(states.select("state_id"), "state_id", "left_semi")
+    order = generations(states.select("state_id", "parent"))
+    both = kept.unionByName(added).join(order, "state_id")
+    columns = [c for c in local.columns if c not in key]
+    first = both.groupBy(*key).agg(F.min_by(F.struct(*columns), F.struct("level", "state_id")).alias("_x"))
+    return first.select(*key, "_x.*").select(*local.columns)
+
+
+def out_of_order(rows: DataFrame, order: list[str], place: str = "place") -> DataFrame:
+    """Rows whose key isn't above the one before them: what a check of an index's order finds. place: the rows' numbers, from
+    which a row's predecessor is known without a window over all of them."""
+    before = rows.select((F.col(place) + 1).alias(place), F.struct(*order).alias("_before"))
+    return rows.join(before, place).where(F.struct(*order) <= F.col("_before")).drop("_before")
+
+
+def coloured_of(coloured: DataFrame, kind: int) -> DataFrame:
+    """Addresses of a type that have a colour. A row with `removed` takes an earlier one's colour away."""
+    rows = coloured.where(F.col("type") == kind)
+    if "removed" in rows.columns:
+        rows = last_of(rows, ["type", "mac"], "when_ts").where("NOT coalesce(removed, false)")
+    return rows.select("mac").distinct()
+
+
 def cascade_delete(deltas: DataFrame, packfiles: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame]:
     return deltas.join(gone, "packfile", "left_anti"), packfiles.join(gone, "packfile", "left_anti")
 

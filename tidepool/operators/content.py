@@ -54,23 +54,41 @@ def fixed_chunks(rows: DataFrame, size: int, data: str = "data") -> DataFrame:
     return rows.withColumn("offset", F.col("ordinal").cast("bigint") * size).withColumn("chunk", F.expr(f"substring({data}, cast(offset + 1 as int), {size})")).drop(data)
 
 
-_GEAR = np.random.default_rng(0x6EA5).integers(0, 1 << 63, 256, np.uint64).tolist()
+_GEAR = np.random.default_rng(0x6EA5).integers(0, 1 << 63, 256, np.uint64)
+#: Bytes that a rolling hash depends on, and that are hashed at a time.
+REACH, SPAN = 64, 8 << 20
+
+
+def gear_hashes(data: bytes, start: int, stop: int) -> np.ndarray:
+    """The rolling hash at each place of [start, stop): the sum of g(byte) << age over the last REACH bytes, by doubling."""
+    first = max(0, start - REACH + 1)
+    h, age = _GEAR[np.frombuffer(data, np.uint8, stop - first, first)], 1
+    while age < REACH:
+        h[age:] = h[age:] + (h[:-age] << np.uint64(age))
+        age *= 2
+    return h[start - first :]
 
 
 def cut_points(data: bytes, least: int = CHUNK_MIN, normal: int = CHUNK_NORMAL, most: int = CHUNK_MAX) -> list[int]:
-    """Ends of content-defined chunks: a gear hash with a stricter mask before the normal size and a looser one after it."""
+    """Ends of content-defined chunks: a gear hash with a stricter mask before the normal size and a looser one after it.
+
+    Places that a mask accepts are found for the whole of the data first, a span at a time; chunks then go from one to another.
+    """
     bits = int(math.log2(normal))
-    strict, loose = ((1 << (bits + 1)) - 1) << 20, ((1 << (bits - 1)) - 1) << 20
+    strict, loose = (np.uint64(((1 << (bits + n)) - 1) << 20) for n in (1, -1))
+    found: tuple[list, list] = ([], [])
+    for a in range(0, len(data), SPAN):
+        h = gear_hashes(data, a, min(len(data), a + SPAN))
+        for mask, out in zip((strict, loose), found, strict=True):
+            out.append(np.flatnonzero((h & mask) == 0) + a + 1)
+    tight, wide = (np.concatenate([*x, np.zeros(0, np.int64)]) for x in found)
     out, start, n = [], 0, len(data)
     while n - start > least:
-        h, i, stop = 0, start + least, min(n, start + most)
-        while i < stop:
-            h = (h << 1) + _GEAR[data[i]] & 0xFFFFFFFFFFFFFFFF
-            i += 1
-            if not h & (strict if i - start < normal else loose):
-                break
-        out.append(i)
-        start = i
+        stop = min(n, start + most)
+        i, j = np.searchsorted(tight, start + least, "right"), np.searchsorted(wide, start + max(normal, least), "right")
+        end = min(int(tight[i]) if i < len(tight) and tight[i] <= start + normal else stop, int(wide[j]) if j < len(wide) else stop, stop)
+        out.append(end)
+        start = end
     return out + [n] if start < n else out
 
 

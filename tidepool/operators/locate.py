@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import posixpath
 from dataclasses import dataclass, field
 from datetime import datetime, timedelta, timezone
 from functools import reduce
@@ -142,9 +143,8 @@ def retain(items: DataFrame, rules: list[tuple[str, int, int]], now: datetime, g
     ranked = rows.where("r IS NOT NULL").select("item_id", "grp", "r.*", F.row_number().over(w).alias("rank"))
     # one struct orders keep before delete, then rank, then rule; min() combines before the shuffle
     verdict = F.struct(F.when((F.col("cap") == 0) | (F.col("rank") <= F.col("cap")), 0).otherwise(1).alias("drop"), "rank", "ord", "grp", "rule", "bucket", "cap")
-    best = ranked.groupBy("item_id").agg(F.min(verdict).alias("v"))
     none = rows.where("r IS NULL").select("item_id", F.lit(None).cast("struct<drop:int,rank:int,ord:int,grp:string,rule:string,bucket:string,cap:int>").alias("v"))
-    all_ = best.unionByName(none).groupBy("item_id").agg(F.min("v").alias("v"))
+    all_ = ranked.select("item_id", verdict.alias("v")).unionByName(none).groupBy("item_id").agg(F.min("v").alias("v"))
     return all_.select(
         "item_id", F.when(F.col("v.drop") == 0, "keep").otherwise("delete").alias("action"), F.coalesce("v.rule", F.lit("")).alias("rule"), F.coalesce("v.bucket", F.lit("")).alias("bucket"), F.coalesce("v.rank", F.lit(0)).alias("rank"), F.coalesce("v.cap", F.lit(0)).alias("cap"),
         F.when(F.col("v").isNull(), "outside retention windows").when(F.col("v.drop") == 0, "within bucket").otherwise("exceeds per-bucket cap").alias("note"),
@@ -168,10 +168,80 @@ def sort_keys(text: str, allowed: tuple[str, ...] = HEADER_KEYS) -> list[tuple[s
     return out
 
 
+def numbered(rows: DataFrame, order: list[Column], name: str = "n") -> DataFrame:
+    """rows with their place in an order, from 1: ranges of the order are sorted and counted by themselves, and a range's
+    number of rows before it is added, so no task sees all rows."""
+    ranges = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id())
+    # what is counted has to be what is numbered: ranges are drawn anew when they are computed again
+    ranges = ranges.checkpoint() if rows.sparkSession.sparkContext.getCheckpointDir() else ranges.persist()
+    part, inside = F.shiftright("_id", 33), F.col("_id").bitwiseAND((1 << 33) - 1)
+    counts = ranges.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))  # a row for each range
+    before = counts.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
+    return ranges.withColumn("_part", part).join(F.broadcast(before), "_part").withColumn(name, F.col("_before") + inside + 1).drop("_id", "_part", "_before")
+
+
+def ordering(keys: list[tuple[str, bool]], columns: dict[str, str], tie: str) -> list[Column]:
+    return [*(F.col(columns[k]).desc() if down else F.col(columns[k]).asc() for k, down in keys), F.col(tie).asc()]
+
+
 def sort_by(rows: DataFrame, keys: list[tuple[str, bool]], columns: dict[str, str], tie: str) -> DataFrame:
-    return rows.orderBy(*(F.col(columns[k]).desc() if down else F.col(columns[k]).asc() for k, down in keys), tie)
+    return rows.orderBy(*ordering(keys, columns, tie))
 
 
 def sort_files(files: DataFrame, keys: str, tie: str = "path") -> DataFrame:
     """files in the order of `Name,-Size`; all eleven keys sort, modes, times and link counts too."""
     return sort_by(files, sort_keys(keys, tuple(FILE_KEYS)), FILE_KEYS, tie)
+
+
+# -- snapshots of a store --------------------------------------------------------------------------------------------
+
+
+def items_of(headers: DataFrame) -> DataFrame:
+    """Headers (item_id, ts, sources: array of origin, type, root, and the columns of Filters) as what filters and policies see."""
+    of = lambda c: F.transform(F.coalesce("sources", F.array()), lambda s: s[c])
+    return headers.withColumns({"types": of("type"), "origins": of("origin"), "roots": of("root")})
+
+
+def match(items: DataFrame, filters: Filters, rules: list[tuple[str, int, int]], now: datetime, group_by: str | None = None) -> DataFrame:
+    """Filters, then the newest only if asked for, then the policy: a verdict for each item that matches."""
+    return retain(matching(items, filters), rules, now, group_by)
+
+
+def located(items: DataFrame, filters: Filters, rules: list[tuple[str, int, int]], now: datetime, group_by: str | None = None) -> DataFrame:
+    """item_id and ts of the items that match and are kept, newest first."""
+    kept = match(items, filters, rules, now, group_by).where("action = 'keep'").select("item_id")
+    return matching(items, filters).join(kept, "item_id", "left_semi").select("item_id", "ts").orderBy(F.col("ts").desc(), "item_id")
+
+
+def with_prefix(items: DataFrame, prefix: str) -> DataFrame:
+    return items.where(F.col("item_id").startswith(prefix))
+
+
+def snapshot_of(items: DataFrame, prefix: str) -> str:
+    """The id of the only snapshot with that prefix; an error if there is none or there are several."""
+    found = with_prefix(items, prefix).agg(F.count("*").alias("n"), F.min("item_id").alias("item_id")).first()
+    if not found.n:
+        raise LookupError(f"no snapshot has the prefix {prefix!r}")
+    if found.n > 1:
+        raise LookupError(f"{found.n} snapshots have the prefix {prefix!r}")
+    return found.item_id
+
+
+def prefixes_resolved(asked: DataFrame, items: DataFrame) -> DataFrame:
+    """asked (prefix) with how many snapshots have it, n, and the id if it is one: snapshot_of() for many at once. Prefixes of
+    a length meet ids cut to that length, so each is an equality join."""
+    lengths = [r.n for r in asked.select(F.length("prefix").alias("n")).distinct().collect()]  # as many as an id has characters, at most
+    cut = items.select("item_id", F.explode(F.array(*(F.substring("item_id", 1, n) for n in lengths)) if lengths else F.array().cast("array<string>")).alias("prefix")).distinct()
+    found = cut.groupBy("prefix").agg(F.count("*").alias("n"), F.min("item_id").alias("item_id"))
+    out = asked.select("prefix").distinct().join(found, "prefix", "left")
+    return out.select("prefix", F.coalesce("n", F.lit(0).cast("long")).alias("n"), F.when(F.col("n") == 1, F.col("item_id")).alias("item_id"))
+
+
+def opened_path(items: DataFrame, text: str) -> tuple[str, str, str]:
+    """`prefix:path` -> (id, absolute path, path as it was given relative to the first source's root; "" if absolute)."""
+    prefix, _, path = ("", "", text) if text.startswith("/") else text.partition(":")
+    item_id = snapshot_of(items, prefix)
+    if path.startswith("/"):
+        return item_id, posixpath.normpath(path), ""
+    root = items.where(F.col("item_id") == item_id).select(F.get("roots", F.lit(0)).alias("root")).first().root or "/"
+    return item_id, posixpath.normpath(posixpath.join(root, path)), path or "."

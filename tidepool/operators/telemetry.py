@@ -11,7 +11,8 @@ POINTS = (50, 75, 80, 90, 95, 99)
 
 
 def samples(spans: DataFrame, window_ns: int = WINDOW_NS) -> DataFrame:
-    """spans (scope, seq, bytes, dt_ns) -> scope, n, throughput (bytes a second): one whenever active time reaches the window."""
+    """spans (scope, seq, bytes, dt_ns) -> scope, n, throughput (bytes a second): one whenever active time reaches the window,
+    and one of what is left when a scope ends. A scope's spans are folded in order, in one task."""
 
     def run(frames):
         scope, n, size, time = None, 0, 0, 0
@@ -19,6 +20,8 @@ def samples(spans: DataFrame, window_ns: int = WINDOW_NS) -> DataFrame:
             out = []
             for s, b, dt in zip(frame["scope"], frame["bytes"], frame["dt_ns"], strict=True):
                 if s != scope:
+                    if time > 0:
+                        out.append((scope, n, size / (time / 1e9)))
                     scope, n, size, time = s, 0, 0, 0
                 if not b or dt <= 0:
                     continue
@@ -27,6 +30,8 @@ def samples(spans: DataFrame, window_ns: int = WINDOW_NS) -> DataFrame:
                     out.append((s, n, size / (time / 1e9)))
                     n, size, time = n + 1, 0, 0
             yield pd.DataFrame(out, columns=["scope", "n", "throughput"])
+        if time > 0:
+            yield pd.DataFrame([(scope, n, size / (time / 1e9))], columns=["scope", "n", "throughput"])
 
     rows = spans.select("scope", "seq", F.col("bytes").cast("long"), F.col("dt_ns").cast("long")).repartition("scope").sortWithinPartitions("scope", "seq")
     return rows.mapInPandas(run, f"scope {rows.schema['scope'].dataType.simpleString()}, n long, throughput double")
@@ -65,3 +70,8 @@ def token_bucket(requests: DataFrame, rate: float, burst: float) -> DataFrame:
 
     rows = requests.select("scope", "seq", F.col("at_s").cast("double"), F.col("n").cast("double")).repartition("scope").sortWithinPartitions("scope", "seq")
     return rows.mapInPandas(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields) + ", wait_s double")
+
+
+def drained(used: DataFrame, every: str = "1 second") -> DataFrame:
+    """used (scope, at, bytes) -> what a throttle gives back each time it is read and set back: scope, start, bytes."""
+    return used.groupBy("scope", F.window("at", every).alias("w")).agg(F.sum("bytes").alias("bytes")).select("scope", F.col("w.start").alias("start"), "bytes")

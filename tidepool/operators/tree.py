@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -35,6 +36,15 @@ def missing_ancestors(entries: DataFrame) -> DataFrame:
     return parents.join(entries.select("path"), "path", "left_anti")
 
 
+def relinked(entries: DataFrame) -> DataFrame:
+    """entries, and a directory with mode 0750 and a time of 0 for each one that is missing above them."""
+    none = {f.name: F.lit(None).cast(f.dataType) for f in entries.schema.fields}
+    path = F.col("path")
+    made = {"path": path, "parent": F.when(path == "/", "").otherwise(paths.dirname(path)), "name": paths.basename(path), "kind": F.lit("directory"), "mode": F.lit(scalars.MODE_DIRECTORY | 0o750), "mtime": F.lit(0), "size": F.lit(0)}
+    dirs = missing_ancestors(entries).select(*(made.get(c, x).cast(entries.schema[c].dataType).alias(c) for c, x in none.items()))
+    return entries.unionByName(dirs)
+
+
 def resolve_links(entries: DataFrame) -> DataFrame:
     """Symbolic links with the entry that they point to, one step."""
     target = F.when(F.col("target").startswith("/"), paths.clean(F.col("target"))).otherwise(paths.clean(F.concat_ws("/", F.col("parent"), F.col("target"))))
@@ -95,22 +105,78 @@ def name_matches(name: Column, pattern: str, regex: bool = True) -> Column:
     return out
 
 
-def search(entries: DataFrame, prefix: str = "", name: str = "", mimes: list[str] | None = None, files_only: bool = True, exact_mime: bool = False, offset: int = 0, limit: int = 0) -> DataFrame:
-    """A page of the entries below a prefix, in walk order; directories go before offset and limit count."""
+ORDERS = {"walk": lambda: (paths.walk_order(F.col("path")),), "breadth": lambda: (paths.depth(F.col("path")), F.col("path")), "path": lambda: (F.col("path"),), "none": lambda: ()}
+
+
+def search(entries: DataFrame, prefix: str = "", name: str = "", mimes: list[str] | None = None, files_only: bool = True, exact_mime: bool = False, offset: int = 0, limit: int = 0, recursive: bool = True, order: str = "walk", indexed: bool = False) -> DataFrame:
+    """A page of the entries below a prefix, by default in walk order; directories go before offset and limit count.
+
+    Not `recursive`: what lies directly in the prefix. order: walk (depth first), breadth, path or none. `indexed`: entries
+    are found by content type, as an index from types to paths has them: types are whole or have a whole beginning, results
+    come in order of asked type, found type and path, an entry once for each asked type that it fits. An index is asked only
+    if the search is recursive and asks for types; otherwise entries are walked, and the part before the slash counts.
+    """
     out = entries
     if prefix:
         out = out.where(F.col("path").startswith(prefix.rstrip("/") + "/"))
+    if not recursive:
+        out = out.where((F.col("parent") == (prefix.rstrip("/") or "/")) & (F.col("path") != "/"))
     if files_only:
         out = out.where(F.col("kind") != "directory")
+    indexed = indexed and recursive and bool(mimes)
     if name:
-        out = out.where(name_matches(F.col("name"), name, regex=not exact_mime))
-    if mimes:
-        out = out.where(mime_matches(F.col("content_type"), mimes, exact_mime))
-    out = out.orderBy(paths.walk_order(F.col("path")))
+        out = out.where(name_matches(F.col("name"), name, regex=not (exact_mime or indexed)))
+    if indexed:
+        asked = F.array(*(F.struct(F.lit(i).alias("n"), F.lit(m).alias("mime")) for i, m in enumerate(mimes)))
+        key = F.concat(F.lit("/"), "content_type", F.lit("/"))
+        out = out.withColumn("_asked", F.explode(F.filter(asked, lambda x: key.startswith(F.concat(F.lit("/"), F.rtrim(x["mime"], F.lit("/")), F.lit("/"))))))
+        out = out.orderBy("_asked.n", scalars.content_type_key(F.col("content_type"), F.col("path"))).drop("_asked")
+    else:
+        if mimes:
+            out = out.where(mime_matches(F.col("content_type"), mimes, exact_mime))
+        if by := ORDERS[order]():
+            out = out.orderBy(*by)
     out = out.offset(offset) if offset else out
     return out.limit(limit) if limit else out
 
 
+def pathnames(entries: DataFrame) -> DataFrame:
+    return entries.select("path").orderBy("path")
+
+
+def file_macs(entries: DataFrame) -> DataFrame:
+    """The address of every entry that has one, once each."""
+    return entries.where("mac IS NOT NULL").select("mac").distinct()
+
+
+def listing(entries: DataFrame, directory: str = "", descending: bool = False) -> DataFrame:
+    """Entries, or those directly in a directory, by path, either way."""
+    out = children(entries, directory) if directory else entries
+    return out.orderBy(F.col("path").desc() if descending else F.col("path"))
+
+
+def with_sorted_xattrs(entries: DataFrame, column: str = "xattrs") -> DataFrame:
+    """Names of attributes in ascending order; none for null."""
+    return entries.withColumn(column, F.sort_array(F.coalesce(column, F.array().cast("array<string>"))))
+
+
+def normalised(entries: DataFrame, lists: tuple[str, ...]) -> DataFrame:
+    """Null lists as empty ones, as entries are shown."""
+    return entries.withColumns({c: F.coalesce(c, F.array().cast(entries.schema[c].dataType)) for c in lists})
+
+
+def without_store(entries: DataFrame, store_root: str, importer: str) -> DataFrame:
+    """Entries without the store's own files, which only importers of local files could meet."""
+    return entries.where(~paths.is_within(F.col("path"), store_root)) if importer in ("fs", "ptar") else entries
+
+
+def source_root(root: str, is_directory: bool) -> str:
+    """Where a source begins: of a single file, the directory that it is in."""
+    if is_directory:
+        return root
+    return root.rpartition("/")[0] or "/"
+
+
 # -- exclusion -------------------------------------------------------------------------------------------------------
 
 
@@ -168,7 +234,12 @@ def excluded(path: Column, is_dir: Column, rules: list[str]) -> Column:
 # -- summaries -------------------------------------------------------------------------------------------------------
 
 LOW, HIGH = 2.0, 7.0
-SUMS = ("files", "directories", "symlinks", "children", "objects", "chunks", "size", "low_entropy", "high_entropy", "mime_text", "mime_image", "mime_other")
+#: Counts and sums of a summary, and what it has the least and the most of.
+KINDS = {"files": None, "directories": "directory", "symlinks": "symlink", "devices": "device", "pipes": "pipe", "sockets": "socket"}
+BITS = {"setuid": scalars.MODE_SETUID, "setgid": scalars.MODE_SETGID, "sticky": scalars.MODE_STICKY}
+MIMES = ("text", "image", "audio", "video", "application")
+SUMS = (*KINDS, "children", *BITS, "objects", "chunks", "size", "low_entropy", "high_entropy", *(f"mime_{m}" for m in MIMES), "mime_other")
+EXTREMES = ("size", "mtime", "entropy")
 
 
 def folded_min(rows: Column) -> Column:
@@ -176,28 +247,106 @@ def folded_min(rows: Column) -> Column:
     return F.aggregate(rows, F.lit(0).cast("bigint"), lambda a, x: F.when((a == 0) | (x < a), x).otherwise(a))
 
 
+def folded_mins(rows: DataFrame, key: str, order: str, values: tuple[str, ...]) -> DataFrame:
+    """key and, for each of `values`, min_<value>: what folded_min() gives for a key's rows in their order.
+
+    That is the least value after the last 0, or 0 if there is none after it: two aggregates that combine before their
+    shuffles, so no key's rows have to be in one place.
+    """
+    last = rows.groupBy(key).agg(*(F.max(F.when(F.col(v) == 0, F.col(order))).alias(f"_{v}") for v in values))
+    after = lambda v: F.when(F.col(f"_{v}").isNull() | (F.col(order) > F.col(f"_{v}")), F.col(v))
+    return rows.join(last, key).groupBy(key).agg(*(F.coalesce(F.min(after(v)), F.lit(0).cast(rows.schema[v].dataType)).alias(f"min_{v}") for v in values))
+
+
 def directory_summary(entries: DataFrame) -> DataFrame:
-    """Counts and extremes of what lies directly in each directory. entries: path, parent, kind, size, mtime, entropy, content_type, n_chunks."""
-    kind, major = F.col("kind"), scalars.mime_major(F.col("content_type"))
-    file = kind == "regular"
-    n = lambda c: F.count_if(c)
-    return entries.where("path <> '/'").groupBy("parent").agg(
-        n(file).alias("files"), n(kind == "directory").alias("directories"), n(kind == "symlink").alias("symlinks"), F.count("*").alias("children"), n(file & (F.col("n_chunks") > 0)).alias("objects"), F.coalesce(F.sum("n_chunks"), F.lit(0)).alias("chunks"),
-        F.coalesce(F.sum(F.when(file, F.col("size"))), F.lit(0)).alias("size"), F.min(F.when(file, F.col("size"))).alias("min_size"), F.max(F.when(file, F.col("size"))).alias("max_size"), F.min("mtime").alias("min_mtime"), F.max("mtime").alias("max_mtime"),
-        n((kind != "directory") & (F.col("entropy") <= LOW)).alias("low_entropy"), n(F.col("entropy") >= HIGH).alias("high_entropy"), F.coalesce(F.sum(F.when(file, F.col("entropy"))), F.lit(0.0)).alias("sum_entropy"),
-        n(major == "text").alias("mime_text"), n(major == "image").alias("mime_image"), n((kind != "directory") & ~major.isin("text", "image")).alias("mime_other"),
+    """Counts and extremes of what lies directly in each directory.
+
+    entries: path, parent, kind, size, mtime, entropy, content_type, n_chunks, and mode if there is one. Directories count
+    as children only; the other figures are of everything else, links and devices too. The least ones are folds in path
+    order in which 0 starts anew.
+    """
+    entries = entries.where("path <> '/'")
+    if "mode" not in entries.columns:
+        entries = entries.withColumn("mode", F.lit(0).cast("long"))
+    kind, other = F.col("kind"), F.col("kind") != "directory"
+    known = [k for k in KINDS.values() if k]
+    n = lambda c: F.count_if(F.coalesce(c, F.lit(False)))
+    has = F.coalesce("content_type", F.lit("")) != ""
+    is_mime = {m: F.col("content_type").startswith(f"{m}/") for m in MIMES}
+    any_mime = F.coalesce(reduce(lambda a, b: a | b, is_mime.values()), F.lit(False))
+    total = lambda c, kind: F.coalesce(F.sum(F.when(other, F.col(c))), F.lit(0).cast(kind))
+    sums = entries.groupBy("parent").agg(
+        *(n(~kind.isin(known) if k is None else kind == k).alias(name) for name, k in KINDS.items()),
+        F.count("*").alias("children"),
+        *(n(other & scalars.has_mode(F.col("mode").cast("long"), bit)).alias(name) for name, bit in BITS.items()),
+        n(other & (F.col("n_chunks") > 0)).alias("objects"), total("n_chunks", "long").alias("chunks"), total("size", "long").alias("size"),
+        n(other & (F.col("entropy") <= LOW)).alias("low_entropy"), n(other & (F.col("entropy") >= HIGH)).alias("high_entropy"), total("entropy", "double").alias("sum_entropy"),
+        *(n(other & is_mime[m]).alias(f"mime_{m}") for m in MIMES), n(other & has & ~any_mime).alias("mime_other"),
+        *(F.max(F.when(other, F.coalesce(c, F.lit(0)))).alias(f"max_{c}") for c in EXTREMES),
     )
+    least = folded_mins(entries.where(other).select("parent", "path", *(F.coalesce(c, F.lit(0)).alias(c) for c in EXTREMES)), "parent", "path", EXTREMES)
+    out = sums.join(least, "parent", "left")
+    return out.fillna(0, [f"{m}_{c}" for m in ("min", "max") for c in EXTREMES])
 
 
 def with_averages(summary: DataFrame) -> DataFrame:
-    """avg_size: whole bytes by files; avg_entropy; 0 without files."""
+    """avg_size: whole bytes by regular files; avg_entropy; 0 without files."""
     return summary.withColumns({"avg_size": F.when(F.col("files") > 0, F.expr("size div files")).otherwise(0), "avg_entropy": F.when(F.col("files") > 0, F.col("sum_entropy") / F.col("files")).otherwise(0.0)})
 
 
 def below(summary: DataFrame) -> DataFrame:
     """The sums of all directories below each directory; directories are summed up before their ancestors are listed."""
-    up = summary.select(F.explode(paths.ancestors(F.col("parent"))).alias("directory"), *SUMS, "min_size", "max_size")
-    return up.groupBy("directory").agg(*(F.sum(c).alias(c) for c in SUMS), F.min("min_size").alias("min_size"), F.max("max_size").alias("max_size"))
+    up = summary.select(F.explode(paths.ancestors(F.col("parent"))).alias("directory"), *SUMS, *(f"max_{c}" for c in EXTREMES))
+    return up.groupBy("directory").agg(*(F.sum(c).alias(c) for c in SUMS), *(F.max(f"max_{c}").alias(f"max_{c}") for c in EXTREMES))
+
+
+def below_mins(summary: DataFrame) -> DataFrame:
+    """directory, min_<value> of what is below it: a fold over its subdirectories in path order, each giving first the least
+    below it and then its own; 0 starts anew. From the deepest directories up, a join and a fold for each level."""
+    mins = [f"min_{c}" for c in EXTREMES]
+    tree = summary.select(F.col("parent").alias("path"), *mins).where("path <> '/'").withColumn("depth", paths.depth(F.col("path")))
+    tree = _kept(tree)
+    found, deepest = None, tree.agg(F.max("depth")).first()[0] or 0
+    for depth in range(deepest, 0, -1):
+        level = tree.where(F.col("depth") == depth).select("path", *mins)
+        under = level.select("path", *(F.lit(0).cast(level.schema[m].dataType).alias(m) for m in mins))
+        if found is not None:
+            under = under.select("path").join(found, "path", "left").fillna(0, mins)
+        both = under.withColumn("n", F.lit(0)).unionByName(level.withColumn("n", F.lit(1))).select(paths.dirname(F.col("path")).alias("up"), F.struct("path", "n").alias("order"), *(F.col(m).alias(m[4:]) for m in mins))
+        here = folded_mins(both, "up", "order", EXTREMES).withColumnRenamed("up", "path")
+        found = _kept(here if found is None else found.unionByName(here))
+    return (found if found is not None else tree.select("path", *mins).limit(0)).withColumnRenamed("path", "directory")
+
+
+def _kept(df: DataFrame) -> DataFrame:
+    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.persist()
+
+
+def summaries(entries: DataFrame, errors: DataFrame | None = None) -> DataFrame:
+    """A row for each directory: path, what is directly in it, as `directory`, and below it, as `below`; two structs.
+
+    entries: as for directory_summary, directories included. errors (parent): count at any depth, and only in `below`.
+    """
+    places = entries.where("kind = 'directory'").select("path").distinct()
+    missing = {c: 0 for c in (*SUMS, "sum_entropy", *(f"{m}_{c}" for m in ("min", "max") for c in EXTREMES), "avg_size", "avg_entropy")}
+    own = places.join(directory_summary(entries).withColumnRenamed("parent", "path"), "path", "left").fillna(0)
+    own = _kept(own)
+    summary = own.withColumnRenamed("path", "parent")
+    under = below(summary).join(below_mins(summary), "directory", "left")
+    if errors is None:
+        counted = own.select(F.col("path").alias("directory"), F.lit(0).cast("long").alias("errors"))
+    else:
+        per = errors_by_parent(errors)
+        counted = per.select(F.explode(F.array_append(paths.ancestors(F.col("parent")), F.col("parent"))).alias("directory"), "errors").groupBy("directory").agg(F.sum("errors").alias("errors"))
+    under = own.select(F.col("path").alias("directory")).join(under, "directory", "left").join(counted, "directory", "left").fillna(0)
+    own, names = with_averages(own), [c for c in missing if c not in ("sum_entropy", "avg_size", "avg_entropy")]
+    under = under.select(F.col("directory").alias("path"), F.struct(*names, "errors").alias("below"))
+    return own.select("path", F.struct(*missing).alias("directory")).join(under, "path")
+
+
+def errors_beneath(errors: DataFrame, top: str = "/") -> DataFrame:
+    """errors (path, error) at or below a directory, by path."""
+    return errors.where(paths.is_within(F.col("path"), top)).orderBy("path")
 
 
 def errors_by_parent(errors: DataFrame) -> DataFrame:
@@ -238,6 +387,14 @@ def replay(entries: DataFrame, xattrs: DataFrame, errors: DataFrame) -> DataFram
 
 
 def exported(entries: DataFrame, top: str) -> DataFrame:
-    """Entries of a subtree with paths from its top."""
-    rest = F.substring(F.col("path"), len(top.rstrip("/")) + 1, 1 << 30)
-    return not_below_links(entries).where(paths.is_within(F.col("path"), top)).withColumn("path", F.when(rest == "", "/").otherwise(rest))
+    """Entries of a subtree with paths from its top. A single file comes with its name only, below a directory made for it."""
+    within = not_below_links(entries).where(paths.is_within(F.col("path"), top))
+    one = entries.where((F.col("path") == top) & (F.col("kind") != "directory")) if "kind" in entries.columns and top != "/" else None
+    if one is not None and not one.isEmpty():
+        strip, none = top.rpartition("/")[0], {f.name: F.lit(None).cast(f.dataType) for f in entries.schema.fields}
+        root = within.limit(1).select(*((F.lit("/") if c == "path" else F.lit("directory") if c == "kind" else x).cast(entries.schema[c].dataType).alias(c) for c, x in none.items()))
+        within = within.unionByName(root.withColumn("path", F.lit(f"{strip}/")))
+    else:
+        strip = top.rstrip("/")
+    rest = F.substring(F.col("path"), len(strip) + 1, 1 << 30)
+    return within.withColumn("path", F.when(rest == "", "/").otherwise(rest))

@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidepool.functions import codecs, mime, paths, scalars
@@ -138,11 +138,33 @@ def retention_no_rules(spark, d):
     return locate.retain(items(spark, d).where("category = 'P'"), [], NOW).select("item_id", "action", "note")
 
 
-@query("SELECT CAST(o_orderkey AS VARCHAR) AS item_id, CAST(row_number() OVER (ORDER BY o_orderdate DESC, CAST(o_orderkey AS VARCHAR)) AS INTEGER) AS n FROM orders QUALIFY n <= 50")
+@query("SELECT CAST(o_orderkey AS VARCHAR) AS item_id, row_number() OVER (ORDER BY o_orderdate DESC, CAST(o_orderkey AS VARCHAR)) AS n FROM orders")
 def sort_headers(spark, d):
     keys = locate.sort_keys("-Timestamp,Identifier")
-    top = locate.sort_by(items(spark, d), keys, {"Timestamp": "ts", "Identifier": "item_id"}, "item_id").limit(50)
-    return top.select("item_id", F.row_number().over(Window.orderBy(F.col("ts").desc(), "item_id")).alias("n"))
+    return locate.numbered(items(spark, d), locate.ordering(keys, {"Timestamp": "ts", "Identifier": "item_id"}, "item_id")).select("item_id", "n")
+
+
+@query("WITH p AS (SELECT DISTINCT left(CAST(o_orderkey AS VARCHAR), 3) AS prefix FROM orders WHERE o_orderkey % 7 = 0 UNION SELECT CAST(o_orderkey AS VARCHAR) || 'x' FROM orders WHERE o_orderkey % 50 = 0) SELECT prefix, count(o_orderkey) AS n, CASE WHEN count(o_orderkey) = 1 THEN CAST(min(o_orderkey) AS VARCHAR) END AS item_id FROM p LEFT JOIN orders ON starts_with(CAST(o_orderkey AS VARCHAR), prefix) GROUP BY prefix")
+def snapshot_prefixes(spark, d):
+    o = items(spark, d)
+    number = F.col("item_id").cast("long")
+    asked = o.where(number % 7 == 0).select(F.substring("item_id", 1, 3).alias("prefix")).unionByName(o.where(number % 50 == 0).select(F.concat("item_id", F.lit("x")).alias("prefix")))
+    return locate.prefixes_resolved(asked, o.select("item_id"))
+
+
+@query("WITH m AS (SELECT CAST(o_orderkey AS VARCHAR) AS item_id, o_orderdate AS ts, row_number() OVER (PARTITION BY o_orderpriority, strftime(o_orderdate, '%Y-%m') ORDER BY o_orderdate DESC, CAST(o_orderkey AS VARCHAR)) AS rank FROM orders WHERE o_orderstatus = 'O' AND o_orderdate >= TIMESTAMP '1996-01-01') SELECT item_id, ts FROM m WHERE rank <= 2")
+def located_snapshots(spark, d):
+    return locate.located(items(spark, d), locate.Filters(category="O", since=datetime(1996, 1, 1)), [("month", 0, 2)], NOW, "job")
+
+
+@query("SELECT CAST(o_orderkey AS VARCHAR) AS item_id, 'keep' AS action FROM orders WHERE o_orderpriority = '1-URGENT' ORDER BY o_orderdate DESC, CAST(o_orderkey AS VARCHAR) LIMIT 1")
+def match_latest(spark, d):
+    return locate.match(items(spark, d), locate.Filters(job="1-URGENT", latest=True), [("year", 0, 1)], NOW, "tag").select("item_id", "action")
+
+
+@query("SELECT CAST(o_orderkey AS VARCHAR) AS item_id FROM orders WHERE o_orderstatus IN ('F', 'P')")
+def locate_data_classes(spark, d):
+    return locate.matching(items(spark, d).withColumn("data_classes", F.array("category")), locate.Filters(data_classes=["F", "P"])).select("item_id")
 
 
 # -- files -----------------------------------------------------------------------------------------------------------
@@ -180,10 +202,7 @@ def vfs_children(spark, d):
 
 @query(f"WITH {_FILES}, a AS (SELECT path FROM g UNION SELECT parent FROM g UNION SELECT '/' || split_part(parent, '/', 2) FROM g UNION SELECT '/') SELECT path, row_number() OVER (ORDER BY string_split(CASE WHEN path = '/' THEN '' ELSE path END, '/')) AS n FROM a WHERE path = '/en' OR starts_with(path, '/en/')")
 def vfs_walk_order(spark, d):
-    rows = tree.walk(tree_entries(spark, d), "/en")
-    all_ = tree_entries(spark, d)
-    w = Window.orderBy(paths.walk_order(F.col("path")))
-    return all_.join(rows.select("path"), "path", "left_semi").select("path", F.row_number().over(w).cast("long").alias("n"))
+    return locate.numbered(tree.walk(tree_entries(spark, d), "/en"), [paths.walk_order(F.col("path"))]).select("path", "n")
 
 
 @query(f"WITH {_FILES}, a AS (SELECT path FROM g UNION SELECT parent FROM g UNION SELECT '/' || split_part(parent, '/', 2) FROM g UNION SELECT '/') SELECT path, CAST(CASE WHEN path = '/' THEN 0 ELSE length(path) - length(replace(path, '/', '')) END AS INTEGER) AS depth FROM a")
@@ -201,9 +220,39 @@ def vfs_links(spark, d):
     return tree.resolve_links(tree_entries(spark, d)).select("link", "path")
 
 
-@query(f"WITH {_FILES} SELECT count(*) AS n FROM g, (SELECT 1)")
+@query(f"WITH {_FILES} SELECT path FROM g UNION ALL SELECT path || '/below/deep' FROM g WHERE NOT link AND doc_id % 5 = 0")
 def vfs_not_below_links(spark, d):
-    return tree.not_below_links(tree_entries(spark, d)).where("kind <> 'directory'").agg(F.count("*").alias("n"))
+    """Each link, and each fifth file, has an entry two levels below it."""
+    f = files(spark, d).select("path", "parent", "target", "doc_id")
+    more = f.where("target <> '' OR doc_id % 5 = 0").select(F.concat("path", F.lit("/below/deep")).alias("path"), F.concat("path", F.lit("/below")).alias("parent"), F.lit("").alias("target"), "doc_id")
+    return tree.not_below_links(f.unionByName(more)).select("path")
+
+
+@query(f"WITH {_FILES} SELECT parent AS path, 2147484136::BIGINT AS mode, 0::BIGINT AS mtime FROM g UNION SELECT '/' || split_part(parent, '/', 2), 2147484136, 0 FROM g UNION SELECT '/', 2147484136, 0")
+def relinked(spark, d):
+    rows = files(spark, d).select("path", "parent", "name", "kind", "size", "mtime", F.lit(0o644).cast("long").alias("mode"))
+    return tree.relinked(rows).where("kind = 'directory'").select("path", "mode", "mtime")
+
+
+@query(f"WITH {_FILES} SELECT path FROM g WHERE parent = '/de/src1'")
+def search_children(spark, d):
+    return tree.search(tree_entries(spark, d), prefix="/de/src1/", recursive=False, order="path").select("path")
+
+
+@query(f"WITH {_FILES} SELECT path, content_type FROM g, (VALUES ('text'), ('text/markdown'), ('image/png')) m(mime) WHERE starts_with('/' || content_type || '/', '/' || mime || '/') AND starts_with(path, '/en/')")
+def search_mime_index(spark, d):
+    """An entry comes once for each asked type that it fits."""
+    return tree.search(tree_entries(spark, d), prefix="/en", mimes=["text", "text/markdown", "image/png"], indexed=True).select("path", "content_type")
+
+
+@query(f"WITH {_FILES} SELECT path FROM g WHERE content_type LIKE 'text/%' ORDER BY content_type, path LIMIT 30 OFFSET 5")
+def search_mime_page(spark, d):
+    return tree.search(tree_entries(spark, d), mimes=["text"], indexed=True, offset=5, limit=30).select("path")
+
+
+@query(f"WITH {_FILES}, a AS (SELECT path, 3 AS depth, FALSE AS dir FROM g UNION SELECT parent, 2, TRUE FROM g UNION SELECT '/' || split_part(parent, '/', 2), 1, TRUE FROM g UNION SELECT '/', 0, TRUE) SELECT path FROM a ORDER BY depth, path LIMIT 20 OFFSET 3")
+def search_breadth(spark, d):
+    return tree.search(tree_entries(spark, d), files_only=False, order="breadth", offset=3, limit=20).select("path")
 
 
 @query(f"WITH {_FILES} SELECT path FROM g WHERE starts_with(path, '/de/src1/')")
@@ -242,16 +291,60 @@ def exclude_last_match(spark, d):
     return files(spark, d).select("path", tree.excluded(F.col("path"), F.lit(False), rules).alias("excluded"))
 
 
-@query(f"""WITH {_FILES} SELECT parent AS directory, sum((NOT link)::INT)::BIGINT AS files, sum(link::INT)::BIGINT AS symlinks, count(*) AS children, sum(size)::BIGINT AS size, min(CASE WHEN NOT link THEN size END)::BIGINT AS min_size, max(CASE WHEN NOT link THEN size END)::BIGINT AS max_size,
-sum((content_type LIKE 'text/%')::INT)::BIGINT AS mime_text, sum((content_type LIKE 'image/%')::INT)::BIGINT AS mime_image, sum((content_type LIKE 'app%')::INT)::BIGINT AS mime_other, (CASE WHEN sum((NOT link)::INT) > 0 THEN sum(size) // sum((NOT link)::INT) ELSE 0 END)::BIGINT AS avg_size FROM g GROUP BY parent""")
+def _fold(value: str, order: str) -> str:
+    return f"list_reduce(list({value} ORDER BY {order}), lambda a, x: CASE WHEN a = 0 OR x < a THEN x ELSE a END, 0::BIGINT)"
+
+
+#: Files of all kinds: modes, times and entropies vary, and some are 0.
+_KINDS = f"""{_FILES}, k AS (SELECT *, CASE WHEN link THEN 'symlink' WHEN doc_id % 41 = 0 THEN 'pipe' WHEN doc_id % 43 = 0 THEN 'device' WHEN doc_id % 47 = 0 THEN 'socket' ELSE 'regular' END AS kind,
+ doc_id % 13 = 0 AS setuid, doc_id % 17 = 0 AS sticky, doc_id * 7919 % 101 AS mtime, doc_id % 9 AS entropy, CASE doc_id % 29 WHEN 1 THEN 'audio/ogg' WHEN 2 THEN 'video/mp4' WHEN 3 THEN 'font/otf' WHEN 4 THEN '' ELSE content_type END AS mime FROM g)"""
+
+
+def kinds(spark: SparkSession, d: str) -> DataFrame:
+    n = F.col("doc_id")
+    f = files(spark, d)
+    kind = F.when(F.col("kind") == "symlink", "symlink").when(n % 41 == 0, "pipe").when(n % 43 == 0, "device").when(n % 47 == 0, "socket").otherwise("regular")
+    mime_type = F.when(n % 29 == 1, "audio/ogg").when(n % 29 == 2, "video/mp4").when(n % 29 == 3, "font/otf").when(n % 29 == 4, "").otherwise(F.col("content_type"))
+    mode = F.when(n % 13 == 0, scalars.MODE_SETUID).otherwise(0) + F.when(n % 17 == 0, scalars.MODE_STICKY).otherwise(0)
+    return f.withColumns({"kind": kind, "content_type": mime_type, "mode": mode.cast("long"), "mtime": n * 7919 % 101, "entropy": (n % 9).cast("double")}).drop("text")
+
+
+_COUNTED = """count(*) FILTER (kind = 'regular') AS files, 0::BIGINT AS directories, count(*) FILTER (link) AS symlinks, count(*) FILTER (kind = 'device') AS devices, count(*) FILTER (kind = 'pipe') AS pipes, count(*) FILTER (kind = 'socket') AS sockets, count(*) AS children,
+ count(*) FILTER (setuid) AS setuid, 0::BIGINT AS setgid, count(*) FILTER (sticky) AS sticky, count(*) FILTER (NOT link) AS objects, count(*) FILTER (NOT link) AS chunks, sum(size)::BIGINT AS size, count(*) FILTER (entropy <= 2) AS low_entropy, count(*) FILTER (entropy >= 7) AS high_entropy,
+ count(*) FILTER (mime LIKE 'text/%') AS mime_text, count(*) FILTER (mime LIKE 'image/%') AS mime_image, count(*) FILTER (mime LIKE 'audio/%') AS mime_audio, count(*) FILTER (mime LIKE 'video/%') AS mime_video, count(*) FILTER (mime LIKE 'application/%') AS mime_application, count(*) FILTER (mime LIKE 'font/%') AS mime_other"""
+
+
+@query(f"""WITH {_KINDS} SELECT parent AS directory, {_COUNTED}, {_fold("size::BIGINT", "path")} AS min_size, max(size)::BIGINT AS max_size, {_fold("mtime::BIGINT", "path")} AS min_mtime, max(mtime)::BIGINT AS max_mtime, {_fold("entropy::BIGINT", "path")} AS min_entropy, max(entropy)::BIGINT AS max_entropy,
+ sum(entropy)::BIGINT AS sum_entropy, (CASE WHEN files > 0 THEN sum(size) // files ELSE 0 END)::BIGINT AS avg_size, CASE WHEN files > 0 THEN round(sum(entropy) / files, 6) ELSE 0 END AS avg_entropy FROM k GROUP BY parent""")
 def dir_summary(spark, d):
-    s = tree.with_averages(tree.directory_summary(files(spark, d)))
-    return s.select(F.col("parent").alias("directory"), "files", "symlinks", "children", "size", "min_size", "max_size", "mime_text", "mime_image", "mime_other", "avg_size")
+    s = tree.with_averages(tree.directory_summary(kinds(spark, d)))
+    whole = {c: F.col(c).cast("long") for c in ("min_entropy", "max_entropy", "sum_entropy")}
+    return s.withColumnRenamed("parent", "directory").withColumns({**whole, "avg_entropy": F.round("avg_entropy", 6)})
 
 
-@query(f"""WITH {_FILES}, up AS (SELECT '/' AS directory, size, link FROM g UNION ALL SELECT '/' || split_part(parent, '/', 2), size, link FROM g) SELECT directory, sum((NOT link)::INT)::BIGINT AS files, sum(link::INT)::BIGINT AS symlinks, sum(size)::BIGINT AS size FROM up GROUP BY directory""")
+@query(f"""WITH {_KINDS}, up AS (SELECT '/' AS directory, * FROM k UNION ALL SELECT '/' || split_part(parent, '/', 2), * FROM k), dirs AS (SELECT '/' || split_part(parent, '/', 2) AS up, parent FROM k GROUP BY 1, 2), n AS (SELECT '/' AS directory, (SELECT count(*) FROM dirs) AS n UNION ALL SELECT up, 0 FROM dirs GROUP BY up)
+SELECT directory, {_COUNTED.replace("0::BIGINT AS directories", "any_value(n.n)::BIGINT AS directories").replace("count(*) AS children", "(count(*) + any_value(n.n))::BIGINT AS children")}, max(size)::BIGINT AS max_size, max(mtime)::BIGINT AS max_mtime FROM up JOIN n USING (directory) GROUP BY directory""")
 def dir_below_rollup(spark, d):
-    return tree.below(tree.directory_summary(files(spark, d))).select("directory", "files", "symlinks", "size")
+    """What is directly in a directory isn't below it: of the root's subdirectories, those of languages are left out."""
+    f = kinds(spark, d)
+    dirs = tree_entries(spark, d).where("kind = 'directory'").withColumns({"mode": F.lit(0).cast("long"), "doc_id": F.lit(None).cast("long"), "mtime": F.lit(0).cast("long"), "entropy": F.lit(0.0)})
+    return tree.below(tree.directory_summary(f.unionByName(dirs.select(f.columns)))).select("directory", *tree.SUMS, F.col("max_size").cast("long").alias("max_size"), F.col("max_mtime").cast("long").alias("max_mtime"))
+
+
+@query(f"""WITH {_KINDS}, s AS (SELECT parent AS path, '/' || split_part(parent, '/', 2) AS up, {_fold("size::BIGINT", "path")} AS size, {_fold("mtime::BIGINT", "path")} AS mtime FROM k GROUP BY parent),
+l AS (SELECT up AS path, {_fold("v", "path, n")} AS size FROM (SELECT up, path, 0 AS n, 0::BIGINT AS v FROM s UNION ALL SELECT up, path, 1, size FROM s) GROUP BY up), lt AS (SELECT up AS path, {_fold("v", "path, n")} AS mtime FROM (SELECT up, path, 0 AS n, 0::BIGINT AS v FROM s UNION ALL SELECT up, path, 1, mtime FROM s) GROUP BY up),
+r AS (SELECT {_fold("v", "path, n")} AS size FROM (SELECT path, 0 AS n, size AS v FROM l UNION ALL SELECT path, 1, 0::BIGINT FROM l)), rt AS (SELECT {_fold("v", "path, n")} AS mtime FROM (SELECT path, 0 AS n, mtime AS v FROM lt UNION ALL SELECT path, 1, 0::BIGINT FROM lt))
+SELECT path AS directory, size AS min_size, mtime AS min_mtime FROM l JOIN lt USING (path) UNION ALL SELECT '/', size, mtime FROM r, rt""")
+def dir_below_mins(spark, d):
+    f = kinds(spark, d)
+    own = tree.summaries(f.unionByName(tree_entries(spark, d).where("kind = 'directory'").withColumns({"mode": F.lit(0).cast("long"), "doc_id": F.lit(None).cast("long"), "mtime": F.lit(0).cast("long"), "entropy": F.lit(0.0)}).select(f.columns)))
+    return own.where("path NOT LIKE '/%/%'").select(F.col("path").alias("directory"), F.col("below.min_size").cast("long").alias("min_size"), F.col("below.min_mtime").cast("long").alias("min_mtime"))
+
+
+@query(f"WITH {_FILES}, e AS (SELECT parent FROM g WHERE doc_id % 6 = 0), up AS (SELECT parent AS directory FROM e UNION ALL SELECT '/' || split_part(parent, '/', 2) FROM e UNION ALL SELECT '/' FROM e), a AS (SELECT parent AS directory FROM g UNION SELECT '/' || split_part(parent, '/', 2) FROM g UNION SELECT '/') SELECT directory, count(up.directory) AS errors FROM a LEFT JOIN up USING (directory) GROUP BY directory")
+def dir_errors(spark, d):
+    """Errors count below their directory and all above it, and in none directly."""
+    return tree.summaries(tree_entries(spark, d), files(spark, d).where("doc_id % 6 = 0").select("parent")).select(F.col("path").alias("directory"), "below.errors")
 
 
 @query(f"WITH {_FILES} SELECT parent, list_reduce(list(size::BIGINT ORDER BY path), lambda a, x: CASE WHEN a = 0 OR x < a THEN x ELSE a END, 0::BIGINT) AS least FROM g GROUP BY parent")
@@ -265,9 +358,10 @@ def scan_stats(spark, d):
     return tree.scan_stats(tree_entries(spark, d))
 
 
-@query("SELECT '/en' AS prefix")
+@query(f"WITH {_FILES}, p AS (SELECT path FROM g ORDER BY length(text) DESC, path LIMIT 2), t AS (SELECT path AS top, path FROM p UNION SELECT parent, p.path FROM p JOIN g USING (path) UNION SELECT '/' || split_part(path, '/', 2), path FROM p UNION SELECT '/', path FROM p) SELECT arg_max(top, length(top)) AS prefix FROM (SELECT top FROM t GROUP BY top HAVING count(*) = 2)")
 def common_prefix(spark, d):
-    return tree.common_prefix(files(spark, d).where("parent LIKE '/en/%'"))
+    """Of the two longest files' paths."""
+    return tree.common_prefix(files(spark, d).orderBy(F.length("text").desc(), "path").limit(2))
 
 
 @query(f"WITH {_FILES} SELECT DISTINCT 'fs' AS origin, parent AS root FROM g")
@@ -338,10 +432,18 @@ def fixed_chunks(spark, d):
     return rows.select("doc_id", "ordinal", "offset", scalars.mac(F.encode("chunk", "UTF-8")).alias("mac"))
 
 
-@query("SELECT doc_id, strlen(text)::BIGINT AS size FROM documents WHERE strlen(text) > 0")
-def content_chunks_size(spark, d):
-    rows = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.encode("text", "UTF-8").alias("content"))
-    return content.content_chunks(rows, 256, 1024, 4096).groupBy(F.col("id").alias("doc_id")).agg(F.sum("length").alias("size"))
+@query("SELECT doc_id, sha256(text) AS mac, strlen(text)::BIGINT AS size, TRUE AS sizes_fit FROM documents WHERE strlen(text) > 0")
+def content_chunks(spark, d):
+    """Chunks put together again give the content; all but the last are of an allowed size, and each has its own address."""
+    text = F.encode("text", "UTF-8")
+    rows = table(spark, d, "documents").select(F.col("doc_id").alias("id"), text.alias("content"))
+    chunks = content.content_chunks(rows, 256, 1024, 4096).join(table(spark, d, "documents").select(F.col("doc_id").alias("id"), text.alias("content")), "id")
+    part = F.expr("substring(content, cast(offset + 1 as int), cast(length as int))")
+    chunks = chunks.select(F.col("id").alias("doc_id"), "ordinal", "length", (F.sha2(part, 256) == F.col("mac")).alias("fits"), F.hex(part).alias("part"))
+    whole = chunks.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("ordinal", "part", "length", "fits"))).alias("c"))
+    sizes = F.expr("forall(c, x -> x.fits AND x.length <= 4096 AND (x.length >= 256 OR x.ordinal = size(c) - 1))")
+    data = F.unhex(F.array_join(F.col("c.part"), ""))
+    return whole.select("doc_id", F.sha2(data, 256).alias("mac"), F.octet_length(data).cast("long").alias("size"), sizes.alias("sizes_fit"))
 
 
 def blobs(spark: SparkSession, d: str) -> DataFrame:
@@ -458,7 +560,8 @@ def state_merge(spark, d):
 def packfile_refcount(spark, d):
     deltas, _, _ = log(spark, d)
     s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("packfile"))
-    reach = deltas.where("mac LIKE '%-1' OR mac LIKE '%-2'").select("type", "mac").distinct()
+    first = table(spark, d, "lineitem").where("l_linenumber <= 2")
+    reach = first.select(F.when(F.col("l_linenumber") == 1, 5).otherwise(9).alias("type"), F.concat_ws("-", "l_orderkey", "l_linenumber").alias("mac")).distinct()
     return catalog.used_packfiles(s, deltas, reach)
 
 
@@ -605,9 +708,45 @@ def io_daily_samples(spark, d):
     return streams.sampled(e, "1 day").select("scope", F.col("start").cast("timestamp_ntz").alias("start"), "bytes")
 
 
-@query("SELECT count(*) AS snapshots, sum(o_custkey)::BIGINT AS size, count(*) FILTER (WHERE o_orderstatus = 'F') AS errors FROM orders")
+def roots(spark: SparkSession, d: str) -> DataFrame:
+    """Line items as the roots of orders' sources."""
+    return table(spark, d, "lineitem").select(F.col("l_orderkey").alias("snapshot"), (F.col("l_linenumber") - 1).alias("source"), F.col("l_partkey").cast("long").alias("directory"), F.col("l_suppkey").cast("long").alias("below"), F.when(F.col("l_returnflag") == "R", 1).otherwise(0).alias("errors"))
+
+
+@query("SELECT count(*) AS snapshots, sum(l_partkey + l_suppkey)::BIGINT AS size FROM lineitem WHERE l_linenumber = 1")
 def logical_size(spark, d):
-    return table(spark, d, "orders").agg(F.count("*").alias("snapshots"), F.sum("o_custkey").alias("size"), F.count_if(F.col("o_orderstatus") == "F").alias("errors"))
+    return catalog.logical_size(roots(spark, d))
+
+
+@query("SELECT l_orderkey AS snapshot, sum(l_partkey + l_suppkey)::BIGINT AS size, count(*) FILTER (WHERE l_returnflag = 'R') AS errors FROM lineitem GROUP BY 1")
+def commit_totals(spark, d):
+    return catalog.commit_totals(roots(spark, d))
+
+
+@query(f"WITH {_LIVE} SELECT mac, packfile FROM dl WHERE type = 5 AND packfile IN (SELECT s_suppkey FROM supplier) AND packfile % 7 <> 0")
+def objects_of_type(spark, d):
+    deltas, packs_, _ = log(spark, d)
+    return catalog.blobs_of_type(deltas, packs_, catalog.SNAPSHOT).select("mac", "packfile")
+
+
+@query("WITH s AS (SELECT l_partkey AS key, CASE WHEN l_suppkey % 3 = 0 THEN 'gone' ELSE 'kept' END AS side, l_suppkey AS state_id, l_orderkey AS value FROM lineitem WHERE l_suppkey % 3 <> 0), g AS (SELECT key, min(state_id) AS state_id FROM s GROUP BY key) SELECT g.key, g.state_id, min(s.value) AS value FROM g JOIN s USING (key, state_id) GROUP BY 1, 2")
+def state_rebuilt(spark, d):
+    """Suppliers are states without parents, every third of which the remote hasn't; the local log has the even ones."""
+    rows = table(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("key"), F.col("l_suppkey").alias("state_id")).agg(F.min("l_orderkey").alias("value"))
+    states = table(spark, d, "supplier").where("s_suppkey % 3 <> 0").select(F.col("s_suppkey").alias("state_id"), F.lit(None).cast("long").alias("parent"))
+    return catalog.rebuilt(rows.where("state_id % 2 = 0"), rows.where("state_id % 3 <> 0"), states, ["key"])
+
+
+@query("WITH n AS (SELECT o_orderkey, o_custkey, lag(o_custkey) OVER (ORDER BY o_orderkey) AS before FROM orders) SELECT o_orderkey, o_custkey FROM n WHERE o_custkey <= before")
+def order_violations(spark, d):
+    rows = locate.numbered(table(spark, d, "orders").select("o_orderkey", "o_custkey"), [F.col("o_orderkey").asc()], "place")
+    return catalog.out_of_order(rows, ["o_custkey"]).select("o_orderkey", "o_custkey")
+
+
+@query("SELECT event_type AS scope, date_trunc('hour', ts) AS start, sum(floor(value)::BIGINT)::BIGINT AS bytes FROM events GROUP BY 1, 2")
+def throttle_drained(spark, d):
+    e = table(spark, d, "events").select(F.col("event_type").alias("scope"), F.col("ts").cast("timestamp").alias("at"), F.floor("value").alias("bytes"))
+    return telemetry.drained(e, "1 hour").select("scope", F.col("start").cast("timestamp_ntz").alias("start"), "bytes")
 
 
 @query("WITH l AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events) SELECT event_id, user_id FROM l WHERE n = 1 AND event_type = 'purchase' AND ts > TIMESTAMP '2024-01-29 00:00:00'")
@@ -619,9 +758,8 @@ def locks_held(spark, d):
 @query("SELECT p_partkey, row_number() OVER (ORDER BY p_size DESC, p_name, p_partkey) AS place FROM part")
 def files_sorted(spark, d):
     rows = table(spark, d, "part").select("p_partkey", F.col("p_name").alias("name"), F.col("p_size").alias("size"))
-    ordered = locate.sort_files(rows, "-Size,Name", "p_partkey")
-    place = F.row_number().over(Window.orderBy(F.col("size").desc(), "name", "p_partkey"))
-    return ordered.select("p_partkey", place.cast("long").alias("place"))
+    keys = locate.sort_keys("-Size,Name", tuple(locate.FILE_KEYS))
+    return locate.numbered(rows, locate.ordering(keys, locate.FILE_KEYS, "p_partkey"), "place").select("p_partkey", "place")
 
 
 def packed_documents(spark, d):
