@@ -108,7 +108,7 @@ def test_store_settings_and_locks(spark, tmp_path):
     with pytest.raises(RuntimeError):
         store.lock("three", "h4", at + timedelta(minutes=12))
     reader = snapshots.Store.open(spark, top, "secret", snapshots.READ)
-    assert reader.tables() == ["locks"] and 0 < reader.size("locks") < reader.size() and reader.size("chunks") == 0
+    assert reader.tables() == ["locks"] and 0 < reader.size("locks") < reader.size() and reader.size("packs") == 0
     with pytest.raises(PermissionError):
         reader.unlock("two", at)
     with pytest.raises(PermissionError):
@@ -122,8 +122,8 @@ def test_synchronize(spark, tmp_path):
     two.ingest("s0", spark.createDataFrame([("/z", b"hello world")], "path string, content binary"), at, "p0")
     one.synchronize(two, "s1", "p2")
     assert {(r.path, bytes(r.content)) for r in two.files("s1").collect()} == {("/a", b"hello world"), ("/b", b"hello world"), ("/c", b"x")}
-    assert two.table("chunks").count() == 2
-    mac = two.table("entries").where("path = '/z'").first().mac
+    assert two.table("deltas").where("type = 9").count() == 2
+    mac = two.table("entries").where("path = '/z'").first().object  # one chunk
     asked = spark.createDataFrame([(mac, 6, 5), ("none", 0, 1)], "mac string, offset long, length long")
     assert {r.mac: r.data and bytes(r.data) for r in two.ranged(asked).collect()} == {mac: b"world", "none": None}
     with pytest.raises(ValueError):

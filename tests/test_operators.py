@@ -280,15 +280,81 @@ def test_store(spark, tmp_path):
     store = snapshots.Store(spark, str(tmp_path))
     files = lambda *xs: spark.createDataFrame([(p, bytearray(c)) for p, c in xs], "path string, content binary")
     store.ingest("s1", files(("/d/f", b"stable"), ("/d/g", b"stable")), NOW, "p1")
-    store.ingest("s2", files(("/d/f", b"stable"), ("/d/h", b"new")), NOW, "p2")
-    assert store.table("chunks").count() == 2
+    store.ingest("s2", files(("/d/f", b"stable"), ("/d/h", b"new"), ("/d/e", b"")), NOW, "p2")
+    assert store.table("deltas").where("type = 9").count() == 2
+    assert {r.path: bytes(r.content) for r in store.files("s2").collect()} == {"/d/f": b"stable", "/d/h": b"new", "/d/e": b""}
+    assert {r.item_id for r in store.snapshots().collect()} == {"s1", "s2"}
     store.delete("s1", NOW)
-    live = catalog.live_snapshots(store.table("deltas"), store.table("packfiles"), store.table("coloured"))
-    assert [r.mac for r in live.collect()] == ["s2"]
+    assert [r.item_id for r in store.snapshots().collect()] == ["s2"] and store.is_coloured(5, "s1") and not store.is_coloured(5, "s2")
+    store.colour(5, "s1", NOW + timedelta(seconds=1), removed=True)
+    assert store.snapshots().count() == 2
     with pytest.raises(ValueError):
         store.append("nope", files())
 
 
+def test_incremental_ingest(spark, tmp_path):
+    """Large contents in chunks and packs; a second snapshot takes unchanged files as they are, and stores what is new only."""
+    store = snapshots.Store(spark, str(tmp_path))
+    store.settings = snapshots.Settings(pack_size=20_000, chunk_least=512, chunk_normal=2048, chunk_most=8192)
+    r = random.Random(5)
+    data = [r.randbytes(60_000), r.randbytes(9_000), b"small"]
+    rows = lambda *xs: spark.createDataFrame([(p, bytearray(c), m) for p, c, m in xs], "path string, content binary, mtime long")
+    store.ingest("s1", rows(("/a", data[0], 1), ("/b", data[1], 1), ("/c", data[2], 1)), NOW, "p1", errors=spark.createDataFrame([("/d/x", "denied")], "path string, error string"), xattrs=spark.createDataFrame([("/a", "user.k", bytearray(b"v"))], "path string, name string, content binary"))
+    first = store.deltas().where("type = 9").count()
+    sizes = [len(x.content) for x in store.table("packs").collect()]
+    assert first > 15 and len(sizes) >= 3 and max(sizes) < 2 * 20_000 and {x.path: bytes(x.content) for x in store.files("s1").collect()} == dict(zip(("/a", "/b", "/c"), data, strict=True))
+    store.ingest("s2", rows(("/a", b"not read", 1), ("/b", data[1], 1), ("/c", data[2], 1)), NOW, "p2", previous="s1")
+    assert [x.cached for x in store.table("entries").where("snapshot_id = 's2'").orderBy("path").collect()] == [False, True, True]  # /a has another size
+    store.ingest("s3", rows(("/a", data[0][:30_000] + b"!" + data[0][30_000:], 2), ("/b", data[1], 1)), NOW, "p3", previous="s1")
+    more = store.deltas().where("type = 9").count()
+    assert first < more <= first + 5 and {x.path: bytes(x.content) for x in store.files("s3").collect()}["/a"] == data[0][:30_000] + b"!" + data[0][30_000:]
+    other = snapshots.Store(spark, str(tmp_path / "other"))
+    store.synchronize(other, "s1", "q1")
+    assert {(x.path, bytes(x.content)) for x in other.files("s1").collect()} == set(zip(("/a", "/b", "/c"), data, strict=True))
+    assert [(x.path, x.error, x.parent) for x in other.table("errors").collect()] == [("/d/x", "denied", "/d")] and other.table("xattrs").first().name == "user.k"
+
+
+def test_transactions(spark, tmp_path):
+    store = snapshots.Store(spark, str(tmp_path))
+    rows = spark.createDataFrame([("p", NOW)], "packfile string, ts timestamp")
+    store.append("packfiles", rows)
+    with pytest.raises(RuntimeError), store.transaction() as tx:
+        store.append("packfiles", rows, tx)
+        raise RuntimeError("lost on the way")
+    assert store.table("packfiles").count() == 1 and store.sweep() == 1 and store.sweep() == 0 and store.table("packfiles").count() == 1
+    store.append("deltas", spark.createDataFrame([(9, "m", "p", 0, 1), (9, "n", "q", 0, 1)], snapshots.SCHEMAS["deltas"]))
+    names = lambda *xs: spark.createDataFrame([(x,) for x in xs], "name string")
+    store.bury("packfile", names("p"))
+    assert [r.mac for r in store.deltas().collect()] == ["n"] and store.packfiles().count() == 0
+    store.bury("delta", names("n"))
+    assert store.deltas().count() == 0
+    store.put_state("s1", NOW)
+    store.put_state("s2", NOW + timedelta(seconds=1))
+    held = {r.state_id: (r.parent, r.serial) for r in store.states().collect()}
+    assert held["s1"][0] is None and held["s2"] == ("s1", held["s1"][1])
+    store.bury("state", names("s1"))
+    assert [r.state_id for r in store.states().collect()] == ["s2"]
+    with pytest.raises(ValueError):
+        store.bury("lock", names("x"))
+
+
+def test_typed_events(spark):
+    at = lambda n: NOW + timedelta(minutes=n)
+    base = lambda n: spark.createDataFrame([(at(n), "r", "s", "j", "backup")], "ts timestamp_ntz, repository string, snapshot string, job string, workflow string")
+    rows = [("file", 0), ("file.ok", 1), ("file.ok", 2), ("file.error", 3), ("chunk.cached", 4), ("file", 70)]
+    typed = None
+    for kind, n in rows:
+        more = events.emitted(base(n), kind, path=F.lit("/p"), size=F.lit(7))
+        typed = more if typed is None else typed.unionByName(more)
+    assert len(events.TYPES) == 28 and {r.type: r.level for r in typed.collect()}["file.error"] == "error"
+    got = {(r.start.hour, r.subject): (r.begun, r.ok, r.cached, r.error) for r in events.outcomes(typed).collect()}
+    assert sorted(got.values()) == sorted([(1, 2, 0, 1), (0, 0, 1, 0), (1, 0, 0, 0)])
+    result = events.result_of(typed).first()
+    assert (result.type, result.level, dict(result.data)) == ("result", "quiet", {"target": "r", "size": "14", "errors": "1", "duration": str(70 * 60 * 10**6)})
+    with pytest.raises(ValueError):
+        events.emitted(base(0), "file.lost")
+
+
 def test_wall_and_active_time(spark):
     rows = [("s", 0, 5 << 20, 50_000_000, NOW), ("s", 1, 5 << 20, 50_000_000, NOW + timedelta(seconds=2)), ("s", 2, 0, 1, NOW + timedelta(seconds=9))]
     df = spark.createDataFrame(rows, "scope string, seq long, bytes long, dt_ns long, at timestamp")

@@ -92,8 +92,8 @@ def cut_points(data: bytes, least: int = CHUNK_MIN, normal: int = CHUNK_NORMAL,
     return out + [n] if start < n else out
 
 
-def content_chunks(rows: DataFrame, least: int = CHUNK_MIN, normal: int = CHUNK_NORMAL, most: int = CHUNK_MAX) -> DataFrame:
-    """rows (id, content binary) -> id, ordinal, offset, length, mac of each content-defined chunk."""
+def content_chunks(rows: DataFrame, least: int = CHUNK_MIN, normal: int = CHUNK_NORMAL, most: int = CHUNK_MAX, with_data: bool = False) -> DataFrame:
+    """rows (id, content binary) -> id, ordinal, offset, length, mac of each content-defined chunk, and its data if asked for."""
     import hashlib
 
     def run(frames):
@@ -102,12 +102,14 @@ def content_chunks(rows: DataFrame, least: int = CHUNK_MIN, normal: int = CHUNK_
             for i, data in zip(frame["id"], frame["content"], strict=True):
                 at = 0
                 for k, end in enumerate(cut_points(data or b"", least, normal, most)):
-                    out.append((i, k, at, end - at, hashlib.sha256(data[at:end]).hexdigest()))
+                    part = bytes(data[at:end])
+                    out.append((i, k, at, end - at, hashlib.sha256(part).hexdigest(), part)[: len(columns)])
                     at = end
-            yield pd.DataFrame(out, columns=["id", "ordinal", "offset", "length", "mac"])
+            yield pd.DataFrame(out, columns=columns)
 
+    columns = ["id", "ordinal", "offset", "length", "mac", *(["data"] if with_data else [])]
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.select("id", "content").mapInPandas(run, f"id {kind}, ordinal int, offset long, length long, mac string")
+    return rows.select("id", "content").mapInPandas(run, f"id {kind}, ordinal int, offset long, length long, mac string" + (", data binary" if with_data else ""))
 
 
 # -- packs and ranges ------------------------------------------------------------------------------------------------

@@ -19,7 +19,8 @@ RECORD = codecs.width(codecs.PACK_BLOB)
 TAIL = FOOTER + 4
 
 
-def _joined(parts: Column) -> Column:
+def joined(parts: Column) -> Column:
+    """The bytes of an array of binaries, end to end."""
     return F.unhex(F.array_join(F.transform(parts, F.hex), ""))
 
 
@@ -28,7 +29,7 @@ def built(blobs: DataFrame, ts_ns: int) -> DataFrame:
     rows = content.pack_offsets(blobs.withColumn("length", F.octet_length("data").cast("long")))
     rows = rows.select("packfile", F.struct("offset", "seq", codecs.record(codecs.PACK_BLOB).alias("record"), "data").alias("b"))
     packs = rows.groupBy("packfile").agg(F.array_sort(F.collect_list("b")).alias("b"))
-    packs = packs.select("packfile", F.size("b").alias("count"), _joined(F.col("b.data")).alias("data"), _joined(F.col("b.record")).alias("index"))
+    packs = packs.select("packfile", F.size("b").alias("count"), joined(F.col("b.data")).alias("data"), joined(F.col("b.record")).alias("index"))
     packs = packs.withColumns({"ts_ns": F.lit(ts_ns), "index_offset": F.octet_length("data").cast("long"), "index_mac": F.sha2("index", 256), "flags": F.lit(0)})
     return packs.select("packfile", F.concat("data", "index", codecs.record(codecs.PACK_FOOTER), F.unhex(F.lit(f"{FOOTER:02X}000000"))).alias("content"))
 

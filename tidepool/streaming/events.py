@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -42,6 +42,44 @@ def publish(events: DataFrame, listeners: list[Callable[[DataFrame, int], None]]
     return events.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+# -- typed events ----------------------------------------------------------------------------------------------------
+
+#: What is reported, and how it went; fixed values. Levels: errors are errors, results are quiet, the rest is information.
+SUBJECTS = ("path", "directory", "file", "xattr", "symlink", "object", "chunk")
+OUTCOMES = ("", ".ok", ".cached", ".error")
+TYPES = tuple(s + o for s in SUBJECTS for o in OUTCOMES)
+MORE_TYPES = ("workflow.start", "workflow.end", "result", "fs.summary", "iostats")
+
+
+def emitted(rows: DataFrame, kind: str, **data: Column) -> DataFrame:
+    """rows (ts, repository, snapshot, job, workflow) as events of one type with their data: version, ts, level, type ..., data."""
+    if kind not in (*TYPES, *MORE_TYPES):
+        raise ValueError(f"no such event: {kind}")
+    level = "error" if kind.endswith(".error") else "quiet" if kind == "result" else "info"
+    pairs = [x for k, c in data.items() for x in (F.lit(k), c.cast("string"))]
+    made = F.map_from_arrays(F.array(*pairs[::2]), F.array(*pairs[1::2])) if pairs else F.create_map().cast("map<string, string>")
+    return rows.select(F.lit(1).alias("version"), "ts", F.lit(level).alias("level"), F.lit(kind).alias("type"), "repository", "snapshot", "job", "workflow", made.alias("data"))
+
+
+def outcomes(events: DataFrame, window: str = "1 hour", late: str = "2 hours") -> DataFrame:
+    """Typed events by window and subject: how many began, were done, were found in the cache, or failed."""
+    rows = events.withColumn("ts", F.col("ts").cast("timestamp"))
+    rows = rows.withWatermark("ts", late) if rows.isStreaming else rows
+    subject = F.substring_index("type", ".", 1)
+    rows = rows.where(F.col("type").isin(*TYPES))
+    counted = rows.groupBy(F.window("ts", window).alias("w"), subject.alias("subject")).agg(*(F.count_if(F.col("type") == F.concat(subject, F.lit(o))).alias(o.lstrip(".") or "begun") for o in OUTCOMES))
+    return counted.select(F.col("w.start").alias("start"), "subject", "begun", "ok", "cached", "error")
+
+
+def result_of(typed: DataFrame) -> DataFrame:
+    """The `result` event of each job: size of its files, errors, and microseconds from its first event to its last."""
+    at = F.col("ts").cast("timestamp")
+    size = F.coalesce(F.sum(F.when(F.col("type") == "file.ok", F.col("data")["size"].cast("long"))), F.lit(0))
+    jobs = typed.groupBy("repository", "snapshot", "job", "workflow").agg(F.max("ts").alias("ts"), size.alias("size"), F.count_if(F.col("type").endswith(".error")).alias("errors"), (F.unix_micros(F.max(at)) - F.unix_micros(F.min(at))).alias("us"))
+    made = F.map_from_arrays(F.array(*map(F.lit, ("target", "size", "errors", "duration"))), F.array(*(F.col(c).cast("string") for c in ("repository", "size", "errors", "us"))))
+    return jobs.select(F.lit(1).alias("version"), "ts", F.lit("quiet").alias("level"), F.lit("result").alias("type"), "repository", "snapshot", "job", "workflow", made.alias("data"))
+
+
 def sampled(spans: DataFrame, window: str = "1 second", late: str = "10 seconds") -> DataFrame:
     """spans (scope, at, bytes) -> bytes and bytes a second of each scope and window."""
     rows = spans.withColumn("at", F.col("at").cast("timestamp"))
