@@ -82,11 +82,9 @@ def compress(ids: np.ndarray, bounds: np.ndarray, first_symbol: int) -> tuple[np
         at, sign = at[chosen], sign[chosen]
         live[at - (at > 0)] = True
         seq[at] = sign
+        start = start - np.searchsorted(np.sort(at) + 1, start)  # what has gone before it
         alive = np.ones(len(seq), bool)
         alive[at + 1] = False
-        gone = np.zeros(len(seq) + 1, np.int64)
-        np.cumsum(~alive, out=gone[1:])
-        start = start - gone[start]
         seq, live = seq[alive], live[alive]
         rules.append(pair[new])
         made += len(new)
@@ -274,25 +272,30 @@ class WordTokenizer:
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.n_ids = self.tokenizer.get_vocab_size()
         self.ends = np.zeros(self.n_ids, bool)
         for token, i in self.tokenizer.get_vocab().items():
             self.ends[i] = token.endswith("</w>")
-        self.parts = PieceEncoder(self.encode_parts, MOST_PARTS)
+        # letters of PLAIN in lower case are as the normaliser leaves them, and blanks are all that splits them
+        self.bare = Tokenizer.from_file(path)
+        self.bare.normalizer = None
+        self.bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.letters = PieceEncoder(self.encode_letters, MOST_PARTS)
         self.others = PieceEncoder(lambda words: flat(self.direct(words)), MOST_OTHERS)
 
     def direct(self, texts: list[str]) -> list[list[int]]:
         return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def encode_parts(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        together, _ = flat(self.direct([" ".join(parts[i : i + TOGETHER]) for i in range(0, len(parts), TOGETHER)]))
-        stop = np.flatnonzero(self.ends[together]) + 1
-        if "" in parts or len(stop) != len(parts) or len(together) and stop[-1] != len(together):
+    def encode_letters(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        together = [" ".join(parts[i : i + TOGETHER]) for i in range(0, len(parts), TOGETHER)]
+        ids, _ = flat([x.ids for x in self.bare.encode_batch_fast(together, add_special_tokens=False)])
+        stop = np.flatnonzero(self.ends[ids]) + 1
+        if "" in parts or len(stop) != len(parts) or len(ids) and stop[-1] != len(ids):
             return flat(self.direct(parts))
-        return together, np.diff(stop, prepend=0)
+        return ids, np.diff(stop, prepend=0)
 
     def encode_words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids, where each word's begin and the end)."""
@@ -302,7 +305,7 @@ class WordTokenizer:
         cut = cut.filter(plain)
         each = lambda store, x: store.encode(x, np.arange(len(x) + 1))
         size, found = np.zeros((2, len(words)), np.int64), []
-        for k, (store, part, rows) in enumerate(((self.parts, pc.utf8_lower(pc.struct_field(cut, "letters")), is_plain), (self.parts, pc.struct_field(cut, "marks"), is_plain), (self.others, words.filter(pc.invert(plain)), ~is_plain))):
+        for k, (store, part, rows) in enumerate(((self.letters, pc.utf8_lower(pc.struct_field(cut, "letters")), is_plain), (self.others, pc.struct_field(cut, "marks"), is_plain), (self.others, words.filter(pc.invert(plain)), ~is_plain))):
             ids, ends = each(store, part)
             size[k % 2, rows] = np.diff(ends)
             found.append((ids, rows))
@@ -323,7 +326,7 @@ class WordTokenizer:
             return np.concatenate(parts), np.concatenate([[0], np.cumsum([len(x) for x in parts])])
         words = pc.utf8_split_whitespace(text)
         pieces, offsets = words.flatten(), words.offsets.to_numpy().astype(np.int64)
-        real = pc.not_equal(pieces, "").to_numpy(zero_copy_only=False)
+        real = pc.binary_length(pieces).to_numpy(zero_copy_only=False) > 0
         if not real.all():
             offsets, pieces = np.concatenate([[0], np.cumsum(real)])[offsets - offsets[0]], pieces.filter(pa.array(real))
         else:
