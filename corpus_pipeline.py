@@ -12,27 +12,38 @@ from pyspark.sql import functions as F
 from tidepool.llm import common, decontaminate, order_minhash, pu_quality, sentencepieces
 
 
+def fresh(name: str, docs: DataFrame) -> str:
+    """A column name that docs hasn't."""
+    while name in docs.columns:
+        name += "_"
+    return name
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the positive-unlabelled classifier accepts."""
+    """Documents that the positive-unlabelled classifier accepts; all where there is nothing to learn from."""
     model = pu_quality.train(docs, common.table(spark, sf_dir, "labels"))
-    scored = pu_quality.with_scores(docs, model, "_score")
-    return scored.where(F.col("_score") >= (pu_quality.ACCEPT if model else 0)).drop("_score")
+    score = fresh("_score", docs)
+    scored = pu_quality.with_scores(docs, model, score)
+    return scored.where(F.col(score) >= (pu_quality.ACCEPT if model else 0)).drop(score)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each class of near-duplicates; of rows that share an id, one."""
+    """The document with the smallest id of each class of near-duplicates; of rows that share an id, that with the smallest
+    digest of its text, and of equal texts that with the smallest hash of the row."""
     classes = common.stash(order_minhash.near_duplicates(docs), "document-classes")
     gone = common.stash(classes.where("doc_id <> class_id").select("doc_id").distinct(), "dropped")
     kept = order_minhash.only(docs, gone, "left_anti")
     if not classes.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").isEmpty():
-        named = kept.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
+        row, order = F.struct(*docs.columns), F.struct(F.md5(F.encode("text", "UTF-8")), F.xxhash64(*docs.columns))
+        named = kept.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("_id")).agg(F.min_by(row, order).alias("_row")).select("_row.*")
         kept = named.unionByName(kept.where("doc_id IS NULL"))
     return kept
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no test item is found."""
-    return decontaminate.with_hits(docs, common.table(spark, sf_dir, "benchmark"), "_hits").where(F.size("_hits") == 0).drop("_hits")
+    hits = fresh("_hits", docs)
+    return decontaminate.with_hits(docs, common.table(spark, sf_dir, "benchmark"), hits).where(F.size(hits) == 0).drop(hits)
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
