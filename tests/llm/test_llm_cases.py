@@ -1,5 +1,6 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns; grammars, alignments, extraction."""
 
+import io
 import random
 
 import numpy as np
@@ -47,7 +48,7 @@ def test_near_duplicate_cases(docs, none):
 
 
 def test_many_near_copies(spark):
-    """A bucket over HOT: copies of one text with a word changed each, among texts that share one passage only."""
+    """Large buckets: copies of one text with a word changed each, among texts that share one passage only."""
     r = random.Random(7)
     base = [f"b{i}" for i in range(200)]
     rows = [(i, " ".join([*base[:k], f"c{i}", *base[k + 1 :]])) for i in range(700) for k in [r.randrange(200)]]
@@ -58,7 +59,7 @@ def test_many_near_copies(spark):
 
 
 def test_pairs_within_a_shared_passage(spark, monkeypatch):
-    """Near copies of texts that are mostly one passage: every pair that shares a sketch is found, by rare words or without."""
+    """Near copies of texts that are mostly one passage: every pair is found, all pairs of large buckets compared or not."""
     r = random.Random(8)
     passage, rows = [f"s{i}" for i in range(75)], []
     for i in range(75):
@@ -99,6 +100,10 @@ def test_components(spark):
     got = {r.node: r.label for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {i: 0 for i in range(61)} | {i: 100 for i in range(100, 400)} | {600: 600, 601: 600}
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
+    first, more = edges[:200], [*edges[200:], (399, 5), (700, 600), (800, 801)]
+    make = lambda e: spark.createDataFrame(e, "a long, b long")
+    got = {r.node: r.label for r in components.extended(components.components(make(first)), make(more)).collect()}
+    assert got == {r.node: r.label for r in components.components(make(first + more)).collect()} and got[399] == 0 and got[700] == 600
 
 
 def test_leak_cases(spark, docs, none):
@@ -138,14 +143,36 @@ def test_shard_cases(spark, docs, none):
     assert [r["size"] for r in rows if r.doc_id == 1] == [1] and splitters.shard_by_bytes(none).count() == 0
     hot = spark.range(4000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "same text").otherwise(F.col("id").cast("string")).alias("text"))
     sizes = [r[0] for r in splitters.shard_by_bytes(hot).groupBy("shard").agg(F.sum("size")).select("sum(size)").collect()]
-    assert len(sizes) == 16 and max(sizes) - min(sizes) < 40
+    assert len(sizes) == 16 and max(sizes) - min(sizes) < 0.05 * max(sizes)
+    for i in (F.lit(7), F.lit(None), F.col("id")):  # rows that can't be told apart, and small groups at every border
+        same = spark.range(6000).select(i.cast("long").alias("doc_id"), F.when(F.col("id") % 3 == 0, "same text").otherwise((F.col("id") % 200).cast("string")).alias("text"))
+        rows = splitters.shard_by_bytes(same)
+        got = rows.groupBy("shard").agg(F.sum("size").alias("bytes"), F.count("*").alias("n"), F.countDistinct("slot").alias("slots"), F.max("slot").alias("last")).collect()
+        assert len(got) == 16 and all(r.n == r.slots == r["last"] + 1 for r in got) and max(r.bytes for r in got) < 1.05 * min(r.bytes for r in got)
+        cut = rows.groupBy("text_crc32").agg(F.countDistinct("shard").alias("n")).where("n > 1").collect()
+        assert len(cut) <= 15
+
+
+def test_ranges_are_subdivided(spark, monkeypatch):
+    """One row in a thousand has most of the bytes, and a text has a third of the rows."""
+    monkeypatch.setattr(splitters, "LEAST_RANGES", 16)
+    monkeypatch.setattr(splitters, "SAMPLES", 1)
+    rows = spark.range(5000).select(F.col("id").alias("doc_id"), F.when(F.col("id") == 77, F.lit("x" * 100_000)).when(F.col("id") % 3 == 0, "same").otherwise(F.col("id").cast("string")).alias("text"))
+    shards = [r["sum(size)"] for r in splitters.shard_by_bytes(rows, 4).groupBy("shard").agg(F.sum("size")).orderBy("shard").collect()]
+    assert sum(shards) == rows.select(F.sum(F.length("text") + 1)).first()[0]
 
 
 def test_token_file_cases(spark, docs, none, tmp_path):
     sizes = repair.write_shards(docs, f"file://{tmp_path}/r", words())
     rows = repair.read_shards(spark, f"file://{tmp_path}/r", sizes).collect()
-    assert len(rows) == len(DOCS) and sorted(r.start for r in rows)[0] == 0
+    assert sorted((r.doc_id for r in rows), key=str) == sorted((i for i, _ in DOCS), key=str)
     assert {r.n_tokens for r in rows if r.doc_id in (1, 2, 3, 4)} == {1}
+    rows.sort(key=lambda r: r.start)
+    assert [r.doc_id for r in rows[:2]] == [None, None] and [r.start for r in rows] == [sum(x.n_tokens for x in rows[:i]) for i in range(len(rows))]
+    big = spark.createDataFrame([((1 << 53) + 1, "a b"), (None, "a"), (-(1 << 63), None), (None, None)], "doc_id long, text string").coalesce(1)
+    sizes = repair.write_shards(big, f"file://{tmp_path}/b", words())
+    got = [(r.doc_id, r.n_tokens) for r in repair.read_shards(spark, f"file://{tmp_path}/b", sizes).orderBy("start").collect()]
+    assert sorted(got[:2], key=lambda x: x[1]) == [(None, 1), (None, 2)] and got[2:] == [(-(1 << 63), 1), ((1 << 53) + 1, 3)]
     empty = repair.write_shards(none, f"file://{tmp_path}/e", words())
     assert repair.read_shards(spark, f"file://{tmp_path}/e", empty).count() == 0
 
@@ -154,13 +181,21 @@ def test_grammar():
     r = np.random.default_rng(0)
     ids = r.choice([1, 2, 3, 3, 7, 9], 20_000)
     bounds = np.array([0, 0, 5, 9_000, 9_001, 20_000])
-    block = next(repair.blocks_of(repair.MAGIC + repair.block_bytes(np.arange(5), ids, bounds, 50)))
+    known = np.array([True, True, False, True, True])
+    raw = repair.block_bytes(np.arange(5), known, ids, bounds, 50)
+    entries = [(8, 0, 0), (8 + len(raw), 5, 20_000)]
+    content = repair.MAGIC + raw + raw + repair.footer(entries)
+    shard = repair.Shard(io.BytesIO(content), len(content))
+    block = shard.block(1)
+    assert shard.entries == entries and block.doc_ids.to_pylist() == [0, 1, None, 3, 4]
+    assert np.array_equal(shard.document(7), ids[5:9_000]) and shard.token(9, 500) == ids[9_501]
     assert len(block.rules) > 20 and len(block.seq) < 10_000 and np.array_equal(block.ids(), ids)
     for i in range(5):
         assert np.array_equal(block.document(i), ids[bounds[i] : bounds[i + 1]])
     assert [block.token(4, j) for j in (0, 500, 10_998)] == ids[[9_001, 9_501, 19_999]].tolist()
-    with pytest.raises(ValueError):
-        next(repair.blocks_of(b"other file"))
+    for bad in (b"other file", content[:-1], b""):
+        with pytest.raises(ValueError):
+            repair.Shard(io.BytesIO(bad), len(bad))
 
 
 def test_frequent_pairs_are_not_shut_out():
@@ -237,7 +272,8 @@ def test_quality_cases(docs, none, spark):
     m = pu_quality.train(docs.select("doc_id", "text"), labels)
     rows = pu_quality.with_scores(docs, m).collect()
     assert len(rows) == len(DOCS) and all(0 <= r.score <= 1 for r in rows)
-    assert pu_quality.train(none, labels) is None and pu_quality.train(docs, labels.limit(0)) is None
+    assert pu_quality.train(none, labels) is None and pu_quality.train(docs, labels.limit(0)) is None and pu_quality.train(docs, labels.where("quality = 0")) is None
+    assert pu_quality.with_scores(none, m).count() == 0
     assert {r.score for r in pu_quality.with_scores(docs, None).collect()} == {0.5}
 
 
@@ -248,6 +284,48 @@ def test_risk_is_not_negative():
     assert (net.forward(bad[150:])[0] < 0).mean() > 0.9 and (net.forward(good)[0] > 0).mean() > 0.9
 
 
+def test_risk_and_slopes():
+    """Slopes of the risk and of the network by differences."""
+    r = np.random.default_rng(4)
+    op, ou, h = r.normal(0, 1, 7), r.normal(1, 1, 9), 1e-6
+    value, gp, gu = pu_quality.risk(op, ou, 0.4)
+    want = 0.4 * np.log1p(np.exp(-op)).mean() + max(0, np.log1p(np.exp(ou)).mean() - 0.4 * np.log1p(np.exp(op)).mean())
+    assert abs(value - want) < 1e-12
+    for i in range(7):
+        assert abs((pu_quality.risk(op + h * (np.arange(7) == i), ou, 0.4)[0] - value) / h - gp[i]) < 1e-5
+    for i in range(9):
+        assert abs((pu_quality.risk(op, ou + h * (np.arange(9) == i), 0.4)[0] - value) / h - gu[i]) < 1e-5
+    value, gp, gu = pu_quality.risk(op + 5, ou - 9, 0.9)  # the bracket is negative: it counts as 0 and is pushed up
+    assert value == 0.9 * np.logaddexp(0, -op - 5).mean() and (gp > 0).all() and (gu < 0).all()
+    x, net = r.normal(0, 1, (5, 3)), pu_quality.Net(3)
+    out, hidden = net.forward(x)
+    g = net.grad(x, hidden, np.ones(5))
+    for i, w in enumerate(net.w):
+        w.flat[0] += h
+        assert abs((net.forward(x)[0].sum() - out.sum()) / h - g[i].flat[0]) < 1e-4
+        w.flat[0] -= h
+
+
+@pytest.mark.parametrize("share", [0.2, 0.5, 0.9])
+def test_prior_from_unlabelled(share):
+    r = np.random.default_rng(5)
+    good, n = r.normal(1.5, 1, (3000, 4)), int(3000 * share)
+    unlabelled = np.concatenate([r.normal(1.5, 1, (n, 4)), r.normal(-1.5, 1, (3000 - n, 4))])
+    assert abs(pu_quality.estimated_prior(good, unlabelled[r.permutation(3000)]) - share) < 0.05
+
+
+def test_sample_of_one_hot_row(spark, monkeypatch):
+    """An id, or no id, with most of the rows: what is drawn stays bounded and has its share of them."""
+    monkeypatch.setattr(pu_quality, "UNLABELLED", 500)
+    monkeypatch.setattr(pu_quality, "POSITIVES", 100)
+    seen = []
+    monkeypatch.setattr(pu_quality, "fit_nnpu", lambda p, u, *a: (seen.append((len(p), len(u))), pu_quality.Net(p.shape[1]))[1])
+    hot = spark.range(9000).select(F.when(F.col("id") % 3 == 0, F.lit(1)).when(F.col("id") % 3 == 1, F.col("id")).alias("doc_id"), F.concat(F.lit("text "), (F.col("id") % 7).cast("string")).alias("text"))
+    labels = spark.createDataFrame([(1, 1), (4, 1), (7, 0)], "doc_id long, quality int")
+    assert pu_quality.train(hot, labels) is not None
+    assert 100 <= seen[-1][0] <= 300 and 400 <= seen[-1][1] <= 600
+
+
 def test_url_cases(spark):
     urls = {None: ("", ""), "x.com/a": ("", ""), "http://A.Com": ("a.com", ""), "s://h.org?q=://z/y": ("h.org", ""), "http://É.NET/de/8#x": ("É.net", "/de/8"), "://h/p?": ("h", "/p"), "http://m.example.com/en/71": ("m.example.com", "/en/71")}
     df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
@@ -264,6 +342,30 @@ def test_reputation_shrinks(spark):
     got = {r.host: r for r in url_reputation.host_reputation(spark.createDataFrame(rows, "host string, bad int")).collect()}
     assert got["big.bad.com"].low > 0.7 and got["one.org"].low < 0.5 < 1 > got["one.org"].rate and got["www.good.com"].high < 0.05
     assert got["new.bad.com"].rate > got["x.co.uk"].rate and got["x.co.uk"].domain == "x.co.uk"
+    assert url_reputation.host_reputation(spark.createDataFrame(rows, "host string, bad int"), suffixes=["bad.com"]).where("host = 'new.bad.com'").first().domain == "new.bad.com"
+
+
+def test_bad_hosts_are_blocked(spark, tmp_path):
+    """The query on tables with one bad host, a good one, one with few labels, pages of no document, and SQL that says the same."""
+    import duckdb
+
+    pages, labels, i = [], [], 0
+    for host, n, bad in (("bad.example.org", 60, 50), ("good.example.org", 200, 2), ("few.example.info", 1, 1), ("www.plain.info", 90, 9)):
+        for k in range(n):
+            pages.append((i, f"http://{host}/fr/{i}", ""))
+            labels.append((i, 0 if k < bad else 1, 0))
+            i += 1
+    pages += [(i + k, u, None) for k, u in enumerate(["http://bad.example.org/about", "http://new.example.org/fr/999999", None, "x", "http://good.example.org/es/1", "http://bad.example.org/es/1"])]
+    spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").coalesce(1).write.parquet(f"{tmp_path}/labels.parquet")
+    rows = url_reputation.op1_url_reputation(spark, str(tmp_path)).collect()
+    verdict = {(r.host, r.rule): r.verdict for r in rows}
+    assert verdict == {("bad.example.org", None): "block", ("good.example.org", None): "allow", ("few.example.info", None): "allow", ("www.plain.info", None): "allow", ("new.example.org", None): verdict["new.example.org", None], ("", None): "allow", ("good.example.org", "org/es/"): "block", ("bad.example.org", "org/es/"): "block"}
+    con = duckdb.connect()
+    for t in ("pages", "labels"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    rel = con.sql(url_reputation.OP1_SQL)
+    assert sorted(map(repr, rel.fetchall())) == sorted(repr(tuple(r[c] for c in rel.columns)) for r in rows)
 
 
 def test_topk_cases(spark):
@@ -273,6 +375,21 @@ def test_topk_cases(spark):
     got = sorted(map(tuple, norm_topk.top_products(df, F.col("vec_id") % 20 == 0).collect()))
     assert got == [(0, 1, 6, 5), (0, 2, 6, 5), (0, 3, 20, 0), (0, 4, 20, 0), (20, 1, 0, 0), (20, 2, 6, 0), (20, 3, 6, 0)]
     assert norm_topk.top_products(df.limit(0), F.lit(True)).count() == 0
+    mixed = spark.createDataFrame([(-1, [5.0]), (0, [1.0, 2.0]), (20, [1.0, 1.0]), (21, [4.0, 0.0]), (40, [2.0]), (41, [9.0])], "vec_id long, v array<double>")
+    got = sorted(map(tuple, norm_topk.top_products(mixed, F.col("vec_id") % 20 == 0).collect()))
+    assert got == [(0, 1, 21, 4), (0, 2, 20, 3), (20, 1, 21, 4), (20, 2, 0, 3), (40, 1, 41, 18), (40, 2, -1, 10)]
+
+
+def test_topk_of_large_components(spark):
+    """Products that a double doesn't have, some of which differ in the last bit only."""
+    a = float(1 << 31)
+    rows = [(0, [a, 1.0]), (1, [a, 1.0]), (2, [a, 2.0]), (3, [a - 1, 3.0]), (20, [1.0, 1.0]), (4, [-a, 7.0])]
+    df = spark.createDataFrame(rows, "vec_id long, v array<double>")
+    got = sorted(map(tuple, norm_topk.top_products(df, F.col("vec_id") % 20 == 0, 3).collect()))
+    n = 1 << 31
+    assert got == [(0, 1, 2, n * n + 2), (0, 2, 1, n * n + 1), (0, 3, 3, n * (n - 1) + 3), (20, 1, 2, n + 2), (20, 2, 3, n + 2), (20, 3, 0, n + 1)]
+    with pytest.raises(Exception, match="64 bits"):
+        norm_topk.top_products(spark.createDataFrame([(0, [1e30]), (1, [1e30])], "vec_id long, v array<double>"), F.col("vec_id") == 0).collect()
 
 
 def test_extraction_cases(spark):
@@ -288,6 +405,64 @@ def test_extraction_cases(spark):
     assert got == [(i, t, len(t)) for i, t in want] and host_suffixes.extract(df.limit(0)).count() == 0
 
 
+def test_menus_inside_articles(spark):
+    """Menus with no telling name, inside of the article: links that pages of a host share go, links of one page and running
+    text that pages share stay."""
+    menu = "<div class=x1><ul>" + "".join(f"<li><a href='/{w}'>section {w} of site</a></li>" for w in ("alpha", "beta", "gamma", "delta")) + "</ul></div>"
+    menu = menu.replace("</li><li>", " ").replace("<ul><li>", "").replace("</li></ul>", "")
+    shared = "a passage of more than eight words that two articles of this host have in common"
+    html = lambda i, more="": f"<body><article><h1>Title {i}</h1>{menu}<p>{shared}</p><p>own text {i}</p>{more}</article></body>"
+    own = "<p>" + "".join(f"<a href=#>reference number {i} of this page alone</a> " for i in range(3)) + "</p>"
+    rows = [(1, "http://h/1", html(1)), (2, "http://h/2", html(2, own)), (3, "http://other/3", html(3))]
+    got = {r.page_id: r.text for r in host_suffixes.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    links = "section alpha of site section beta of site section gamma of site section delta of site"
+    assert got[1] == f"Title 1\n{shared}\nown text 1"
+    assert got[2] == f"Title 2\n{shared}\nown text 2\n" + " ".join(f"reference number {i} of this page alone" for i in range(3))
+    assert got[3] == f"Title 3\n{links}\n{shared}\nown text 3"
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_extraction_by_brute_force(spark, seed):
+    """Pages of few words on few hosts, many without an article, against all windows of all pages of a host."""
+    r, n = random.Random(seed), 3
+    some = lambda a, b: " ".join(r.choice("abcdefg") for _ in range(r.randint(a, b)))
+    pages = []
+    for i in range(60):
+        parts = [r.choice([f"<p>{some(0, 6)}</p>", f"<div>{some(1, 9)}<br>{some(0, 3)}</div>", f"<nav>{some(1, 5)}</nav>", f"<p><a href=x>{some(2, 6)}</a></p>"]) for _ in range(r.randint(0, 5))]
+        body = "".join(parts)
+        pages.append((i % 55, f"http://{r.choice('xyz')}/{i % 50}", r.choice([f"<body>{body}</body>", f"<main>{body}</main>{some(2, 6)}"])))
+    pages += pages[:4]
+    blocks = {p: host_suffixes.blocks_of(p[2]) for p in pages}
+    seen = {}
+    for p, x in blocks.items():
+        w = host_suffixes.stream(x)
+        for i in range(len(w) - n + 1):
+            seen.setdefault((p[1].split("/")[2], *w[i : i + n]), set()).add(p)
+    want = []
+    for p in pages:
+        w = host_suffixes.stream(blocks[p])
+        starts = {i for i in range(len(w) - n + 1) if len(seen[p[1].split("/")[2], *w[i : i + n]]) > 1}
+        want.append((p[0], p[1], host_suffixes.main_text(blocks[p], starts, n)))
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(5)
+    got = [(x.page_id, x.url, x.text) for x in host_suffixes.extract(df, n).collect()]
+    assert sorted(got) == sorted(want)
+
+
+def test_prefix_ranks():
+    r = np.random.default_rng(2)
+    for depth in (1, 2, 3, 5, 8):
+        codes = r.integers(0, 3, 200)
+        rank = host_suffixes.prefix_ranks(codes, depth)
+        prefix = [tuple(codes[i : i + depth].tolist()) for i in range(200)]
+        assert rank.tolist() == [sorted(set(prefix)).index(x) for x in prefix]
+
+
+def test_long_pages(spark):
+    html = "<article>" + "".join(f"<p>{w} &amp; {w}</p>" for w in LONG.split()) + "</article>"
+    rows = host_suffixes.extract(spark.createDataFrame([(1, None, html)], "page_id long, url string, html string")).collect()
+    assert rows[0].text == "\n".join(f"{w} & {w}" for w in LONG.split())
+
+
 def test_warc_reads_split_files(spark, tmp_path):
     warc.register(spark)
     r = random.Random(9)
@@ -309,6 +484,40 @@ def test_pipeline_cases(spark, docs, tmp_path):
     assert got == [(False, i) for i in (1, 2, 4, 5, 7, 9)] + [(True, 0), (True, 0)]
 
 
+def test_one_id_with_different_texts(spark, tmp_path):
+    """The text with the smallest digest stays, whatever the order of rows; clashing columns come through each stage."""
+    a, b = " ".join(WORDS[:60]), " ".join(WORDS[200:260])
+    rows = [(1, a, "en", 7), (1, b, "en", 8), (1, a, "en", 7), (2, " ".join(WORDS[100:160]), "en", 9), (3, b + " more", "en", 9)]
+    got = set()
+    for order in (rows, rows[::-1]):
+        docs = spark.createDataFrame(order, "doc_id long, text string, lang string, _score long").withColumn("_hits", F.lit(1))
+        classes = {r.doc_id: r.class_id for r in order_minhash.near_duplicates(docs).collect()}
+        assert classes == {1: 1, 2: 2, 3: 1}
+        kept = corpus_pipeline.near_dedup(spark, docs, str(tmp_path))
+        assert kept.columns == docs.columns
+        got.add(tuple(sorted((r.doc_id, r.text) for r in kept.collect())))
+    assert len(got) == 1 and {i for i, _ in got.pop()} == {1, 2}
+    spark.createDataFrame([(1, a)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert corpus_pipeline.quality(spark, docs, str(tmp_path)).columns == docs.columns
+    clean = corpus_pipeline.decontamination(spark, docs, str(tmp_path))
+    assert clean.columns == docs.columns and sorted(r._score for r in clean.collect()) == [8, 9, 9]
+
+
+@pytest.mark.parametrize("edits", [0.05, 0.1, 0.15, 0.2])
+def test_recall_of_sketches(edits):
+    """Nine of ten pairs that are similar enough share a sketch, at any rate of edits that similarity allows."""
+    r = np.random.default_rng(9)
+    met = 0
+    for _ in range(200):
+        a = r.integers(0, 1 << 62, 250, np.uint64)
+        b = a.copy()
+        b[r.choice(250, int(250 * edits), replace=False)] = r.integers(0, 1 << 62, int(250 * edits), np.uint64)
+        assert order_minhash.similar(a, b)
+        met += (order_minhash.sketch(a) == order_minhash.sketch(b)).any()
+    assert met >= 180
+
+
 def test_topk_in_many_blocks(spark, monkeypatch):
     from tidepool.llm import norm_topk
 

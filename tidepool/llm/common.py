@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import sys
 import tempfile
@@ -53,6 +54,12 @@ def discard(*stashed: DataFrame) -> None:
             path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of jobs that are over: it does so when what refers to them is collected as garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def filesystem(uri: str):
     """(file system, path) of a URI, for reading and writing from executors."""
     from pyarrow import fs
