@@ -29,7 +29,7 @@ class PieceEncoder:
 
     def reset(self) -> None:
         self.index: dict[str, int] = {}
-        self.start, self.size = np.zeros(1024, np.int64), np.zeros(1024, np.int64)
+        self.start, self.size = np.zeros(1024, np.int64), np.zeros(1024, np.int32)
         self.flat, self.used = np.zeros(4096, np.int32), 0
 
     def _add(self, pieces: list[str]) -> None:
@@ -59,7 +59,7 @@ class PieceEncoder:
 
     def gather(self, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of the pieces at these places, where each piece's begin and the end)."""
-        size = self.size[place]
+        size = self.size[place].astype(np.int64)
         ends = np.concatenate([[0], np.cumsum(size, dtype=np.int64)])
         kind = np.int32 if max(ends[-1], self.used) < 1 << 31 else np.int64
         return self.flat[np.repeat((self.start[place] - ends[:-1]).astype(kind), size) + np.arange(ends[-1], dtype=kind)], ends

@@ -27,6 +27,8 @@ MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 THREADS = 2
+#: Different pieces that a worker remembers, and bytes of text that it encodes at a time.
+MOST_PIECES, SLICE = 250_000, 500_000
 
 
 # -- model file ------------------------------------------------------------------------------------------------------
@@ -130,7 +132,7 @@ class Codec:
         self.by_word = self.model["dummy_prefix"] and self.model["escape_spaces"] and not self.model["strip_spaces"] and not self.model["charsmap"] and not any(MARK in p.lstrip(MARK) or kind == USER_DEFINED for p, _, kind in self.model["pieces"])
         self.differ: set[str] = set()
         self.compared = 0
-        self.pieces = PieceEncoder(self.checked)
+        self.pieces = PieceEncoder(self.checked, MOST_PIECES)
 
     def direct(self, texts: list[str]) -> list[list[int]]:
         return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -184,7 +186,7 @@ def encode(docs: DataFrame, model_path: str, threads: int = THREADS, text_col: s
 
     def run(batches):
         coder = codec(model_path, threads)
-        for batch in common.text_slices(batches, text_col):
+        for batch in common.text_slices(batches, text_col, SLICE):
             text = batch.column(text_col)
             null = text.is_null()
             ids, bounds, same = coder.encode(text)
@@ -198,7 +200,7 @@ def encode(docs: DataFrame, model_path: str, threads: int = THREADS, text_col: s
             out |= {"n_tokens": pa.array(np.diff(bounds), pa.int32()), "ids_crc32": pa.array(crc, pa.int64()), "decoded_ok": pa.array(ok), "parity": pa.array(same)}
             yield pa.RecordBatch.from_pydict(out)
 
-    return common.map_arrow(rows, run, schema, keeps=True)
+    return common.map_arrow(rows, run, schema, keeps=True, batch="4m")
 
 
 def decode(docs: DataFrame, model_path: str, ids_col: str = "ids", out_col: str = "decoded", threads: int = THREADS) -> DataFrame:
