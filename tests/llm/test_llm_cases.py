@@ -73,6 +73,46 @@ def test_pairs_within_a_shared_passage(spark, monkeypatch):
         assert all(got[d] == (d if d < 1000 else d % 100) for d, _ in rows)
 
 
+def crowd_of_units():
+    """Texts of a passage and five units of a code in which two agree in two at most, so that each word pair is in over 100 texts
+    and no two are similar; and 20 copies in which each third of the own words is replaced, so that they meet in the passage only."""
+    r, rows = random.Random(5), []
+    for i in range(11**3):
+        a, b, c = i % 11, i // 11 % 11, i // 121
+        rows.append((i, [f"s{j}" for j in range(50)] + [w for x in range(5) for w in (*(f"u{x}y{(a + b * x + c * x * x) % 11}z{j}" for j in range(9)), f"t{x}")]))
+    for i in r.sample(range(11**3), 20):
+        rows.append(((1 + r.randrange(10**6)) * 10_000 + i, [f"n{i}x{j}" if j >= 50 and j % 3 == 1 else w for j, w in enumerate(rows[i][1])]))
+    return [(i, " ".join(w)) for i, w in rows]
+
+
+def test_pairs_of_large_buckets_without_rare_words(spark):
+    rows = crowd_of_units()
+    got = {x.doc_id: x.class_id for x in order_minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: i % 10_000 for i, _ in rows}
+
+
+@pytest.mark.parametrize("part", [1 << 20, 1 << 12])
+def test_crowds_by_brute_force(spark, monkeypatch, part):
+    """Every pair of a crowd that is similar passes the bounds, in one part or many; the largest class isn't compared with itself."""
+    monkeypatch.setattr(order_minhash, "PART", part)
+    r, texts = random.Random(6), []
+    for n in (1, 3, 7, 25, 64, 120, 130):
+        base = [f"b{r.randrange(n)}" for _ in range(n)]
+        for _ in range(14):
+            words = [w if r.random() < 0.92 else f"x{r.randrange(30)}" for w in base if r.random() < 0.97] or base
+            texts.append(words + [f"y{j}" for j in range(r.randrange(1 + n // 9))])
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string").cache()
+    crowded = docs.select(F.lit(1).alias("crowd"), F.col("doc_id").alias("node"))
+    found = docs.where("doc_id >= 30 AND doc_id % 3 = 0").select(F.col("doc_id").alias("node"), F.lit(30).cast("long").alias("label"))
+    signs = order_minhash.signed(docs, docs.select("doc_id"))
+    pairs = {every: {(x.a, x.b) for x in order_minhash.crowd_pairs(crowded, signs, found, every).collect()} for every in (False, True)}
+    label = lambda i: 30 if i >= 30 and i % 3 == 0 else i
+    codes = [np.array([hash(x) for x in w]) for w in texts]
+    want = {(a, b) for b in range(len(texts)) for a in range(b) if label(a) != label(b) and order_minhash.similar(codes[a], codes[b])}
+    assert len(want) > 100 and want <= pairs[True] and all(label(a) != label(b) for a, b in pairs[True])
+    assert pairs[False] <= pairs[True] and len(pairs[True]) < 3 * len(want)
+
+
 def test_distance():
     r = random.Random(3)
     for _ in range(500):

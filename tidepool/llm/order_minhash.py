@@ -7,9 +7,11 @@ the sketch follow edit similarity. A candidate is verified by the edit distance
 is as wide as a similarity of 0.8 allows.
 
 First each node meets the smallest node of each of its buckets, which links most near-duplicates. Then all pairs of a bucket
-whose nodes are still in different classes are compared, if they are DIRECT or fewer for each node; of larger buckets,
-which a passage that thousands of texts share makes, it is those LAGS or fewer places apart in an order by the nodes' other
-keys, and those that have one of their FEW rarest shared pairs of neighbouring words in common.
+whose nodes are still in different classes are compared, if they are DIRECT or fewer for each node. Larger buckets, which a
+passage that thousands of texts share makes, are put together to crowds, and all pairs of a crowd whose nodes are in different
+classes go through bounds that no similar pair fails: the numbers of words, and the bits in which parity signatures of the
+two bags of words differ. What passes is verified, each node's closest first, and then, with the classes that these make, all.
+So every pair that meets in a bucket is in one class, compared, or ruled out by a bound.
 
 Words are lower case; punctuation doesn't count. Texts under five words have one k-mer, texts without words match equal
 texts only, and a null text is a class of its own. Rows that share an id are one document, which is similar to what any of its texts is similar to. Rows with a null id get the
@@ -20,9 +22,11 @@ text are looked at, whatever other columns there are.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidepool.llm import common
@@ -31,10 +35,10 @@ from tidepool.llm.components import components, extended
 K, SKETCHES, SIMILAR = 5, 80, 0.8
 #: Pairs for each node of a bucket up to which all of them are compared.
 DIRECT = 16
-#: Places between two nodes of a large bucket that are compared; nodes that one task puts in order.
-LAGS, PART = 3, 256
-#: Rare word pairs by which a node of large buckets meets others, and how many such nodes have a rare one.
-FEW, RARE = 16, 64
+#: Logarithms of the least and the largest number of bits of a parity signature.
+NARROW, WIDE = 6, 16
+#: Bytes of signatures in a part of a crowd; each two parts are compared in one group.
+PART = 1 << 20
 #: Words whose hashes a worker remembers.
 MOST_WORDS = 200_000
 #: Ids (16 bytes each) that are sent to all executors at most; more are joined by a shuffle.
@@ -178,11 +182,65 @@ def may_be_similar(a: np.ndarray, b: np.ndarray, least: float = SIMILAR) -> bool
     return len(np.intersect1d(a, b, assume_unique=True)) >= least * max(len(a), len(b)) - 1e-9
 
 
-def word_pairs(words: np.ndarray) -> np.ndarray:
-    """The bag of pairs of neighbouring words; of a single word, that word."""
-    w = words.astype(np.uint64)
-    code = mix(w[:-1] * STEP[1] + w[1:]) if len(w) > 1 else w
-    return mix(code + occurrences(code) * STEP[0])
+def width(level: int) -> int:
+    """Logarithm of the bits of signatures of texts of 2^level to 2^(level + 1) words: 8 or more for each word, up to a limit."""
+    return min(WIDE, max(NARROW, level + 4))
+
+
+def parity(codes: np.ndarray, bits: int) -> bytes:
+    """2^bits bits: whether an odd number of codes falls on each. Two signatures differ in no more bits than the bags do in codes."""
+    return np.packbits(np.bincount((codes >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits) & 1).tobytes()
+
+
+def signatures(words: np.ndarray) -> list[tuple[int, bool, bytes]]:
+    """(level, guest, signature): of the text's own level, and as a guest of the next where similar texts may be."""
+    level, codes = len(words).bit_length() - 1, bag(words)
+    out = [(level, False, parity(codes, width(level)))]
+    if len(words) >= SIMILAR * (2 << level) - 1e-9:
+        out.append((level + 1, True, parity(codes, width(level + 1))))
+    return out
+
+
+class Crowd:
+    """Entries of one level, in order of their numbers of words, with signatures as columns: whole and folded to an eighth."""
+
+    def __init__(self, node, n_words, label, guest, bits):
+        order = np.argsort(n_words, kind="stable")
+        self.node, self.n, self.label, self.guest = node[order], n_words[order].astype(np.int64), label[order], guest[order]
+        self.whole = bits[order]
+        coarse = self.whole
+        while coarse.shape[1] > max(4, self.whole.shape[1] // 8):
+            half = coarse.shape[1] // 2
+            coarse = coarse[:, :half] ^ coarse[:, half:]
+        self.coarse = np.ascontiguousarray(coarse.T)
+
+    def of(self, some: np.ndarray) -> Crowd:
+        out = object.__new__(Crowd)
+        out.node, out.n, out.label, out.guest, out.whole, out.coarse = self.node[some], self.n[some], self.label[some], self.guest[some], self.whole[some], np.ascontiguousarray(self.coarse[:, some])
+        return out
+
+    def meets(self, other: Crowd, every: bool):
+        """For each entry, the nodes of those of `other` (of itself: the later ones) in different classes that may be similar to
+        it; all, or the closest only."""
+        low, high = np.searchsorted(other.n, self.n * SIMILAR - 1e-6), np.searchsorted(other.n, self.n / SIMILAR + 1e-6, "right")
+        most = (self.n * (1 - SIMILAR) + 1e-9).astype(np.int64)
+        if other is self:
+            low = np.maximum(low, np.arange(1, len(self.n) + 1))
+        for i in np.flatnonzero(low < high).tolist():
+            a, b = low[i], high[i]
+            far = np.zeros(b - a, np.uint16)
+            for x, row in zip(self.coarse[:, i], other.coarse, strict=True):
+                far += np.bitwise_count(row[a:b] ^ x)
+            j = np.flatnonzero(far <= 2 * most[i] + 2) + a
+            j = j[(other.label[j] != self.label[i]) & (other.node[j] != self.node[i]) & ~(other.guest[j] & self.guest[i])]
+            if not len(j):
+                continue
+            larger = np.maximum(other.n[j], self.n[i])
+            bound = 2 * (larger * (1 - SIMILAR) + 1e-9).astype(np.int64) - np.abs(other.n[j] - self.n[i])
+            far = np.concatenate([np.bitwise_count(other.whole[j[k : k + 1024]] ^ self.whole[i]).sum(1, dtype=np.int64) for k in range(0, len(j), 1024)])
+            j, far = j[far <= bound], far[far <= bound]
+            if len(j):
+                yield self.node[i], other.node[j if every else j[[far.argmin()]]]
 
 
 # -- on tables -------------------------------------------------------------------------------------------------------
@@ -226,26 +284,6 @@ def classed(rows: DataFrame, found: DataFrame) -> DataFrame:
     return rows.join(found, "node", "left").withColumn("class", F.coalesce("label", "node")).drop("label")
 
 
-def rare_pairs(large: DataFrame, docs: DataFrame) -> DataFrame:
-    """k, node, n_words: the FEW rarest of the word pairs that a node of a large bucket shares with others of such nodes."""
-
-    def run(batches):
-        for batch in batches:
-            words = [np.frombuffer(x.as_buffer(), np.uint32) for x in batch.column("words")]
-            found = [word_pairs(x).astype(np.int64) for x in words]
-            size = [len(x) for x in found]
-            yield pa.RecordBatch.from_pydict({"node": np.repeat(batch.column("node").to_numpy(), size), "n_words": np.repeat(np.array([len(x) for x in words], np.int32), size), "k": np.concatenate([*found, np.zeros(0, np.int64)])})
-
-    ids = common.stash(large.select(F.col("node").alias("doc_id")).distinct(), "crowded-nodes")
-    words = common.stash(sequences(docs, ids), "words")  # two Python steps in one task would take two workers
-    rows = common.stash(common.map_arrow(words, run, "node long, n_words int, k long"), "word-pairs")
-    often = rows.groupBy("k").agg(F.count("*").alias("c")).where(f"c > 1 AND c <= {RARE}")
-    rank = F.row_number().over(Window.partitionBy("node", "n_words").orderBy("c", "k"))
-    out = common.stash(rows.join(often, "k").withColumn("rank", rank).where(F.col("rank") <= FEW).select("k", "node", "n_words"), "rare-pairs")
-    common.discard(ids, words, rows)
-    return out
-
-
 def sized(rows: DataFrame) -> DataFrame:
     """rows (k, node, n_words, class) of those k that have several classes, with how many rows a k has, c, and whether it is large:
     it has over DIRECT pairs of different classes for each row."""
@@ -254,42 +292,89 @@ def sized(rows: DataFrame) -> DataFrame:
     return rows.join(sizes, "k")
 
 
-def cross_pairs(rows: DataFrame, found: DataFrame, docs: DataFrame) -> DataFrame:
-    """Pairs (a, b) of nodes that share a bucket and aren't in one class: all of small buckets, and neighbours in large ones and
-    those that share a rare word pair there."""
+def mixed_buckets(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """k, node, n_words, class, c, large of the buckets that have several classes; a written table."""
     rows = common.stash(classed(rows.where("c > 2").select("k", "node", "n_words"), found), "bucket-classes")
-    mixed = common.stash(sized(rows), "mixed-buckets")
-    large = mixed.where("large")
+    out = common.stash(sized(rows), "mixed-buckets")
+    common.discard(rows)
+    return out
+
+
+def cross_pairs(mixed: DataFrame) -> DataFrame:
+    """Pairs (a, b) of nodes that share a bucket that isn't large, and aren't in one class."""
     small = mixed.where("NOT large").select("k", "node", "n_words", "class")
-    used = [rows, mixed]
-    pairs = neighbours(large, rows)
-    if not large.isEmpty():
-        rare = rare_pairs(large, docs)
-        small = small.unionByName(sized(classed(rare, found)).where("NOT large").select("k", "node", "n_words", "class"))
-        used.append(rare)
-    small = common.stash(small, "small-buckets")
     other = small.select("k", F.col("node").alias("other"), F.col("n_words").alias("other_words"), F.col("class").alias("other_class"))
-    pairs = pairs.unionByName(small.join(other, "k").where((F.col("class") < F.col("other_class")) & near()).select("node", "other"))
-    out = common.stash(pairs.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).where("a <> b").distinct(), "cross-pairs")
-    common.discard(*used, small)
+    pairs = small.join(other, "k").where((F.col("class") < F.col("other_class")) & near())
+    return pairs.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).where("a <> b").distinct()
+
+
+def crowds(mixed: DataFrame) -> DataFrame:
+    """crowd, node: all nodes of each large bucket are together in a crowd. Buckets with much the same nodes make one: a bucket
+    goes to that which is the largest for most of its nodes."""
+    large = mixed.where("large").select("k", "c", "node")
+    own = large.groupBy("node").agg(F.max(F.struct("c", "k")).alias("x")).select("node", F.col("x.k").alias("crowd"))
+    votes = large.join(own, "node").groupBy("k", "crowd").agg(F.count("*").alias("n"))
+    of = votes.groupBy("k").agg(F.max(F.struct("n", "crowd")).alias("x")).select("k", F.col("x.crowd").alias("crowd"))
+    return large.join(of, "k").select("crowd", "node").distinct()
+
+
+def signed(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """node, n_words, level, guest, bits of the ids asked; of each different text of an id."""
+
+    def run(batches):
+        for batch in batches:
+            words = [np.frombuffer(x.as_buffer(), np.uint32) for x in batch.column("words")]
+            rows = [(node, len(w), *x) for node, w in zip(batch.column("node").to_pylist(), words, strict=True) if len(w) for x in signatures(w)]
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], t) for i, t in enumerate((pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.binary()))], ["node", "n_words", "level", "guest", "bits"])
+
+    words = common.stash(sequences(docs, ids), "words")  # two Python steps in one task would take two workers
+    out = common.stash(common.map_arrow(words, run, "node long, n_words int, level int, guest boolean, bits binary"), "signatures")
+    common.discard(words)
     return out
 
 
-def neighbours(large: DataFrame, rows: DataFrame) -> DataFrame:
-    """node and other: nodes of different classes that are at most LAGS places apart in a large bucket, ordered by the
-    smallest of their other keys in two orders drawn for the bucket: the more keys two nodes share, the likelier they are
-    beside each other. A bucket, or a part of one with the same smallest key, of more than PART nodes is dealt over tasks."""
-    keys = common.stash(rows.groupBy("node").agg(F.collect_set("k").alias("keys")), "keys-of-nodes")  # SKETCHES keys for each text at most
-    least = lambda salt: F.array_min(F.transform(F.array_remove("keys", F.col("k")), lambda x: F.xxhash64(x, F.col("k"), F.lit(salt))))
-    held = common.stash(large.join(keys, "node").select("k", "c", "class", "node", "n_words", least(1).alias("m1"), least(2).alias("m2")), "large-buckets")
-    parts = held.groupBy("k", "m1").agg(F.count("*").alias("c1"))
-    held = held.join(parts.select("k", F.col("m1").alias("m"), "c1"), (held["k"] == parts["k"]) & held["m1"].eqNullSafe(F.col("m"))).select(held["*"], "c1")
-    part = F.when(F.col("c") <= PART, F.lit(0)).when(F.col("c1") <= PART, F.xxhash64("m1")).otherwise(F.xxhash64("m1", F.pmod(F.xxhash64("m2"), F.ceil(F.col("c1") / PART)), F.pmod(F.xxhash64("node"), F.ceil(F.col("c1") / (PART * PART)))))
-    w = Window.partitionBy("k", "part").orderBy("m1", "m2", "n_words", "node")
-    before = F.array(*(F.lag(F.struct("node", "n_words", "class"), i).over(w) for i in range(1, LAGS + 1)))
-    here = held.withColumn("part", part).withColumn("before", before)
-    beside = here.select("node", "n_words", F.explode(F.expr("filter(before, x -> x IS NOT NULL AND x.class <> class)")).alias("x"))
-    return beside.select("node", "n_words", F.col("x.node").alias("other"), F.col("x.n_words").alias("other_words")).where(near()).select("node", "other")
+def crowd_pairs(crowded: DataFrame, signs: DataFrame, found: DataFrame, every: bool) -> DataFrame:
+    """Pairs (a, b) of nodes of a crowd in different classes that the bounds don't rule out: every one, or each node's closest. Parts of a crowd's level meet two by two, in a group for each two."""
+
+    def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one = key[2].as_py() == key[3].as_py()
+        table = pa.Table.from_batches(batches).combine_chunks()
+        node, n_words, label, part = (table.column(c).to_numpy() for c in ("node", "n_words", "class", "part"))
+        guest = table.column("guest").to_numpy(zero_copy_only=False)
+        held = table.column("bits").to_pylist()
+        del table
+        bits = np.frombuffer(b"".join(held), np.uint64).reshape(len(held), -1)
+        del held
+        names, which, times = np.unique(label, return_inverse=True, return_counts=True)
+        main = which == times.argmax()  # pairs within the largest class aren't even looked at
+        make = lambda x: Crowd(node[x], n_words[x], label[x], guest[x], bits[x])
+        if one:
+            few = make(~main)
+            sides = [(few, make(main)), (few, few)]
+        else:
+            p, q = part == key[2].as_py(), part == key[3].as_py()
+            few, others = make(p & ~main), make(q & ~main)
+            sides = [(few, make(q & main)), (others, make(p & main)), (few, others)]
+        a, b, size = [], [], 0
+        for x, y in sides:
+            for i, j in x.meets(y, every) if len(x.n) and len(y.n) else ():
+                a.append(np.minimum(i, j))
+                b.append(np.maximum(i, j))
+                size += len(j)
+                if size >= 100_000:
+                    yield pa.RecordBatch.from_pydict({"a": np.concatenate(a), "b": np.concatenate(b)})
+                    a, b, size = [], [], 0
+        none = np.zeros(0, np.int64)
+        yield pa.RecordBatch.from_pydict({"a": np.concatenate([none, *a]), "b": np.concatenate([none, *b])})
+
+    held = classed(crowded, found).join(signs, "node")
+    sizes = held.groupBy("crowd", "level").agg(F.min("class").alias("low"), F.max("class").alias("high"), F.ceil(F.sum(F.length("bits")) / PART).cast("int").alias("parts")).where("low < high")
+    sizes = common.stash(sizes.select("crowd", "level", "parts"), "crowd-levels")
+    dealt = held.join(sizes, ["crowd", "level"]).withColumn("part", F.pmod(F.xxhash64("node"), "parts").cast("int")).withColumn("other", F.explode(F.expr("sequence(0, parts - 1)")))
+    dealt = dealt.select("crowd", "level", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "part", "node", "n_words", "class", "guest", "bits")
+    out = common.stash(dealt.groupBy("crowd", "level", "p", "q").applyInArrow(run, "a long, b long").distinct(), "crowd-pairs")
+    common.discard(sizes)
+    return out
 
 
 def only(docs: DataFrame, ids: DataFrame, how: str = "left_semi") -> DataFrame:
@@ -339,6 +424,13 @@ def compared(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return out
 
 
+def joined(found: DataFrame, pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """The classes `found`, put together by those of the pairs (a, b), a written table, whose documents are similar."""
+    if pairs.isEmpty() or (more := compared(pairs, docs)).isEmpty():
+        return found
+    return extended(found, more)
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id and class_id, the smallest id of its class, for every row of docs (doc_id, text)."""
     rows = common.stash(sketched(docs), "sketches")
@@ -351,11 +443,25 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     common.release(docs.sparkSession)
     star = common.stash(star_pairs(shared), "star-pairs")
     found = components(compared(star, docs))
-    pairs = common.stash(cross_pairs(shared, found, docs).join(star, ["a", "b"], "left_anti"), "cross-pairs")
+    mixed = mixed_buckets(shared, found)
     common.discard(shared)
+    done = [star, common.stash(cross_pairs(mixed).join(star, ["a", "b"], "left_anti"), "cross-pairs")]
+    crowded = common.stash(crowds(mixed), "crowds")
+    common.discard(mixed)
     common.release(docs.sparkSession)
-    if not pairs.isEmpty() and not (more := compared(pairs, docs)).isEmpty():
-        found = extended(found, more)
+    found = joined(found, done[-1], docs)
+    if not crowded.isEmpty():
+        members = common.stash(crowded.select(F.col("node").alias("doc_id")).distinct(), "crowded-nodes")
+        signs = signed(docs, members)
+        for every in (False, True):
+            pairs = crowd_pairs(crowded, signs, found, every)
+            if pairs.isEmpty():  # where no node has a closest one, none has any
+                break
+            for x in done:
+                pairs = pairs.join(x, ["a", "b"], "left_anti")
+            done.append(common.stash(pairs, "crowd-pairs"))
+            found = joined(found, done[-1], docs)
+        common.discard(members, signs)
     label = of.join(found, "node", "left").select("digest", F.coalesce("label", "node").alias("class_id"))
     return ids.join(common.stash(label, "classes"), "digest").select("doc_id", "class_id")
 
