@@ -91,6 +91,12 @@ def test_pairs_of_large_buckets_without_rare_words(spark):
     assert got == {i: i % 10_000 for i, _ in rows}
 
 
+def test_pipeline_drops_copies_of_large_buckets(spark, tmp_path):
+    rows = crowd_of_units()
+    kept = corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string"), str(tmp_path))
+    assert sorted(x.doc_id for x in kept.collect()) == sorted(i for i, _ in rows if i < 10_000)
+
+
 @pytest.mark.parametrize("part", [1 << 20, 1 << 12])
 def test_crowds_by_brute_force(spark, monkeypatch, part):
     """Every pair of a crowd that is similar passes the bounds, in one part or many; the largest class isn't compared with itself."""
