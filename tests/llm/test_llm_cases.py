@@ -467,6 +467,16 @@ def test_menus_inside_articles(spark):
     assert got[3] == f"Title 3\n{links}\n{shared}\nown text 3"
 
 
+def test_repeats_decide_beside_articles(spark):
+    """Beside an article: what pages of a host share goes, what one page alone has stays, unless it is mostly links."""
+    shared = "we are a small site that writes of many things each day"
+    html = lambda i: f"<body><div>{shared}</div><div>{i} is where it leads</div><article><p>{shared}</p><p>text {i}</p></article><div><a href=#>page {i + 1}</a></div></body>"
+    rows = [(i, f"http://{'h' if i < 3 else 'other'}/{i}", html(i)) for i in (1, 2, 3)]
+    got = {r.page_id: r.text for r in host_suffixes.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    own = {i: f"{i} is where it leads\n{shared}\ntext {i}" for i in (1, 2, 3)}
+    assert got == {1: own[1], 2: own[2], 3: f"{shared}\n{own[3]}"}
+
+
 @pytest.mark.parametrize("seed", [1, 2, 3])
 def test_extraction_by_brute_force(spark, seed):
     """Pages of few words on few hosts, many without an article, against all windows of all pages of a host."""

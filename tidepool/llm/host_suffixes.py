@@ -1,11 +1,11 @@
 """Main text of HTML pages; boilerplate by markup, and by long passages that pages of a host share.
 
-A page is cut into blocks. Blocks in an article or main element are text; those in menus, footers, adverts and so on are
-not. What is left to decide are the other blocks of pages without such an element, and blocks in an article that are mostly
-links. For these, the token streams of a host's pages (all but the article's running text) are put in suffix order to a
-depth of TOKENS: by prefix doubling inside of a task, which leaves one key for each different prefix and page, and by these
-keys between tasks. Suffixes of two different pages with the same prefix are a repeated substring; longer ones are runs of
-such suffixes, shorter ones stay. Covered tokens are removed and unique runs stay.
+A page is cut into blocks. The token streams of all pages of a host (all but the running text of articles) are put in suffix
+order to a depth of TOKENS: by prefix doubling inside of a task, which leaves one key for each suffix, and by these keys
+between tasks. Suffixes of two different pages with the same prefix are a repeated substring; longer ones are runs of such
+suffixes, shorter ones stay. Covered tokens are removed and unique runs stay, on every page, with an article or without.
+Then markup is looked at: running text of an article stays, menus, footers, adverts and so on go though they be unique,
+and so do blocks beside an article that are mostly links.
 
 Repetition alone can't decide: copies of one article on a host, and passages that articles share, repeat too, and a menu may
 occur once. So running text of an article stays, repeated or not. Null and empty html give an empty text, null urls the
@@ -40,7 +40,7 @@ ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog for
 NAMES = frozenset("ad ads advert adverts advertisement banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer menu modal nav navbar navigation newsletter notice notices popup promo promotion related share sharing sidebar social sponsor sponsored subscribe widget".split())
 OUTER_NAMES = frozenset(("header", "masthead", "topbar"))
 WHOLE_NAMES = re.compile(r"[a-z0-9]+")
-TEXT, OTHER, BOILER, LINKS = 0, 1, 2, 3
+TEXT, OTHER, BOILER, LINKS, BESIDE = 0, 1, 2, 3, 4
 
 
 def looks_dropped(tag: str, attributes: str, in_article: bool) -> bool:
@@ -58,7 +58,8 @@ def looks_dropped(tag: str, attributes: str, in_article: bool) -> bool:
 
 
 def blocks_of(html: str) -> list[tuple[int, str]]:
-    """(TEXT, LINKS, OTHER or BOILER; text) of the non-empty blocks in page order. LINKS: mostly links, in an article."""
+    """(TEXT, LINKS, OTHER, BESIDE or BOILER; text) of the non-empty blocks in page order. LINKS and BESIDE: mostly links, in an
+    article and outside."""
     out: list[tuple[int, str]] = []
     held: list[str] = []
     stack: list[tuple[str, bool, bool]] = []  # tag, dropped, in an article
@@ -70,7 +71,8 @@ def blocks_of(html: str) -> list[tuple[int, str]]:
         if held:
             raw = "".join(held)
             if text := " ".join(unescape(raw).split()):
-                out.append((BOILER if dropped else OTHER if not article else LINKS if 2 * linked > len(raw) else TEXT, text))
+                many = 2 * linked > len(raw)
+                out.append((BOILER if dropped else (LINKS if many else TEXT) if article else BESIDE if many else OTHER, text))
             held.clear()
         linked = 0
 
@@ -121,19 +123,13 @@ def blocks_of(html: str) -> list[tuple[int, str]]:
     return out
 
 
-def is_decided(blocks: list[tuple[int, str]]) -> bool:
-    """Whether markup decides: there is running text of an article, and nothing in it is mostly links."""
-    kinds = {kind for kind, _ in blocks}
-    return TEXT in kinds and LINKS not in kinds
-
-
 def stream(blocks: list[tuple[int, str]]) -> list[str]:
     return [w for kind, x in blocks if kind != TEXT for w in x.split()]
 
 
 def main_text(blocks: list[tuple[int, str]], starts: set[int] = frozenset(), tokens: int = TOKENS) -> str:
-    """Running text of the article, and what of its links isn't in a repeated substring that begins at one of `starts` of the
-    stream; without such text, what isn't of the blocks outside boilerplate."""
+    """Running text of the article, and what of other blocks outside boilerplate isn't in a repeated substring that begins at one
+    of `starts` of the stream; where there is such text, blocks beside it that are mostly links go."""
     covered, n, kept = set(), 0, []
     has_text = any(kind == TEXT for kind, _ in blocks)
     for s in starts:
@@ -143,13 +139,24 @@ def main_text(blocks: list[tuple[int, str]], starts: set[int] = frozenset(), tok
             kept.append(x)
             continue
         words = x.split()
-        if kind == LINKS or kind == OTHER and not has_text:
+        if kind in (LINKS, OTHER) or kind == BESIDE and not has_text:
             if left := [w for i, w in enumerate(words, n) if i not in covered]:
                 kept.append(" ".join(left))
         n += len(words)
     return "\n".join(kept)
 
 
+def packed(blocks: list[tuple[int, str]]) -> tuple[bytes, int]:
+    """Blocks, compressed, and the bytes that they take without; of boilerplate only how many words it has."""
+    raw = "\n".join(f"{kind}{' '.join('.' * len(x.split())) if kind == BOILER else x}" for kind, x in blocks).encode()
+    return pa.compress(raw, codec="zstd", asbytes=True), len(raw)
+
+
+def unpacked(data: bytes, size: int) -> list[tuple[int, str]]:
+    raw = pa.decompress(data, decompressed_size=size, codec="zstd", asbytes=True).decode() if size else ""
+    return [(int(x[0]), x[1:]) for x in raw.split("\n")] if raw else []
+
+
 def prefix_ranks(codes: np.ndarray, depth: int) -> np.ndarray:
     """For each place, the rank of its suffix's first `depth` codes among all; equal ones share a rank. By prefix doubling."""
     rank, known = np.unique(codes, return_inverse=True)[1].astype(np.int64), 1
@@ -205,37 +212,31 @@ def extract(pages: DataFrame, tokens: int = TOKENS) -> DataFrame:
     rows = pages.select("page_id", F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     rows = rows.withColumns({"host": host_of(F.col("url")), "uid": F.xxhash64("page_id", "url", "html")})
     id_type = rows.schema["page_id"].dataType.simpleString()
-    block_type = pa.list_(pa.struct([("kind", pa.int32()), ("text", pa.string())]))
-
-    def parse(batches):
-        for batch in common.text_slices(batches, "html"):
-            parsed = [blocks_of(x) for x in batch.column("html").to_pylist()]
-            done = [is_decided(x) for x in parsed]
-            text = [main_text(x) if ok else None for x, ok in zip(parsed, done, strict=True)]
-            wait = [None if ok else [{"kind": k, "text": t} for k, t in x] for x, ok in zip(parsed, done, strict=True)]
-            yield pa.RecordBatch.from_pydict({c: batch.column(c) for c in ("page_id", "url", "host", "uid")} | {"text": pa.array(text, pa.string()), "blocks": pa.array(wait, block_type)})
 
     def suffixes(batches):
         for batch in common.text_slices(batches, "html"):
-            parsed = [blocks_of(x) for x in batch.column("html").to_pylist()]
-            keys, uids, places = suffix_keys([(host, uid, stream(x), not is_decided(x)) for host, uid, x in zip(batch.column("host").to_pylist(), batch.column("uid").to_pylist(), parsed, strict=True)], tokens)
+            streams = [stream(blocks_of(x)) for x in batch.column("html").to_pylist()]
+            keys, uids, places = suffix_keys([(host, uid, x, True) for host, uid, x in zip(batch.column("host").to_pylist(), batch.column("uid").to_pylist(), streams, strict=True)], tokens)
             yield pa.RecordBatch.from_pydict({"key": pa.array(keys, pa.int64()), "uid": pa.array(uids, pa.int64()), "place": pa.array(places, pa.int32())})
 
+    def parse(batches):
+        for batch in common.text_slices(batches, "html"):
+            blocks = [packed(blocks_of(x)) for x in batch.column("html").to_pylist()]
+            yield pa.RecordBatch.from_pydict({c: batch.column(c) for c in ("page_id", "url", "uid")} | {"blocks": pa.array([x for x, _ in blocks], pa.binary()), "size": pa.array([n for _, n in blocks], pa.int64())})
+
     def rest(batches):
         for batch in batches:
-            text = [main_text([(b["kind"], b["text"]) for b in x], set(s or ()), tokens) for x, s in zip(batch.column("blocks").to_pylist(), batch.column("starts").to_pylist(), strict=True)]
+            text = [main_text(unpacked(x, n), set(s or ()), tokens) for x, n, s in zip(*(batch.column(c).to_pylist() for c in ("blocks", "size", "starts")), strict=True)]
             yield pa.RecordBatch.from_pydict({"page_id": batch.column("page_id"), "url": batch.column("url"), "text": pa.array(text, pa.string())})
 
-    parsed = common.stash(common.map_arrow(rows, parse, f"page_id {id_type}, url string, host string, uid long, text string, blocks array<struct<kind: int, text: string>>"), "parsed-pages")
-    out = parsed.where("blocks IS NULL").select("page_id", "url", "text")
-    waiting = parsed.where("blocks IS NOT NULL")
-    if not waiting.isEmpty():
-        hosts = common.stash(waiting.select("host").distinct(), "hosts")
-        found = common.map_arrow(rows.select("host", "uid", "html").join(hosts, "host", "left_semi"), suffixes, "key long, uid long, place int")
-        found = common.stash(found, "suffixes")
-        repeated = found.groupBy("key").agg(F.min("uid").alias("low"), F.max("uid").alias("high"), F.count("place").alias("asked")).where("asked > 0 AND low < high").select("key")
-        starts = common.salted_join(found.where("place IS NOT NULL"), repeated, ["key"], F.col("uid"), "inner").groupBy("uid").agg(F.collect_set("place").alias("starts"))
-        out = out.unionByName(common.map_arrow(waiting.join(starts, "uid", "left").select("page_id", "url", "blocks", "starts"), rest, f"page_id {id_type}, url string, text string"))
+    found = common.stash(common.map_arrow(rows.select("host", "uid", "html"), suffixes, "key long, uid long, place int"), "suffixes")
+    repeated = found.groupBy("key").agg(F.min("uid").alias("low"), F.max("uid").alias("high")).where("low < high").select("key")
+    starts = common.salted_join(found, repeated, ["key"], F.col("uid"), "inner", 8).groupBy("uid").agg(F.collect_set("place").alias("starts"))
+    starts = common.stash(starts, "repeated-substrings")
+    common.discard(found)
+    common.release(pages.sparkSession)
+    parsed = common.map_arrow(rows.select("page_id", "url", "uid", "html"), parse, f"page_id {id_type}, url string, uid long, blocks binary, size long")
+    out = common.map_arrow(parsed.join(starts.hint("merge"), "uid", "left").select("page_id", "url", "blocks", "size", "starts"), rest, f"page_id {id_type}, url string, text string")
     return out.withColumn("n_chars", F.length("text").cast("long"))
 
 
