@@ -297,6 +297,41 @@ def test_sentencepiece_odd_texts():
     assert same.all() and [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:], strict=True)] == codec.reference.encode(texts)
 
 
+def test_new_words_go_to_the_library_together(monkeypatch):
+    codec, r, given = sentencepieces.Codec(model(), 1), random.Random(9), []
+    words = ["", *{"".join(r.choice(["th", "e", "ing", "é", "日", "𝄞", "\n", "0", "\u200b", "\x00", "<0x41>", "<unk>"]) for _ in range(r.randint(1, 9))) for _ in range(3000)}, "x" * 3000, ""]
+    want, direct = codec.direct(words), codec.direct
+    monkeypatch.setattr(codec, "direct", lambda texts: given.extend(texts) or direct(texts))
+    ids, size = codec.checked(words)
+    assert [x.tolist() for x in np.split(ids, np.cumsum(size)[:-1])] == want and not codec.differ
+    assert len(given) <= len(words) // sentencepieces.JOINED + 1
+    monkeypatch.setattr(codec, "begins", np.zeros_like(codec.begins))  # as if no piece were found: each word by itself
+    ids, size = codec.checked(words)
+    assert [x.tolist() for x in np.split(ids, np.cumsum(size)[:-1])] == want and given[-len(words) :] == words
+
+
+def test_words_that_differ_are_named(monkeypatch):
+    codec = sentencepieces.Codec(model(), 1)
+    theirs = codec.reference.encode
+    monkeypatch.setattr(codec, "reference", type("Other", (), {"encode": lambda self, texts, **k: [[5] if t == "of" else x for t, x in zip(texts, theirs(texts), strict=True)]})())
+    assert codec.encode(pa.array(["the end", "end of it", None, "of"]))[2].tolist() == [True, False, True, False] and codec.differ == {"of"}
+
+
+def test_round_trip_by_brute_force(monkeypatch):
+    """What each id shows decides where that gives the text; all else is what the library says."""
+    codec, r, asked = sentencepieces.Codec(model(), 1), random.Random(3), []
+    texts = ["".join(r.choice([" ", "  ", "a", "the", "\n", "é", "日", "𝄞", "▁", "\ufffd", " of", "0", "<0x41>", "<unk>"]) for _ in range(r.randint(0, 12))) for _ in range(2000)] + [None, "", " "]
+    ids, bounds, _ = codec.encode(pa.array(texts))
+    cut = np.minimum(bounds + 1, bounds[-1])  # ids of bytes without the first or last one of a character
+    for at, some in ((bounds, texts), (bounds, [*texts[1:], "x"]), (cut, texts), (cut, codec.decode(ids, cut))):
+        got = codec.restores(ids, at, some)
+        assert got == [x == (t or "") for x, t in zip(codec.decode(ids, at), some, strict=True)] and (at is cut or some is not texts or sum(got) > 1000)
+    plain = pa.array(["The end of it.", "日 𝄞 é", "", None])
+    ids, bounds, _ = codec.encode(plain)
+    monkeypatch.setattr(codec, "decode", asked.append)
+    assert codec.restores(ids, bounds, plain.to_pylist()) == [True] * 4 and not asked
+
+
 def test_unigram_models():
     """A unigram model, written field by field, splits by its scores and falls back to bytes."""
     import struct

@@ -2,7 +2,10 @@
 
 The model file is read as protobuf wire format; normaliser, white-space marker, piece scores and byte fallback are built
 anew for the tokenizers library. Unigram models keep their scores; BPE models get merges ranked by the score of the piece
-they make. Each distinct word is encoded once, in multithreaded batches, and compared with the sentencepiece library.
+they make. Each distinct word is encoded once, in multithreaded batches, and compared with the sentencepiece library; with
+BPE, where merges of one word don't depend on those of others, the tokenizers library gets many new words as one text, which
+is cut where words begin. The ids of each text are decoded again: by the bytes that the library shows for each id and, where
+these aren't the text, by the library.
 
 Null texts give no ids (null arrays); empty texts give none (empty arrays). Repeated rows and ids stay as they are.
 """
@@ -10,6 +13,7 @@ Null texts give no ids (null arrays); empty texts give none (empty arrays). Repe
 from __future__ import annotations
 
 import os
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -29,6 +33,8 @@ UNIGRAM, BPE = 1, 2
 THREADS = 2
 #: Different pieces that a worker remembers, and bytes of text that it encodes at a time.
 MOST_PIECES, SLICE = 250_000, 500_000
+#: New words that the tokenizers library gets as one text.
+JOINED = 128
 
 
 # -- model file ------------------------------------------------------------------------------------------------------
@@ -90,6 +96,22 @@ def ranked_merges(pieces: list[tuple[str, float, int]]) -> list[tuple[str, str]]
     return [x[4:] for x in sorted(found)]
 
 
+def unjoined() -> list:
+    """The steps of decoding that come before the pieces are joined."""
+    from tokenizers import decoders
+
+    return [decoders.Replace(MARK, " "), decoders.ByteFallback()]
+
+
+def shown(pieces: list[tuple[str, float, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes that each piece is decoded to, and where each piece's begin and the end."""
+    from tokenizers import decoders
+
+    decoder = decoders.Sequence(unjoined())
+    out = [bytes([int(p[3:5], 16)]) if re.fullmatch("<0x[0-9A-Fa-f]{2}>", p) else decoder.decode([p]).encode() for p, _, _ in pieces]
+    return np.frombuffer(b"".join(out), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in out])])
+
+
 def build(model: dict):
     """A tokenizer of the tokenizers library for a parsed model."""
     from tokenizers import AddedToken, Regex, Tokenizer, decoders, models, normalizers
@@ -110,7 +132,7 @@ def build(model: dict):
     steps += [normalizers.Prepend(MARK)] if model["dummy_prefix"] else []
     steps += [normalizers.Replace(" ", MARK)] if model["escape_spaces"] else []
     tokenizer.normalizer = normalizers.Sequence(steps)
-    tokenizer.decoder = decoders.Sequence([decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse(), *([decoders.Strip(" ", 1, 0)] if model["dummy_prefix"] else [])])
+    tokenizer.decoder = decoders.Sequence([*unjoined(), decoders.Fuse(), *([decoders.Strip(" ", 1, 0)] if model["dummy_prefix"] else [])])
     if user := [p for p, _, kind in pieces if kind == USER_DEFINED]:
         tokenizer.add_tokens([AddedToken(p, normalized=False) for p in user])
     return tokenizer
@@ -130,6 +152,9 @@ class Codec:
         self.reference = sentencepiece.SentencePieceProcessor(model_file=path)
         #: Words are independent if no piece goes on past a marker, a single blank separates them and each begins with a marker.
         self.by_word = self.model["dummy_prefix"] and self.model["escape_spaces"] and not self.model["strip_spaces"] and not self.model["charsmap"] and not any(MARK in p.lstrip(MARK) or kind == USER_DEFINED for p, _, kind in self.model["pieces"])
+        self.joins = self.by_word and self.model["model_type"] == BPE
+        self.begins = np.array([p.startswith(MARK) for p, _, _ in self.model["pieces"]])
+        self.shown, self.shown_at = shown(self.model["pieces"])
         self.differ: set[str] = set()
         self.compared = 0
         self.pieces = PieceEncoder(self.checked, MOST_PIECES)
@@ -137,11 +162,26 @@ class Codec:
     def direct(self, texts: list[str]) -> list[list[int]]:
         return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def checked(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        ours, theirs = self.direct(texts), self.reference.encode(texts, num_threads=self.threads)
-        self.compared += len(texts)
-        self.differ.update(t for t, a, b in zip(texts, ours, theirs, strict=True) if a != b)
-        return flat(ours)
+    def joined(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """flat(direct(words)) for words without white-space markers and blanks: JOINED of them are one text to the library."""
+        full = [w for w in words if w]
+        ids, _ = flat(self.direct([" ".join(full[i : i + JOINED]) for i in range(0, len(full), JOINED)]))
+        at = np.flatnonzero(self.begins[ids])
+        if len(at) != len(full) or len(at) and at[0]:  # a model without a piece for the marker
+            return flat(self.direct(words))
+        size = np.zeros(len(words), np.int64)
+        size[[i for i, w in enumerate(words) if w]] = np.diff(at, append=len(ids))
+        return ids, size
+
+    def checked(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids, size = self.joined(words) if self.joins else flat(self.direct(words))
+        theirs = self.reference.encode(words, num_threads=self.threads)
+        their_ids, their_size = flat(theirs)
+        self.compared += len(words)
+        if not (np.array_equal(ids, their_ids) and np.array_equal(size, their_size)):
+            ours = np.split(ids, np.cumsum(size)[:-1])
+            self.differ.update(w for w, a, b in zip(words, ours, theirs, strict=True) if a.tolist() != b)
+        return ids, size
 
     def encode(self, text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(ids, where each text's begin, whether each text's ids are those of the sentencepiece library)."""
@@ -170,6 +210,25 @@ class Codec:
         return self.tokenizer.decode_batch([ids[x:y] for x, y in zip(b[:-1], b[1:], strict=True)], skip_special_tokens=False)
 
 
+    def restores(self, ids: np.ndarray, bounds: np.ndarray, texts: list[str | None]) -> list[bool]:
+        """Whether decode() gives these texts; a null one is like an empty one.
+
+        What ids show, one after another and without a first blank that the prefix made, is what the library decodes if it is
+        UTF-8 throughout, as a text is. So where it is the text, so is what the library decodes; elsewhere the library is asked.
+        """
+        size = np.diff(self.shown_at)[ids]
+        ends = np.concatenate([[0], np.cumsum(size)])
+        raw = self.shown[np.repeat(self.shown_at[ids] - ends[:-1], size) + np.arange(ends[-1])].tobytes()
+        out, at, blank = [], ends[bounds].tolist(), self.model["dummy_prefix"]
+        for a, b, text in zip(at[:-1], at[1:], texts, strict=True):
+            out.append(raw[a + (a < b and blank and raw[a] == 32) : b] == (text or "").encode())
+        if odd := [i for i, x in enumerate(out) if not x]:
+            parts = [ids[bounds[i] : bounds[i + 1]] for i in odd]
+            for i, text in zip(odd, self.decode(np.concatenate(parts), np.concatenate([[0], np.cumsum([len(x) for x in parts])])), strict=True):
+                out[i] = text == (texts[i] or "")
+        return out
+
+
 def codec(path: str, threads: int) -> Codec:
     return common.worker_slot(("codec", path, threads), lambda: Codec(path, threads))
 
@@ -193,7 +252,7 @@ def encode(docs: DataFrame, model_path: str, threads: int = THREADS, text_col: s
             raw = ids.astype("<u4").tobytes()
             b = bounds.tolist()
             crc = [zlib.crc32(raw[4 * x : 4 * y]) for x, y in zip(b[:-1], b[1:], strict=True)]
-            ok = [x == (y or "") for x, y in zip(coder.decode(ids, bounds), text.to_pylist(), strict=True)]
+            ok = coder.restores(ids, bounds, text.to_pylist())
             out = {c: batch.column(c) for c in names}
             if with_ids:
                 out["ids"] = pc.if_else(null, pa.scalar(None, pa.list_(pa.int32())), pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids, pa.int32())))
