@@ -2,6 +2,7 @@
 
 import io
 import random
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -223,6 +224,35 @@ def test_token_file_cases(spark, docs, none, tmp_path):
     assert repair.read_shards(spark, f"file://{tmp_path}/e", empty).count() == 0
 
 
+def test_blocks_have_no_more_tokens_than_stated(spark, tmp_path):
+    """A slice of text has more tokens than a block; a longer document is a block of its own."""
+    words_of = [1_500_000, 400_000, 600_000, 1_200_000, 2_400_000, 5]
+    docs = spark.createDataFrame(list(enumerate(words_of)), "doc_id long, n int").selectExpr("doc_id", "repeat('a ', n) AS text").coalesce(1)
+    sizes = repair.write_shards(docs, f"file://{tmp_path}/r", words())
+    total = sum(words_of) + len(words_of)
+    assert sizes == [(0, total)]
+    raw = (tmp_path / "r" / "shard-00000000.rp").read_bytes()
+    entries = repair.Shard(io.BytesIO(raw), len(raw)).entries
+    starts = [tokens for _, _, tokens in entries] + [total]
+    assert [documents for _, documents, _ in entries] == [0, 2, 4, 5]
+    assert all(b - a <= repair.BLOCK_TOKENS for i, (a, b) in enumerate(zip(starts[:-1], starts[1:], strict=True)) if i != 2)
+    one = repair.tokenizer(words()).direct(["a"])[0]
+    got = {r.doc_id: (r.start, r.n_tokens, r.ids_crc32) for r in repair.read_shards(spark, f"file://{tmp_path}/r", sizes).collect()}
+    assert got == {i: (sum(words_of[:i]) + i, n + 1, zlib.crc32(np.array(one * n + [2], "<u4").tobytes())) for i, n in enumerate(words_of)}
+
+
+def test_odd_space_sends_no_whole_texts(monkeypatch):
+    """A text with such a character is cut into words too, and the others are as without it."""
+    coder, seen = repair.WordTokenizer(words()), []
+    texts = [f"Plain words, number {i}." for i in range(3000)] + ["one\x1ctwo three \x1f  four\u00a0five\x0bsix\x0cseven " + "plain words " * 2000]
+    wanted = coder.direct(texts)
+    direct = coder.direct
+    monkeypatch.setattr(coder, "direct", lambda x: seen.extend(x) or direct(x))
+    ids, bounds = coder.encode(pa.array(texts))
+    assert [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:], strict=True)] == wanted
+    assert max(map(len, seen)) < 40 and not any(" " in x for x in seen)
+
+
 def test_grammar():
     r = np.random.default_rng(0)
     ids = r.choice([1, 2, 3, 3, 7, 9], 20_000)

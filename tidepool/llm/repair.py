@@ -32,12 +32,17 @@ MAGIC, END = b"TPRP0002", b"TPRPEND2"
 BLOCK_TOKENS = 2_000_000
 #: A pair that occurs so often in a block, occurrences that overlap aside, is replaced.
 LEAST_COUNT = 16
-#: Texts with these are not split at white space: they are white space to Arrow, but not to the tokenizer.
+#: Texts with these are split at BLANKS only: these are white space to Arrow, but not to the tokenizer.
 ODD_SPACE = "[\x1c-\x1f]"
 #: Letters, then ASCII marks; of Latin letters those that lower case and NFC leave one character each.
 PLAIN = "^(?P<letters>[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u012f\u0131-\u0148\u014a-\u017e]+)(?P<marks>[!-/:-@\\[-`{-~]*)$"
-#: Parts that the tokenizer gets at a time; bytes of text that words are gathered from.
-TOGETHER, SLICE = 256, 12_000_000
+#: White space of ASCII that both split at.
+BLANKS = "[\t\n\r ]+"
+#: Parts that the tokenizer gets at a time; bytes of text that words are gathered from; bytes of an Arrow batch, of which a
+#: worker and its executor hold two or more, so that most batches are one such slice.
+TOGETHER, SLICE, BATCH = 256, 12_000_000, "11m"
+#: New parts whose ids the library returns at a time; words whose ids are gathered at a time.
+AT_ONCE, RUN = 32_768, 500_000
 #: Different parts, and other words, that a worker remembers.
 MOST_PARTS, MOST_OTHERS = 1_000_000, 200_000
 
@@ -264,6 +269,41 @@ class Shard:
 # -- tokenizer -------------------------------------------------------------------------------------------------------
 
 
+class WordStore(PieceEncoder):
+    """Keeps its words in an Arrow array, with a tenth of the memory that a dictionary of Python strings takes. A look-up hashes
+    all of them anew, which is no more work than as many Python strings for the words that are looked up."""
+
+    def reset(self) -> None:
+        super().reset()
+        self.words = pa.array([], pa.large_string())
+        self.start, self.size, self.flat = (np.zeros(0, x) for x in (np.int64, np.int32, np.int32))
+
+    def _add(self, words: pa.Array) -> None:
+        # by AT_ONCE words: what the library returns takes far more memory than the ids in it
+        found = [self.encode_many(words.slice(i, AT_ONCE).to_pylist()) for i in range(0, len(words), AT_ONCE)]
+        ids, sizes = np.concatenate([x for x, _ in found]), np.concatenate([x for _, x in found])
+        self.start = np.concatenate([self.start, self.used + np.cumsum(sizes) - sizes])
+        self.size = np.concatenate([self.size, sizes.astype(np.int32)])
+        self.flat = np.concatenate([self.flat, ids.astype(np.int32)])
+        self.words = pa.concat_arrays([self.words, words])
+        self.used += len(ids)
+
+    def places(self, distinct: pa.Array) -> np.ndarray:
+        if len(self.words) + len(distinct) > self.most and len(self.words):
+            self.reset()
+        place = pc.fill_null(pc.index_in(distinct, value_set=self.words), -1).to_numpy(zero_copy_only=False).copy()
+        new = np.flatnonzero(place < 0)
+        if len(new):
+            place[new] = np.arange(len(self.words), len(self.words) + len(new))
+            self._add(distinct.take(pa.array(new)))
+        return place
+
+    def encode(self, pieces: pa.Array, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        coded = pieces.cast(pa.large_string()).dictionary_encode()
+        ids, ends = self.gather(self.places(coded.dictionary)[coded.indices.to_numpy(zero_copy_only=False)])
+        return ids, ends[bounds]
+
+
 class WordTokenizer:
     """Encodes by white-space separated words. The tokenizer makes white space one blank, splits at it and drops it, so a
     word's ids don't depend on its neighbours. It also splits letters from punctuation, so plain words are cut into their
@@ -283,8 +323,8 @@ class WordTokenizer:
         self.bare = Tokenizer.from_file(path)
         self.bare.normalizer = None
         self.bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
-        self.letters = PieceEncoder(self.encode_letters, MOST_PARTS)
-        self.others = PieceEncoder(lambda words: flat(self.direct(words)), MOST_OTHERS)
+        self.letters = WordStore(self.encode_letters, MOST_PARTS)
+        self.others = WordStore(lambda words: flat(self.direct(words)), MOST_OTHERS)
 
     def direct(self, texts: list[str]) -> list[list[int]]:
         return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -321,10 +361,9 @@ class WordTokenizer:
         """(ids, where each text's begin)."""
         text = pc.fill_null(text.cast(pa.large_string()), "")
         odd = pc.match_substring_regex(text, ODD_SPACE)
-        if pc.any(odd).as_py():
-            parts = [np.array(x, np.int32) for x in self.direct(text.to_pylist())]
-            return np.concatenate(parts), np.concatenate([[0], np.cumsum([len(x) for x in parts])])
         words = pc.utf8_split_whitespace(text)
+        if pc.any(odd).as_py():
+            words = pc.if_else(odd, pc.split_pattern_regex(text, BLANKS), words)
         pieces, offsets = words.flatten(), words.offsets.to_numpy().astype(np.int64)
         real = pc.binary_length(pieces).to_numpy(zero_copy_only=False) > 0
         if not real.all():
@@ -332,11 +371,16 @@ class WordTokenizer:
         else:
             offsets = offsets - offsets[0]
         coded = pieces.dictionary_encode()
+        del text, odd, words, pieces, real
         ids, begin = self.encode_words(coded.dictionary)
         code = coded.indices.to_numpy(zero_copy_only=False)
-        size = np.diff(begin)[code]
-        ends = np.concatenate([[0], np.cumsum(size)])
-        return ids[np.repeat((begin[code] - ends[:-1]).astype(np.int32), size) + np.arange(ends[-1], dtype=np.int32)], ends[offsets]
+        size = np.diff(begin).astype(np.int32)
+        ends = np.concatenate([[0], np.cumsum(size[code], dtype=np.int64)])
+        out = np.empty(ends[-1], np.int32)
+        for i in range(0, len(code), RUN):
+            some, to = code[i : i + RUN], ends[i : i + RUN + 1]
+            out[to[0] : to[-1]] = ids[np.repeat(begin[some] - (to[:-1] - to[0]), size[some]) + np.arange(to[-1] - to[0])]
+        return out, ends[offsets]
 
 
 def tokenizer(path: str) -> WordTokenizer:
@@ -366,32 +410,44 @@ def write_shards(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int
         fs, top = common.filesystem(folder)
         name, temporary = f"{top}/shard-{shard:08d}.rp", f"{top}/.tmp-{shard}-{uuid.uuid4().hex}"
 
+        def encoded(batch):
+            """(ids of the documents, which aren't null, all tokens, where each document's begin)"""
+            ids, bounds = coder.encode(batch.column("text"))
+            bounds = bounds + np.arange(len(bounds))
+            whole = np.full(bounds[-1], end_id, np.uint16 if max(coder.n_ids, end_id + 1) <= 65536 else np.int32)
+            inner = np.ones(len(whole), bool)
+            inner[bounds[1:] - 1] = False
+            whole[inner] = ids
+            doc_id = batch.column("doc_id")  # through whole numbers only: a float has 53 bits, and a null would make floats of all
+            return pc.fill_null(doc_id, 0).to_numpy(zero_copy_only=False).copy(), pc.is_valid(doc_id).to_numpy(zero_copy_only=False), whole, bounds
+
         def flush():
             nonlocal at, documents, tokens
-            doc_ids, known, ids = (np.concatenate([x[i] for x in held]) for i in range(3))
-            size = np.concatenate([np.diff(x[3]) for x in held])
+            doc_ids, known, ids, size = (np.concatenate([x[i] for x in held]) for i in range(4))
+            held.clear()
             raw = block_bytes(doc_ids, known, ids, np.concatenate([[0], np.cumsum(size)]), max(coder.n_ids, end_id + 1))
             out.write(raw)
             entries.append((at, documents, tokens))
             at, documents, tokens = at + len(raw), documents + len(size), tokens + len(ids)
-            held.clear()
 
         for batch in common.text_slices(batches, most=SLICE):
             if out is None:
                 fs.create_dir(top, recursive=True)
                 out = fs.open_output_stream(temporary, compression=None)
                 out.write(MAGIC)
-            ids, bounds = coder.encode(batch.column("text"))
-            bounds = bounds + np.arange(len(bounds))
-            whole = np.full(bounds[-1], end_id, np.uint16 if max(coder.n_ids, end_id + 1) <= 65536 else np.int32)
-            inner = np.ones(len(whole), bool)
-            inner[bounds[1:] - 1] = False
-            whole[inner] = ids
-            doc_id = batch.column("doc_id")  # through whole numbers only: a float has 53 bits, and a null would make floats of all
-            held.append((pc.fill_null(doc_id, 0).to_numpy(zero_copy_only=False).copy(), pc.is_valid(doc_id).to_numpy(zero_copy_only=False), whole, bounds))
+            doc_ids, known, whole, bounds = encoded(batch)
+            del batch
+            common.trim()  # what encoding took, before a block takes its own
             total += len(whole)
-            if sum(len(x[2]) for x in held) >= BLOCK_TOKENS:
-                flush()
+            first = 0
+            while first < len(doc_ids):
+                room = BLOCK_TOKENS - sum(len(x[2]) for x in held)
+                last = max(int(np.searchsorted(bounds, bounds[first] + room, "right")) - 1, first if held else first + 1)
+                if last > first:
+                    held.append((doc_ids[first:last], known[first:last], whole[bounds[first] : bounds[last]], np.diff(bounds[first : last + 1])))
+                first = last
+                if first < len(doc_ids):
+                    flush()
         if out is not None:
             if held:
                 flush()
@@ -400,7 +456,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int
             fs.move(temporary, name)
             yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "n": pa.array([total], pa.int64())})
 
-    return [(r.shard, r.n) for r in common.map_arrow(rows, write, "shard int, n long", keeps=True, batch="64m").collect()]
+    return [(r.shard, r.n) for r in common.map_arrow(rows, write, "shard int, n long", keeps=True, batch=BATCH).collect()]
 
 
 def read_shards(spark, folder: str, sizes: list[tuple[int, int]]) -> DataFrame:
