@@ -2,8 +2,10 @@
 
 from datetime import datetime, timedelta
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from tidepool.functions import codecs, mime, signing
 from tidepool.operators import content, locate, snapshots, tree
@@ -20,6 +22,20 @@ def test_compression(spark, algorithm):
         codecs.deflated(F.col("d"), "RAR")
 
 
+@F.arrow_udf(LongType())
+def batch_bytes(values: pa.Array) -> pa.Array:
+    return pa.array([values.nbytes] * len(values), pa.int64())
+
+
+@pytest.mark.parametrize("step", [lambda c: codecs.deflated(c, "ZSTD"), lambda c: codecs.inflated(codecs.deflated(c)), content.byte_entropy], ids=["deflated", "inflated", "entropy"])
+def test_batches_of_contents(spark, step):
+    """20 MB in one task are worked off a few MB at a time."""
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    rows = spark.range(0, 2000, 1, 1).select(F.encode(F.repeat(F.sha2(F.col("id").cast("string"), 256), 160), "UTF-8").alias("d"))
+    got = rows.select(batch_bytes("d").alias("n"), step(F.col("d")).alias("x")).agg(F.max("n"), F.count("x")).first()
+    assert got[0] < 6_000_000 and got[1] == 2000
+
+
 def test_encryption(spark):
     key, other = b"k" * 32, b"o" * 32
     rows = spark.createDataFrame([(i, d) for i, d in enumerate([b"same", b"same", b"", None, bytes(100_000)])], "i int, d binary")

@@ -5,26 +5,27 @@ from __future__ import annotations
 import hashlib
 import os
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
+from tidepool.functions import batches
+
 #: Names of compressions and the stream codecs that make them.
 COMPRESSIONS = {"GZIP": "gzip", "LZ4": "lz4", "ZSTD": "zstd"}
 
 # -- compression -----------------------------------------------------------------------------------------------------
 
 
-def deflate_bytes(data: bytes, algorithm: str = "LZ4") -> bytes:
+def deflate_bytes(data: bytes | pa.Buffer, algorithm: str = "LZ4") -> bytes:
     sink = pa.BufferOutputStream()
     with pa.CompressedOutputStream(sink, COMPRESSIONS[algorithm]) as out:
         out.write(data)
     return sink.getvalue().to_pybytes()
 
 
-def inflate_bytes(data: bytes, algorithm: str = "LZ4") -> bytes:
+def inflate_bytes(data: bytes | pa.Buffer, algorithm: str = "LZ4") -> bytes:
     with pa.CompressedInputStream(pa.BufferReader(data), COMPRESSIONS[algorithm]) as raw:
         return raw.read()
 
@@ -33,10 +34,13 @@ def _mapped(one, data: Column, algorithm: str) -> Column:
     if algorithm not in COMPRESSIONS:
         raise ValueError(f"unknown compression: {algorithm}")
 
-    @F.pandas_udf(BinaryType())
-    def run(values: pd.Series) -> pd.Series:
-        return values.map(lambda x: None if x is None else one(bytes(x), algorithm))
+    @F.arrow_udf(BinaryType())
+    def run(values: pa.Array) -> pa.Array:
+        out = pa.array([None if x is None else one(x, algorithm) for x in batches.buffers(values)], values.type)
+        batches.trim()
+        return out
 
+    batches.bounded()
     return run(data)
 
 
@@ -61,9 +65,9 @@ def derive_key(passphrase: str, salt: bytes, method: str = "SCRYPT") -> bytes:
     raise ValueError(f"unsupported key derivation: {method}")
 
 
-@F.pandas_udf(BinaryType())
-def _fresh_key(rows: pd.Series) -> pd.Series:
-    return rows.map(lambda _: os.urandom(32))
+@F.arrow_udf(BinaryType())
+def _fresh_key(rows: pa.Array) -> pa.Array:
+    return pa.array([os.urandom(32) for _ in range(len(rows))], pa.binary())
 
 
 _FRESH_KEY = _fresh_key.asNondeterministic()

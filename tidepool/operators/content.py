@@ -6,20 +6,25 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from tidepool.functions import paths
+from tidepool.functions import batches, paths
 
 MAX_RANGE, PACK_SIZE = 4 << 20, 64 << 20
 CHUNK_MIN, CHUNK_NORMAL, CHUNK_MAX = 512 << 10, 1 << 20, 8 << 20
 
 
-@F.pandas_udf(DoubleType())
-def byte_entropy(data: pd.Series) -> pd.Series:
+def byte_entropy(data: Column) -> Column:
     """Shannon entropy over byte values, in bits; 0 for no bytes, null for null."""
+    batches.bounded()
+    return _byte_entropy(data)
 
+
+@F.arrow_udf(DoubleType())
+def _byte_entropy(data: pa.Array) -> pa.Array:
     def one(x):
         if x is None:
             return None
@@ -29,7 +34,9 @@ def byte_entropy(data: pd.Series) -> pd.Series:
         p = n[n > 0] / len(x)
         return float(-(p * np.log2(p)).sum()) + 0.0
 
-    return data.map(one)
+    out = pa.array([one(x) for x in batches.buffers(data)], pa.float64())
+    batches.trim()
+    return out
 
 
 def duplicate_groups(rows: DataFrame) -> DataFrame:
