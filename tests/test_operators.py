@@ -1,10 +1,12 @@
 """Cases with known results: retention, paths, exclusion, ranges, chunks, envelopes, archives, streams, the store."""
 
+import hashlib
 import io
 import random
 import tarfile
 from datetime import datetime, timedelta, timezone
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -131,6 +133,22 @@ def test_cut_points_by_bytes(sizes):
     assert content.cut_points(data, *sizes) == want and content.cut_points(b"", *sizes) == []
 
 
+def test_content_chunks(spark, monkeypatch):
+    """Chunks of each content and ids as they are; the workers get a few MB of contents at a time."""
+    r = random.Random(5)
+    rows = [(9007199254740993, r.randbytes(3_000_000)), (None, r.randbytes(30_000)), (2, None), (3, b""), (4, b"ab"), *((10 + i, r.randbytes(20_000)) for i in range(500))]
+    want = sorted((str(i), k, a, b - a, hashlib.sha256(x[a:b]).hexdigest(), x[a:b]) for i, x in rows if x for cuts in [[0, *content.cut_points(x, 256, 1024, 4096)]] for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)))
+    monkeypatch.setattr(content, "SPAN", 8 << 20)
+    assert content.cut_points(rows[0][1], 256, 1024, 4096) == [a + n for i, _, a, n, *_ in want if i == str(rows[0][0])]
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    df = spark.createDataFrame(rows, "id long, content binary").coalesce(1)
+    chunks = content.content_chunks(df, 256, 1024, 4096, with_data=True)
+    assert sorted((str(x.id), *x[1:5], bytes(x.data)) for x in chunks.collect()) == want
+    assert sorted((str(x.id), *x[1:]) for x in content.content_chunks(df, 256, 1024, 4096).collect()) == [x[:5] for x in want]
+    most = df.mapInArrow(lambda found: (pa.RecordBatch.from_arrays([pa.array([b.nbytes])], names=["n"]) for b in found), "n long").agg(F.max("n")).first()[0]
+    assert most < 8_000_000
+
+
 def test_lookups(spark):
     rows = [("abc1", NOW, ["/src", "/x"]), ("abd2", NOW, []), ("ff00", NOW, ["/"])]
     items = spark.createDataFrame(rows, "item_id string, ts timestamp, roots array<string>")

@@ -63,7 +63,9 @@ def fixed_chunks(rows: DataFrame, size: int, data: str = "data") -> DataFrame:
 
 _GEAR = np.random.default_rng(0x6EA5).integers(0, 1 << 63, 256, np.uint64)
 #: Bytes that a rolling hash depends on, and that are hashed at a time.
-REACH, SPAN = 64, 8 << 20
+REACH, SPAN = 64, 1 << 20
+#: Chunks, and bytes of their data, that a worker hands on at once.
+PIECE_ROWS, PIECE_BYTES = 10_000, 4 << 20
 
 
 def gear_hashes(data: bytes, start: int, stop: int) -> np.ndarray:
@@ -100,23 +102,40 @@ def cut_points(data: bytes, least: int = CHUNK_MIN, normal: int = CHUNK_NORMAL,
 
 
 def content_chunks(rows: DataFrame, least: int = CHUNK_MIN, normal: int = CHUNK_NORMAL, most: int = CHUNK_MAX, with_data: bool = False) -> DataFrame:
-    """rows (id, content binary) -> id, ordinal, offset, length, mac of each content-defined chunk, and its data if asked for."""
+    """rows (id, content binary) -> id, ordinal, offset, length, mac of each content-defined chunk, and its data if asked for.
+
+    Contents are read in small Arrow batches and where they lie; chunks are handed on in pieces. Ids are passed through
+    as they are.
+    """
     import hashlib
 
-    def run(frames):
-        for frame in frames:
-            out = []
-            for i, data in zip(frame["id"], frame["content"], strict=True):
-                at = 0
-                for k, end in enumerate(cut_points(data or b"", least, normal, most)):
-                    part = bytes(data[at:end])
-                    out.append((i, k, at, end - at, hashlib.sha256(part).hexdigest(), part)[: len(columns)])
-                    at = end
-            yield pd.DataFrame(out, columns=columns)
-
-    columns = ["id", "ordinal", "offset", "length", "mac", *(["data"] if with_data else [])]
+    def pieces(batch):
+        held, size = [], 0
+        for row, data in enumerate(batches.buffers(batch.column("content"))):
+            at = 0
+            for k, end in enumerate(cut_points(data, least, normal, most) if data is not None else ()):
+                part = data.slice(at, end - at)
+                held.append((row, k, at, end - at, hashlib.sha256(part).hexdigest(), part.to_pybytes() if with_data else None))
+                size += end - at if with_data else 0
+                at = end
+                if len(held) >= PIECE_ROWS or size >= PIECE_BYTES:
+                    yield held
+                    held, size = [], 0
+        if held:
+            yield held
+
+    def run(found):
+        for batch in found:
+            for held in pieces(batch):
+                row, *columns = (pa.array(x, kind) for x, kind in zip(zip(*held, strict=True), kinds, strict=True))
+                yield pa.RecordBatch.from_arrays([batch.column("id").take(row), *columns[: len(names) - 1]], names=names)
+            batches.trim()
+
+    names = ["id", "ordinal", "offset", "length", "mac", *(["data"] if with_data else [])]
+    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.select("id", "content").mapInPandas(run, f"id {kind}, ordinal int, offset long, length long, mac string" + (", data binary" if with_data else ""))
+    batches.bounded()
+    return rows.select("id", "content").mapInArrow(run, f"id {kind}, ordinal int, offset long, length long, mac string" + (", data binary" if with_data else ""))
 
 
 # -- packs and ranges ------------------------------------------------------------------------------------------------
